@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, exact_dedup, quality_rules, token_counts
+from . import encoding, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip(_docs(spark, sf_dir), *_public("byte_bpe_50k.tiktoken"))
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir), *_public("byte_bpe_50k.json"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts of documents, languages the paths below them."""
+    return quality_classifier.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir), *_public("byte_bpe_50k.json"))
 
@@ -33,11 +42,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{k:04d}" for k in range(256)]
+    return sharding.place(_docs(spark, sf_dir).select("doc_id"), ["doc_id"], shards)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_best_fit": op4_best_fit,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
