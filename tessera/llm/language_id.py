@@ -33,7 +33,7 @@ START = "▁"
 LONGEST_WORD, LONGEST_PIECE = 32, 10
 FLOOR = 1e-7
 WORDS = regex.compile(r"\p{L}{1,32}")
-_BASE = np.uint64(0x100000001B3)
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -45,7 +45,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
         self.texts = sorted({p for p in found if p.removeprefix(START).isalpha() and p == p.lower() and len(p) <= LONGEST_PIECE} | {START})
-        keys = np.array([self.key(p) for p in self.texts], np.uint64)
+        keys = np.array([self.key(p) for p in self.texts], np.uint64) * _MIX
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         bits = self.bits = 18
@@ -64,13 +64,13 @@ class Pieces:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each piece; len(self) where there is none."""
+        hashes = hashes * _MIX
         at = self.heads[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
         out = np.full(len(hashes), len(self), np.int64)
-        for _ in range(self.depth):
-            ok = np.minimum(at, len(self.keys) - 1)
+        for step in range(self.depth):
+            ok = np.minimum(at + step, len(self.keys) - 1)
             hit = self.keys[ok] == hashes
             out[hit] = self.order[ok[hit]]
-            at = at + 1
         return out
 
 
@@ -94,7 +94,7 @@ def _cuts(words: list[str], vocab: Pieces):
             points = np.frombuffer("".join(START + words[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), size).astype(np.uint64)
             found, hashes = {}, None
             for length in range(1, min(LONGEST_PIECE, size) + 1):
-                ends = points[:, length - 1 :] + np.uint64(0x9E3779B97F4A7C15)
+                ends = points[:, length - 1 :] + _MIX
                 hashes = ends if hashes is None else hashes[:, :-1] * _BASE + ends
                 at = vocab.find(np.ascontiguousarray(hashes).ravel()).reshape(hashes.shape)
                 if length == 1:
@@ -129,7 +129,7 @@ def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, voca
     """(pieces + 2, languages) expected counts of pieces over all segmentations of the words."""
     out = np.zeros(table.size)
     for rows, size, found in _cuts(words, vocab):
-        k = lang[rows]
+        k, places, shares = lang[rows], [], []
         chance = lambda at, k=k: table[at, k]
         alpha = forward(len(rows), size, found, chance)
         beta = np.zeros_like(alpha)
@@ -139,7 +139,8 @@ def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, voca
                 if (at := found.get((start, length))) is not None:
                     p = chance(at) * beta[start + length]
                     beta[start] += p
-                    out += np.bincount(at * table.shape[1] + k, alpha[start] * p, table.size)
+                    places.append(at * table.shape[1] + k), shares.append(alpha[start] * p)
+        out += np.bincount(np.concatenate(places), np.concatenate(shares), table.size)
     return out.reshape(table.shape)
 
 
