@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding, token_counts, warc
+from . import encoding, exact_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir), *_public("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_docs(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
 }
