@@ -241,7 +241,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     runtime.ship(spark)
     held = spark.sparkContext.broadcast(model)
-    more = {k: docs.select(v.alias(k)) for k, v in (extra or {}).items()}
+    extra = extra or {}
+    kinds = dict(docs.select(docs[id_col].alias("id"), *[v.alias(f"x{i}") for i, v in enumerate(extra.values())]).dtypes)
     names = np.array([*model.languages, "und"], object)
     name = model.name
 
@@ -254,9 +255,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             best, sure = own([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names[best], pa.string()), pa.array(np.round(sure, 6))], ["id", *batch.schema.names[2:], "lang_pred", "score"])
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, " + "".join(f"`{k}` {d.dtypes[0][1]}, " for k, d in more.items()) + "lang_pred string, score double"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[v.alias(k) for k, v in (extra or {}).items()]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[v.alias(f"x{i}") for i, v in enumerate(extra.values())])
+    out = rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", lang_pred string, score double")
+    return out.select(F.col("id").alias(id_col), *[F.col(f"x{i}").alias(k) for i, k in enumerate(extra)], "lang_pred", "score")
 
 
 def held_out(id_: Column) -> Column:
