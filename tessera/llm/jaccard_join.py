@@ -133,13 +133,13 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, heavy) -> DataFrame:
-    """id, n, fp, prefix (binary, hashes in order) and salts (binary, how many salts each hash has) of every document."""
+    """id, n, fp, gid, prefix (binary, hashes in order) and salts (binary, how many salts each hash has) of every document."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches):
         bucket, count = heavy.value
         for batch in runtime.slices(batches, "text"):
-            ns, fps, prefixes, salts = [], [], [], []
+            ns, fps, gids, prefixes, salts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
                 n = len(s)
@@ -157,10 +157,11 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, heavy) -> DataFrame:
                 else:
                     prefix = s[:p]
                 ns.append(n), prefixes.append(prefix.tobytes()), fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                gids.append(int.from_bytes(hashlib.blake2b(prefixes[-1], digest_size=8).digest(), "little", signed=True))
                 salts.append((weight[:p] // SALTED + 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(fps, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary())], ["id", "n", "fp", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(fps, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary())], ["id", "n", "fp", "gid", "prefix", "salts"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, fp binary, prefix binary, salts binary")
+    return docs.mapInArrow(run, f"id {kind}, n int, fp binary, gid long, prefix binary, salts binary")
 
 
 def _entries(groups: DataFrame) -> DataFrame:
@@ -178,57 +179,49 @@ def _entries(groups: DataFrame) -> DataFrame:
                 salts = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int32)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                own = np.array([int.from_bytes(g[:4], "little") for g in gid.to_pylist()])[row]
+                own = (gid.to_numpy() & 0x7FFFFFFF)[row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token), pa.array(np.where(salts > 1, own % salts, -1).astype(np.int32)), gid.take(pa.array(row)), pa.array(n[row]), pa.array(pos.astype(np.int32))],
                     ["token", "salt", "gid", "n", "pos"],
                 )
 
-    return groups.select("gid", "n", "prefix", "salts").mapInArrow(run, "token long, salt int, gid binary, n int, pos int")
+    return groups.select("gid", "n", "prefix", "salts").mapInArrow(run, "token long, salt int, gid long, n int, pos int")
+
+
+_SHARED = ["token", "salt", "gid", "n", "pos", "hub", "hub_n", "hub_pos"]
 
 
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries of buckets with more than one, each with the hub of its bucket: the entry of the smallest pos. Rows stream by."""
 
     def run(batches):
-        last = None  # (token, salt), hub and whether the hub has been given out
+        kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
+        wait, last = [np.zeros(0, k) for k in kinds], None  # a row that may be alone in its bucket; the bucket and hub given out last
         for batch in batches:
-            if not batch.num_rows:
+            rows = [np.concatenate([w, c.to_numpy()]) for w, c in zip(wait, batch.columns, strict=True)]
+            if not len(rows[0]):
                 continue
-            token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, salt = rows[0], rows[1]
             new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
-            new[0] = last is None or (token[0], salt[0]) != last[0]
-            starts = np.flatnonzero(new)
-            single = np.zeros(len(token), bool)
-            ends = np.append(starts[1:], len(token))
-            single[starts[(ends - starts == 1) & (ends < len(token))]] = True  # the last bucket may go on in the next batch
-            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            keep = (~single | (salt >= 0)) & (head >= 0)
-            if len(token) and len(starts) and starts[-1] == len(token) - 1 and salt[-1] < 0:
-                keep[-1] = False  # given out later, when a second entry comes
-            rows = np.flatnonzero(keep)
-            parts = []
-            if not new[0]:  # the bucket goes on
-                until = starts[0] if len(starts) else len(token)
-                hub = last[1]
-                parts.append(pa.RecordBatch.from_arrays([*batch.slice(0, until).columns, *(pa.array([hub[k]] * int(until), t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32())))], _SHARED))
-                if not last[2]:
-                    parts.insert(0, pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last[0], *hub, *hub), (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()) + (pa.binary(), pa.int32(), pa.int32()), strict=True)], _SHARED))
-                    last = (last[0], hub, True)
-            if len(rows):
-                at, heads = pa.array(rows), pa.array(head[rows])
-                parts.append(pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *(batch.column(k).take(heads) for k in (2, 3, 4))], _SHARED))
-            if len(starts):
-                s = int(starts[-1])
-                last = ((int(token[s]), int(salt[s])), tuple(batch.column(k)[s].as_py() for k in (2, 3, 4)), bool(keep[s]))
-            yield from parts
+            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            hub = [rows[k][head] for k in (2, 3, 4)]
+            on = last is not None and last[0] == (token[0], salt[0])  # the bucket given out last goes on
+            if on:
+                for column, value in zip(hub, last[1], strict=True):
+                    column[head == 0] = value
+            keep = ~(new & np.append(new[1:], True)) | (salt >= 0)
+            keep[0] |= on
+            end = len(token) - 1
+            alone = not keep[end]
+            wait = [r[end:] if alone else r[:0] for r in rows]
+            if not alone:
+                last = (token[end], salt[end]), [column[end] for column in hub]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, *hub)], _SHARED)
 
     sorted_ = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "gid")
-    return sorted_.mapInArrow(run, "token long, salt int, gid binary, n int, pos int, hub binary, hub_n int, hub_pos int")
+    return sorted_.mapInArrow(run, "token long, salt int, gid long, n int, pos int, hub long, hub_n int, hub_pos int")
 
 
-_SHARED = ["token", "salt", "gid", "n", "pos", "hub", "hub_n", "hub_pos"]
-
 
 def _can_link(n1, pos1, n2, pos2, num: int, den: int):
     """Whether sizes, and the hashes that can still follow the shared one in both, allow the similarity."""
@@ -245,6 +238,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(same * den >= (F.size("ha") + F.size("hb") - same) * num).select("a", "b")
 
 
+def _whole_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """fp and hashes (array<bigint>) of the members in pairs, from their texts."""
+    there = runtime.materialize(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "there")
+    chosen = runtime.materialize(members.join(there, "fp", "left_semi").select("low").distinct(), "chosen")
+    few = chosen.count() <= FEW
+    nulls = chosen.where("low IS NULL").limit(1).count() > 0
+    ids = F.broadcast(chosen) if few else chosen
+    wanted = texts.join(ids, texts["id"].eqNullSafe(chosen["low"]) if nulls else texts["id"] == chosen["low"], "left_semi").select("text")
+
+    def whole(batches):
+        for batch in runtime.slices(batches, "text"):
+            found = [shingles(t, width) for t in batch.column(0).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), lists], ["fp", "hashes"])
+
+    found = wanted.mapInArrow(whole, "fp binary, hashes array<bigint>").join(F.broadcast(there) if few else there, "fp", "left_semi")
+    return runtime.materialize(found.dropDuplicates(["fp"]), "whole")
+
+
 def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 24, max_heavy: int = 1_000_000) -> DataFrame:
     """``id_col``, n_shingles, component_id of every document; two documents link if den * |intersection| >= num * |union|."""
     spark = docs.sparkSession
@@ -253,56 +265,42 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     heavy = spark.sparkContext.broadcast(_heavy(texts.select("text"), width, least_heavy, max_heavy))
     sets = runtime.materialize(_sets(texts, width, num, den, heavy), "sets")
     # members: one for each distinct set; groups: same size and prefix
-    members = sets.where("n > 0").groupBy("fp", "n").agg(F.min("id").alias("low"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    members = runtime.materialize(members.withColumn("gid", F.unhex(F.md5(F.concat(F.col("n").cast("string").cast("binary"), F.col("prefix"))))), "members")
+    members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low")), "members")
     by_member = members.select("fp", "gid", "n")
-    groups = members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    groups = runtime.materialize(groups, "groups")
-    shared = runtime.materialize(_shared(_entries(groups)), "shared")
-    heads = groups.select("gid", "head")
-    # whole sets of members that have a candidate at all
-    active = shared.select("gid").unionByName(groups.where("size > 1").select("gid")).distinct()
-    active = runtime.materialize(by_member.join(active, "gid", "left_semi").select("fp"), "active")
-    chosen = members.select("fp", "low").join(active, "fp", "left_semi").select("low").distinct()
-    n_active = active.count()
-    null_low = members.where("low IS NULL").limit(1).count() > 0
-    ids = F.broadcast(chosen) if n_active <= FEW else chosen
-    wanted = texts.join(ids, texts["id"].eqNullSafe(ids["low"]) if null_low else texts["id"] == ids["low"], "left_semi").select("text")
+    groups = runtime.materialize(members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size")), "groups")
+    prefixes = sets.where("n > 0").groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
+    shared = runtime.materialize(_shared(_entries(prefixes)), "shared")
+    heads = groups.select("gid", "n", "head")
 
-    def whole(batches):
-        for batch in runtime.slices(batches, "text"):
-            found = [shingles(t, width) for t in batch.column(0).to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), lists], ["fp", "hashes"])
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = runtime.materialize(pairs.where("a <> b").distinct(), "pairs")
+        return runtime.materialize(_verify(pairs, _whole_sets(texts, members, pairs, width), num, den), "links")
 
-    whole_sets = wanted.mapInArrow(whole, "fp binary, hashes array<bigint>").join(active, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes"))
-    whole_sets = runtime.materialize(whole_sets, "whole")
     # first look: every bucket's entries with its hub, salted buckets' hubs with the bucket's, groups' members with their head
-    first = shared.where("gid <> hub").select("hub", "hub_n", "hub_pos", "gid", "n", "pos")
-    tops = shared.where("salt >= 0 AND gid = hub").select("token", "gid", "n", "pos")
+    first = shared.where("gid <> hub OR n <> hub_n").select("hub", "hub_n", "hub_pos", "gid", "n", "pos")
+    tops = shared.where("salt >= 0 AND gid = hub AND n = hub_n").select("token", "gid", "n", "pos")
     top = tops.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("t"))
-    second = tops.join(top, "token").where(F.col("gid") != F.col("t.gid")).select(F.col("t.gid").alias("hub"), F.col("t.n").alias("hub_n"), F.col("t.pos").alias("hub_pos"), "gid", "n", "pos")
-    near = first.unionByName(second).where(_can_link(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), num, den)).select("hub", "gid").distinct()
-    outer = near.join(heads.select(F.col("gid").alias("hub"), F.col("head").alias("a")), "hub").join(by_member.select("gid", F.col("fp").alias("b")), "gid").select("a", "b")
-    inner = by_member.join(groups.where("size > 1").select("gid", F.col("head").alias("a")), "gid").where("fp <> a").select("a", F.col("fp").alias("b"))
-    links = runtime.materialize(_verify(outer.unionByName(inner), whole_sets, num, den), "links")
-    roots = components(links)
+    second = tops.join(top, "token").where((F.col("gid") != F.col("t.gid")) | (F.col("n") != F.col("t.n"))).select(F.col("t.gid").alias("hub"), F.col("t.n").alias("hub_n"), F.col("t.pos").alias("hub_pos"), "gid", "n", "pos")
+    near = first.unionByName(second).where(_can_link(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), num, den)).select("hub", "hub_n", "gid", "n").distinct()
+    hubs = heads.select(F.col("gid").alias("hub"), F.col("n").alias("hub_n"), F.col("head").alias("a"))
+    outer = near.join(hubs, ["hub", "hub_n"]).join(by_member.select("gid", "n", F.col("fp").alias("b")), ["gid", "n"]).select("a", "b")
+    inner = by_member.join(groups.where("size > 1").select("gid", "n", F.col("head").alias("a")), ["gid", "n"]).select("a", F.col("fp").alias("b"))
+    roots = components(verify(outer.unionByName(inner)))
     # second look: pairs between different components of a bucket
-    rooted = by_member.join(active, "fp", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "gid", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = runtime.materialize(rooted, "rooted")
+    rooted = runtime.materialize(by_member.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "gid", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     units = rooted.select("gid", "n", "root").distinct()
-    places = shared.select("token", "gid", "pos").join(units, "gid").unionByName(units.select("gid", F.xxhash64("gid").alias("token"), F.lit(0).alias("pos"), "n", "root").join(groups.where("size > 1").select("gid"), "gid", "left_semi"))
+    own = units.join(groups.where("size > 1").select("gid", "n"), ["gid", "n"], "left_semi").select("gid", "n", F.xxhash64("gid", "n").alias("token"), F.lit(0).alias("pos"), "root")
+    places = shared.select("token", "gid", "n", "pos").join(units, ["gid", "n"]).unionByName(own)
     sizes = places.groupBy("token", "root").count()
     mixed = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
     mixed_places = runtime.materialize(places.join(mixed, "token"), "mixed")
     one, two = mixed_places.where("root <> main").alias("x"), mixed_places.alias("y")
     crossing = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _can_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den))
-    key = lambda s: F.struct(F.col(f"{s}.gid").alias("gid"), F.col(f"{s}.root").alias("root"))
+    key = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("gid", "n", "root")])
     crossing = crossing.select(F.least(key("x"), key("y")).alias("p"), F.greatest(key("x"), key("y")).alias("q")).distinct()
-    side = lambda to: rooted.select(F.col("gid").alias(f"g{to}"), F.col("root").alias(f"r{to}"), F.col("fp").alias(to))
-    flat = crossing.select(F.col("p.gid").alias("ga"), F.col("p.root").alias("ra"), F.col("q.gid").alias("gb"), F.col("q.root").alias("rb"))
-    more = flat.join(side("a"), ["ga", "ra"]).join(side("b"), ["gb", "rb"]).select("a", "b")
-    more = runtime.materialize(_verify(more, whole_sets, num, den), "links")
+    flat = crossing.select(*[F.col(f"{p}.{c}").alias(f"{c}_{t}") for p, t in (("p", "a"), ("q", "b")) for c in ("gid", "n", "root")])
+    side = lambda t: rooted.select(*[F.col(c).alias(f"{c}_{t}") for c in ("gid", "n", "root")], F.col("fp").alias(t))
+    more = verify(flat.join(side("a"), ["gid_a", "n_a", "root_a"]).join(side("b"), ["gid_b", "n_b", "root_b"]).select("a", "b"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.limit(1).count() else roots
     # ids of components, by member and then by document
     by_root = members.select("fp", "low").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
