@@ -1,0 +1 @@
+"""Nothing streams here: snapshots are replaced as a whole, and every operator is a batch plan."""
