@@ -14,8 +14,8 @@ def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     One aggregation of both sides instead of two EXCEPT ALL: the counts of equal rows cancel."""
     cols = a.columns
     both = a.select(*cols, F.lit(1).alias("_k")).unionByName(b.select(*cols, F.lit(-1).alias("_k")))
-    diff = both.groupBy(*cols).agg(F.sum("_k").alias("k")).where("k <> 0")
-    return diff.select(F.when(F.col("k") > 0, "left").otherwise("right").alias("side"), *cols, F.abs("k").alias("times"))
+    diff = both.groupBy(*cols).agg(F.sum("_k").alias("_times")).where("_times <> 0")
+    return diff.select(F.when(F.col("_times") > 0, "left").otherwise("right").alias("side"), *cols, F.abs("_times").alias("times"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
