@@ -3,9 +3,10 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets (128-bit fingerprint) are
 one member. Members with the same size and the same prefix, the first n - ceil(t n) + 1 hashes in one global order, are one
 group. Two sets that are similar enough share a hash of their prefixes, so groups meet in the buckets of their prefix hashes,
-pairs of groups are filtered by size and by position, then expanded to members and verified on the whole sets.
+pairs of groups are filtered by size and by position, then expanded to members, filtered by a lower bound of their
+difference and verified on the whole sets.
 
-The order puts frequent hashes last. All hashes of all texts are counted by their upper 32 bits, in a shuffle of two bytes a
+The order puts frequent hashes last. All hashes of all texts are counted by their upper 30 bits, in a shuffle of two bytes a
 hash; the most frequent (at most ``max_heavy``, whatever the input) are broadcast. Any such order is exact; it decides how many
 candidates there are, not which links are found.
 
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
+from .bpe import segment_sums
 from .components import components
 
+_TOP = np.uint64(34)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Entries of a frequent hash that share a salt, about.
@@ -43,21 +46,18 @@ FEW = 1_000_000
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_words = _Words()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words than width, the one hash of them all."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.array(list(map(runtime.worker_cache("words", _Words).__getitem__, words)), np.uint64)
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(width, len(h))))
     for k in range(min(width, len(h))):
@@ -69,18 +69,35 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """For each place of a table of at least as many bits as hashes, whether an odd number of them falls there."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference, from their parities; the larger table is folded."""
+    x, y, nx, ny = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a) * 8, len(b) * 8
+    if nx < ny:
+        x, y, nx, ny = y, x, ny, nx
+    while nx > ny:
+        nx //= 2
+        x = (x & ((1 << nx) - 1)) ^ (x >> nx)
+    return (x ^ y).bit_count()
+
+
 def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """bucket (the upper 32 bits of hashes), count: those that at least ``least`` documents have.
+    """bucket (the upper 30 bits of hashes), count: those that at least ``least`` documents have.
 
-    Each of 256 ranges of buckets gets the next 8 bits as counts and the last 16 as an array."""
+    Each of 256 ranges of buckets gets the next 6 bits as counts and the last 16 as an array."""
 
     def deal(batches):
         held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            top = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
-            counts = np.bincount(top >> np.uint32(16), minlength=1 << 16).astype(np.uint32).reshape(256, 256)
+            top = np.sort((np.concatenate(held) >> _TOP).astype(np.uint32))
+            counts = np.bincount(top >> np.uint32(16), minlength=1 << 14).astype(np.uint32).reshape(256, 64)
             low, ends = (top & np.uint32(0xFFFF)).astype(np.uint16), np.cumsum(counts.sum(1))
             return pa.RecordBatch.from_pydict({"range": pa.array(np.arange(256, dtype=np.int32)), "counts": [c.tobytes() for c in counts], "low": [low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
@@ -88,18 +105,18 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, width))
                 size += len(held[-1])
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
     def count(batches):
-        at, total = None, np.zeros(1 << 24, np.uint32)
+        at, total = None, np.zeros(1 << 22, np.uint32)
 
         def flush():
             found = np.flatnonzero(total >= least)
-            return pa.RecordBatch.from_arrays([pa.array((found + (at << 24)).astype(np.int64)), pa.array(total[found].astype(np.int64))], ["bucket", "count"])
+            return pa.RecordBatch.from_arrays([pa.array((found + (at << 22)).astype(np.int64)), pa.array(total[found].astype(np.int64))], ["bucket", "count"])
 
         for batch in batches:
             for r, counts, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -108,7 +125,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
                         yield flush()
                         total[:] = 0
                     at = r
-                np.add.at(total, np.repeat(np.arange(256) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16), 1)
+                np.add.at(total, np.repeat(np.arange(64) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16), 1)
         if at is not None:
             yield flush()
 
@@ -133,35 +150,45 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, heavy) -> DataFrame:
-    """id, n, fp, gid, prefix (binary, hashes in order) and salts (binary, how many salts each hash has) of every document."""
+    """id, n, fp, gid, prefix (binary, hashes in order), salts (binary, how many salts each hash has), parity of every document."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batches):
         bucket, count = heavy.value
+        some = np.zeros(1 << 24, bool)  # whether any heavy bucket starts with these 24 bits
+        some[bucket >> np.uint32(6)] = True
         for batch in runtime.slices(batches, "text"):
-            ns, fps, gids, prefixes, salts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, width)
-                n = len(s)
+            found = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            ns = np.array([len(s) for s in found])
+            flat = np.concatenate(found)
+            weight = np.zeros(len(flat), np.int64)
+            top = (flat >> _TOP).astype(np.uint32)
+            near = np.flatnonzero(some[top >> np.uint32(6)])
+            if len(near):
+                at = np.minimum(np.searchsorted(bucket, top[near]), len(bucket) - 1)
+                weight[near] = np.where(bucket[at] == top[near], count[at], 0)
+            heavy_in = segment_sums(weight, ns)
+            fps, gids, prefixes, salts, parities, end = [], [], [], [], [], 0
+            for s, n, any_heavy in zip(found, ns.tolist(), heavy_in.tolist(), strict=True):
                 p = n - -(-num * n // den) + 1 if n else 0
-                weight = np.zeros(n, np.int64)
-                if len(bucket) and n:
-                    top = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(bucket, top), len(bucket) - 1)
-                    weight = np.where(bucket[at] == top, count[at], 0)
-                    if weight.any():
-                        order = np.lexsort((s, weight))[:p]
-                        prefix, weight = s[order], weight[order]
-                    else:
-                        prefix = s[:p]
+                w = weight[end : end + n]
+                end += n
+                if any_heavy:
+                    order = np.lexsort((s, w))[:p]
+                    prefix, w = s[order], w[order]
                 else:
-                    prefix = s[:p]
-                ns.append(n), prefixes.append(prefix.tobytes()), fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    prefix, w = s[:p], w[:p]
+                prefixes.append(prefix.tobytes())
+                salts.append((w // SALTED + 1).astype(np.int32).tobytes())
+                fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 gids.append(int.from_bytes(hashlib.blake2b(prefixes[-1], digest_size=8).digest(), "little", signed=True))
-                salts.append((weight[:p] // SALTED + 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(fps, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary())], ["id", "n", "fp", "gid", "prefix", "salts"])
+                parities.append(parity(s))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ns.astype(np.int32)), pa.array(fps, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary()), pa.array(parities, pa.binary())],
+                ["id", "n", "fp", "gid", "prefix", "salts", "parity"],
+            )
 
-    return docs.mapInArrow(run, f"id {kind}, n int, fp binary, gid long, prefix binary, salts binary")
+    return docs.mapInArrow(run, f"id {kind}, n int, fp binary, gid long, prefix binary, salts binary, parity binary")
 
 
 def _entries(groups: DataFrame) -> DataFrame:
@@ -229,6 +256,20 @@ def _can_link(n1, pos1, n2, pos2, num: int, den: int):
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (1 + F.least(n1 - pos1, n2 - pos2) - 1 >= need)
 
 
+def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sets may differ by little enough, by their parities: exact bounds at a hundredth of the sets' size."""
+    side = lambda c: members.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [least_difference(p, q) * (num + den) <= (i + j) * (den - num) for p, q, i, j in zip(x, y, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a binary, b binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of fingerprints whose whole sets are similar enough."""
     left = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha"))
@@ -265,7 +306,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     heavy = spark.sparkContext.broadcast(_heavy(texts.select("text"), width, least_heavy, max_heavy))
     sets = runtime.materialize(_sets(texts, width, num, den, heavy), "sets")
     # members: one for each distinct set; groups: same size and prefix
-    members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low")), "members")
+    members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low"), F.first("parity").alias("parity")), "members")
     by_member = members.select("fp", "gid", "n")
     groups = runtime.materialize(members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size")), "groups")
     prefixes = sets.where("n > 0").groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
@@ -273,7 +314,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     heads = groups.select("gid", "n", "head")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = runtime.materialize(pairs.where("a <> b").distinct(), "pairs")
+        pairs = runtime.materialize(_likely(pairs.where("a <> b").distinct(), members, num, den), "pairs")
         return runtime.materialize(_verify(pairs, _whole_sets(texts, members, pairs, width), num, den), "links")
 
     # first look: every bucket's entries with its hub, salted buckets' hubs with the bucket's, groups' members with their head
