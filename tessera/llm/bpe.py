@@ -319,7 +319,7 @@ class Interner(dict):
 class Counter:
     """Token counts of texts; remembers the counts of pre-tokens that it has met, up to a limit."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 400_000) -> None:
+    def __init__(self, vocab: Vocabulary, limit: int = 250_000) -> None:
         self.vocab, self.codes, self.counts = vocab, Interner(limit), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -343,7 +343,7 @@ class Counter:
 class Encoder:
     """Token ids of texts; remembers the ids of pre-tokens that it has met, up to a limit."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 400_000) -> None:
+    def __init__(self, vocab: Vocabulary, limit: int = 250_000) -> None:
         self.vocab, self.codes = vocab, Interner(limit)
         self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 

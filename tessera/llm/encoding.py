@@ -14,14 +14,9 @@ from pyspark.sql import DataFrame
 
 from . import bpe, runtime
 
-_encoders: dict[tuple[str, str], bpe.Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> bpe.Encoder:
     """The encoder of this Python worker for a rank file (.tiktoken) or a description (.json)."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = bpe.Encoder((bpe.from_json if path.endswith(".json") else bpe.from_ranks)(path, pattern))
-    return _encoders[path, pattern]
+    return runtime.worker_cache(("encoder", path, pattern), lambda: bpe.Encoder((bpe.from_json if path.endswith(".json") else bpe.from_ranks)(path, pattern)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

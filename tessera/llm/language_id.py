@@ -207,7 +207,7 @@ def train(rows: DataFrame, path: str, text: Column, lang: Column, id_: Column, m
 class Predictor:
     """Scores texts with one model; remembers words that it has met, up to a limit."""
 
-    def __init__(self, model: Model, limit: int = 400_000) -> None:
+    def __init__(self, model: Model, limit: int = 250_000) -> None:
         self.model, self.vocab, self.words = model, pieces(model.path), Interner(limit)
         self.scores = np.zeros((0, len(model.languages)))
 
@@ -233,9 +233,6 @@ class Predictor:
         return np.where(none, -1, best), np.where(none, 0.0, sure)
 
 
-_predictors: dict[str, Predictor] = {}
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """``id_col``, extra columns, lang_pred and score of every whole text."""
     spark = docs.sparkSession
@@ -247,10 +244,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     name = model.name
 
     def run(batches):
-        if name not in _predictors:
-            _predictors.clear()
-            _predictors[name] = Predictor(held.value)
-        own = _predictors[name]
+        own = runtime.worker_cache(("predictor", name), lambda: Predictor(held.value))
         for batch in runtime.slices(batches, "text"):
             best, sure = own([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names[best], pa.string()), pa.array(np.round(sure, 6))], ["id", *batch.schema.names[2:], "lang_pred", "score"])

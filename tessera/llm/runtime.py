@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,7 +51,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+_held: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps between tasks: the object of one key. Another key's replaces it, so that the stages of a
+    pipeline, which share workers, don't add up their caches."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)  # freed words lie scattered over the heap
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         n = batch.num_rows

@@ -12,14 +12,9 @@ from pyspark.sql import DataFrame
 from . import bpe, runtime
 
 SCHEMA = "id long, n_bytes long, n_tokens long, over_limit boolean"
-#: One counter per Python worker and vocabulary.
-_counters: dict[tuple[str, str], bpe.Counter] = {}
-
 
 def _counter(path: str, pattern: str) -> bpe.Counter:
-    if (path, pattern) not in _counters:
-        _counters[path, pattern] = bpe.Counter(bpe.from_json(path, pattern))
-    return _counters[path, pattern]
+    return runtime.worker_cache(("counter", path, pattern), lambda: bpe.Counter(bpe.from_json(path, pattern)))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
