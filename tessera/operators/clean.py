@@ -96,3 +96,14 @@ def searchable(rw_type: Column, name: Column, boro: Column) -> Column:
     """Segments that people may search: fixed road types, a name that is no ramp or footway, a borough."""
     no_street = r"PEDESTRIAN|\bOPAS\b|\bOVPS\b|\bPED\b|\b(EN|ET|EX)\b|\bEXIT\b|ENTRANCE|ENTRY|\bRAMP\b|\bRP\b"
     return rw_type.isin(1, 2, 3, 4, 5, 7, 10) & (F.trim(name) != "") & ~name.rlike(no_street) & boro.between(1, 5)
+
+
+def alias_groups(df: DataFrame, keys: list[str], name: str, least: int = 2, most: int = 4) -> DataFrame:
+    """Names under one key, where there are a few: keys..., name, aliases (the others, in order).
+
+    Groups are counted before they are gathered, so no list grows beyond ``most``."""
+    names = df.select(*keys, name).where(F.col(name).isNotNull()).distinct()
+    few = names.groupBy(*keys).count().where(F.col("count").between(least, most)).drop("count")
+    lists = names.join(few, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias("_all"))
+    flat = lists.select(*keys, "_all", F.explode("_all").alias(name))
+    return flat.select(*keys, name, F.array_join(F.array_remove(F.col("_all"), F.col(name)), " | ").alias("aliases"))

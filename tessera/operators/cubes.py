@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.grid import CITY, Grid, axial
+from tessera.functions.grid import CITY, Grid, axial, distance_m, hilbert_key
 from tessera.functions.period import in_months, in_types
 
 #: Where each question is answered: (kind of place, needs hours) -> cube.
@@ -100,3 +100,25 @@ def undrawable(facts: DataFrame) -> DataFrame:
 def conserved(tables: dict[str, tuple[DataFrame, int]]) -> list[str]:
     """Names of cubes whose n don't add up to what they should."""
     return [name for name, (df, want) in tables.items() if (df.agg(F.sum("n")).first()[0] or 0) != want]
+
+
+def in_circle(points: DataFrame, lat: float, lon: float, radius: float, grid: Grid = CITY) -> DataFrame:
+    """Rows within a radius of a place: a box that reaches the scan, then the exact distance."""
+    dy, dx = radius / grid.ky, radius / grid.kx
+    box = F.col("lat").between(lat - dy, lat + dy) & F.col("lon").between(lon - dx, lon + dx)
+    return points.where(box).where(distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), grid) <= radius)
+
+
+def clustered_points(facts: DataFrame) -> DataFrame:
+    """The cube of places with hk, the smallest Hilbert key of the doubles that became one float place: the order to write in."""
+    at = facts.where("lt = 0").withColumn("hk", hilbert_key(F.col("lat"), F.col("lon")))
+    return at.groupBy(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), "m", "cat").agg(F.count("*").alias("n"), F.min("hk").alias("hk"))
+
+
+def street_index(counts: DataFrame, lengths: DataFrame, key: str, least_m: float = 300.0) -> DataFrame:
+    """Per 100 m: rate, index against the city (every street counts there) and whether the street is long enough to rank."""
+    rows = lengths.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    city = rows.agg((F.sum("n") / F.sum("length_m") * 100).alias("_city"))
+    rate = F.try_divide(F.col("n").cast("double"), F.col("length_m")) * 100
+    out = rows.crossJoin(F.broadcast(city))  # one row
+    return out.select(key, "n", "length_m", rate.alias("rate"), F.try_divide(100.0 * rate, F.col("_city")).alias("idx"), (F.col("length_m") >= least_m).alias("ranked"))

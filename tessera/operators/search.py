@@ -111,3 +111,25 @@ def search_areas(places: DataFrame, typed: str, borough: int = 0) -> DataFrame:
     rank = F.when(name == q, 0).when(name.startswith(q), 1).when(F.exists(F.split(name, " "), lambda w: w.startswith(q)), 2)
     rows = places.where((F.col("boro") == borough) | F.col("boro").isNull()) if borough else places
     return rows.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("order_key", natural_key(F.col("label")))
+
+
+def borough_lists(places: DataFrame) -> DataFrame:
+    """All places by borough (in the order of lists), then by natural order: section (from 0) and order_key."""
+    section = F.array_position(F.array(*[F.lit(b) for b in LIST_ORDER]), F.col("boro")) - 1
+    return places.withColumn("section", section.cast("int")).where("section >= 0").withColumn("order_key", natural_key(F.col("label")))
+
+
+def block_segments(segments: DataFrame, block: Column) -> DataFrame:
+    """Segments (lf, lt, rf, rt) of a block: those whose middle house number, of the first side with numbers, falls in it."""
+    has = lambda lo, hi: (F.col(lo) > 0) & (F.col(hi) > 0)
+    middle = F.when(has("lf", "lt"), F.floor((F.col("lf") + F.col("lt")) / 2)).when(has("rf", "rt"), F.floor((F.col("rf") + F.col("rt")) / 2)).otherwise(-1)
+    from tessera.functions.names import block_of
+
+    return segments.where(block_of(middle) == block)
+
+
+def cross_streets(ends: DataFrame, corners: DataFrame, reach: int = 6) -> DataFrame:
+    """Streets that meet a block's ends: ends (street, x, y) near corners (a, b, x, y) of that street, in units of 1e-5 degree."""
+    either = corners.select(F.col("a").alias("street"), F.col("b").alias("other"), F.col("x").alias("cx"), F.col("y").alias("cy")).unionByName(corners.select(F.col("b").alias("street"), F.col("a").alias("other"), F.col("x").alias("cx"), F.col("y").alias("cy")))
+    dx, dy = F.col("x").cast("bigint") - F.col("cx"), F.col("y").cast("bigint") - F.col("cy")
+    return ends.join(either, "street").where(dx * dx + dy * dy <= reach * reach).select("street", "x", "y", "other").distinct()

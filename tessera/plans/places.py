@@ -252,3 +252,21 @@ def point_along_line(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("id"), grid.decode_xy(flat).alias("points"))
     at = rows.withColumn("p", grid.point_along(F.col("points"), F.col("id") % 100 / 100.0))
     return at.select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT street, seg FROM s WHERE (lf + lt) // 2 // 100 * 100 = 300")
+def block_segments(spark: SparkSession, d: str) -> DataFrame:
+    return search.block_segments(_segments(spark, d), F.lit(300)).select("street", "seg")
+
+
+@query(f"WITH c AS (SELECT i AS a, j + {LATTICE} AS b, CAST(round_even((-74.25 + j / 32.0) * 100000, 0) AS INT) AS x, CAST(round_even((40.5 + i / 32.0) * 100000, 0) AS INT) AS y FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)) SELECT CAST(a AS INT) AS street, CAST(x + 4 AS INT) AS x, CAST(y - 4 AS INT) AS y, CAST(b AS INT) AS other FROM c WHERE a = 5")
+def cross_streets(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spatial.corner_pairs(lattice_nodes(spark)).select("a", "b", grid.quantize(F.col("lon")).alias("x"), grid.quantize(F.col("lat")).alias("y"))
+    ends = pairs.where("a = 5").select(F.col("a").alias("street"), (F.col("x") + 4).alias("x"), (F.col("y") - 4).alias("y"))
+    return search.cross_streets(ends, pairs)
+
+
+@query("SELECT n_nationkey, CAST(list_position([1, 3, 4, 2, 5], n_regionkey + 1) - 1 AS INT) AS section, regexp_extract(lower(n_name), '^[^0-9]*') || lpad(regexp_extract(n_name, '[0-9]+'), 12, '0') AS order_key FROM nation")
+def borough_lists(spark: SparkSession, d: str) -> DataFrame:
+    places = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("label"), (F.col("n_regionkey") + 1).alias("boro"))
+    return search.borough_lists(places).select("n_nationkey", "section", "order_key")

@@ -347,3 +347,46 @@ h{i + 1} AS (SELECT loc_id, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN {s} - 1
 @query(_hilbert_sql())
 def hilbert_key(spark: SparkSession, d: str) -> DataFrame:
     return locs(spark, d).select("loc_id", grid.hilbert_key(F.col("lat"), F.col("lon")).alias("hk"))
+
+
+_CIRCLE = f"{WITH}, near AS (SELECT * FROM facts WHERE lt = 0 AND sqrt(pow((lon + 74.0) * (111320.0 * cos(radians(40.73))), 2) + pow((lat - 40.7) * 110950.0, 2)) <= 5000)"
+
+
+@query(f"{_CIRCLE} SELECT m, cat, count(*) AS n FROM near GROUP BY 1, 2")
+def circle_series(spark: SparkSession, d: str) -> DataFrame:
+    points = facts(spark, d).where("lt = 0").groupBy("lat", "lon", "m", "cat").agg(F.count("*").alias("n"))
+    return cubes.counts(cubes.in_circle(points, 40.7, -74.0, 5000.0), ["m", "cat"])
+
+
+@query(f"{WITH}, s AS (SELECT lat, lon FROM facts WHERE lt = 0 ORDER BY id LIMIT 1) SELECT f.cat, count(*) AS n FROM facts f, s WHERE f.lat = s.lat AND f.lon = s.lon GROUP BY 1")
+def spot_by_type(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.clean import same_place
+
+    f = facts(spark, d)
+    at = f.where("lt = 0").orderBy("id").select("lat", "lon").first()  # the place that someone picked
+    cube = cubes.points_cube(f)
+    return cubes.counts(cube.where(same_place(F.col("lat"), F.col("lon"), at.lat, at.lon)) if at else cube.limit(0), ["cat"])
+
+
+@query(_hilbert_sql().replace(" SELECT loc_id, d AS hk FROM h16", ", p AS (SELECT CAST(f.lat AS FLOAT) AS lat, CAST(f.lon AS FLOAT) AS lon, m, cat, count(*) AS n, min(h.d) AS hk FROM facts f JOIN h16 h ON f.loc_id = h.loc_id WHERE lt = 0 GROUP BY 1, 2, 3, 4) SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, m, cat, n, hk FROM p"))
+def clustered_points(spark: SparkSession, d: str) -> DataFrame:
+    return cubes.clustered_points(facts(spark, d)).select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "m", "cat", "n", "hk")
+
+
+@query(f"{WITH}, len AS (SELECT pct AS street, count(*) * 10.0::DOUBLE AS length_m FROM locs GROUP BY 1), n AS (SELECT pct AS street, count(*) AS n FROM facts WHERE {NOW_SQL} GROUP BY 1), j AS (SELECT len.street, coalesce(n, 0) AS n, length_m FROM len LEFT JOIN n ON len.street = n.street) SELECT street, n, length_m, round(n / length_m * 100, 6) AS rate, round(100.0 * (n / length_m * 100) / (SELECT sum(n) / sum(length_m) * 100 FROM j), 6) AS idx, length_m >= 600 AS ranked FROM j")
+def street_index(spark: SparkSession, d: str) -> DataFrame:
+    lengths = locs(spark, d).groupBy(F.col("pct").alias("street")).agg((F.count("*") * 10.0).alias("length_m"))
+    n = cubes.counts(cubes.cube(facts(spark, d).withColumn("street", F.col("pct")), ["street"]), ["street"], NOW)
+    return cubes.street_index(n, lengths, "street", 600.0).withColumns({"rate": F.round("rate", 6), "idx": F.round("idx", 6)})
+
+
+@query(f"{WITH}, b AS (SELECT CAST(loc_id // 100 * 100 AS BIGINT) AS block, m, cat FROM facts WHERE pct = 7) SELECT block, count(*) FILTER (WHERE {NOW_SQL}) AS now, count(*) FILTER (WHERE {BEFORE_SQL}) AS before FROM b WHERE {NOW_SQL} OR {BEFORE_SQL} GROUP BY 1")
+def blocks_along_street(spark: SparkSession, d: str) -> DataFrame:
+    blocks = cubes.cube(facts(spark, d).withColumns({"street": F.col("pct"), "block": F.col("loc_id") - F.col("loc_id") % 100}), ["street", "block"])
+    return cubes.now_and_before(blocks.where("street = 7"), ["block"], NOW, BEFORE).na.fill(0, ["now", "before"])
+
+
+@query(f"{WITH} SELECT pct, count(*) FILTER (WHERE {NOW_SQL}) AS now, count(*) FILTER (WHERE {BEFORE_SQL}) AS before FROM facts WHERE lt = 0 AND boro = 3 AND {TYPES_SQL} AND ({NOW_SQL} OR {BEFORE_SQL}) GROUP BY 1")
+def areas_of_borough(spark: SparkSession, d: str) -> DataFrame:
+    cube = cubes.cube(facts(spark, d), ["pct", "boro"], F.col("lt") == 0).where("boro = 3")
+    return cubes.now_and_before(cube, ["pct"], NOW, BEFORE, TYPES).na.fill(0, ["now", "before"])

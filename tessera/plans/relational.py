@@ -241,3 +241,10 @@ def fanout_join_float(spark: SparkSession, d: str) -> DataFrame:
     bridge = locs(spark, d).withColumn("street", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col("loc_id") + F.col("street")) % 3 < 2)
     bridge = bridge.select(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), "street").distinct()
     return cubes.fan_out(facts(spark, d).where("lat IS NOT NULL"), bridge).groupBy("street", "cat").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT c_custkey // 3 % 400 AS code, c_nationkey % 5 AS boro, c_name AS name FROM customer), g AS (SELECT code, boro, list_sort(list(name)) AS ns FROM r GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4)
+SELECT code, boro, name, array_to_string(list_filter(ns, lambda x: x <> name), ' | ') AS aliases FROM (SELECT code, boro, ns, unnest(ns) AS name FROM g)""")
+def alias_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select((F.expr("c_custkey DIV 3") % 400).alias("code"), (F.col("c_nationkey") % 5).alias("boro"), F.col("c_name").alias("name"))
+    return clean.alias_groups(rows, ["code", "boro"], "name")
