@@ -46,11 +46,6 @@ def percentile_in_vector(value: Column, vector: Column) -> Column:
     return F.least(F.lit(99), F.greatest(F.lit(0), below - 1))
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the middle values."""
-    return F.percentile_disc(x, 0.5) if hasattr(F, "percentile_disc") else F.sort_array(F.collect_list(x))[F.floor(F.count(x) / 2).cast("int")]
-
-
 def round_friendly(x: float) -> float:
     """The friendly number closest to x on a log scale."""
     if not x > 0:

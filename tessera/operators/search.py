@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.grid import point_along
-from tessera.functions.names import HYPHEN_BASE, match_words, street_key, strip_accents
+from tessera.functions.names import HYPHEN_BASE, block_of, match_words, street_key, strip_accents
 
 # How boroughs are written at the end of a search, and their order in lists.
 BOROUGHS = (
@@ -123,8 +123,6 @@ def block_segments(segments: DataFrame, block: Column) -> DataFrame:
     """Segments (lf, lt, rf, rt) of a block: those whose middle house number, of the first side with numbers, falls in it."""
     has = lambda lo, hi: (F.col(lo) > 0) & (F.col(hi) > 0)
     middle = F.when(has("lf", "lt"), F.floor((F.col("lf") + F.col("lt")) / 2)).when(has("rf", "rt"), F.floor((F.col("rf") + F.col("rt")) / 2)).otherwise(-1)
-    from tessera.functions.names import block_of
-
     return segments.where(block_of(middle) == block)
 
 

@@ -69,7 +69,7 @@ def polys(spark: SparkSession, d: str) -> DataFrame:
 def lattice(spark: SparkSession) -> DataFrame:
     """Streets on a lattice: 16 from west to east (0 to 15), 16 from south to north (16 to 31); one segment each."""
     k = F.col("k").cast("double") / 32
-    row = lambda a, b: F.array(*[F.struct(F.lit(y).alias("lat") if not hasattr(y, "alias") else y.alias("lat"), F.lit(x).alias("lon") if not hasattr(x, "alias") else x.alias("lon")) for y, x in (a, b)])
+    row = lambda a, b: F.array(*[F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in (a, b)])
     base = spark.range(LATTICE).select(F.col("id").cast("int").alias("k"))
     across = base.select(F.col("k").alias("street"), row((40.5 + k, -74.25), (40.5 + k, -73.75)).alias("points"))
     along = base.select((F.col("k") + LATTICE).alias("street"), row((40.5, -74.25 + k), (41.0, -74.25 + k)).alias("points"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid, names
-from tessera.operators import report, search, spatial
+from tessera.operators import reconcile, report, search, spatial
 from tessera.plans.fixtures import LATTICE, WITH, facts, lattice, lattice_nodes, locs, polys, table
 from tessera.plans.registry import query
 
@@ -57,11 +57,9 @@ def area_population(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_HITS}, f AS (SELECT l.loc_id, l.pct, b.code FROM locs l LEFT JOIN hit b ON l.lat = b.lat AND l.lon = b.lon) SELECT count(*) FILTER (WHERE pct = code) AS same, count(*) FILTER (WHERE pct <> code) AS different, count(*) FILTER (WHERE pct IS NULL OR code IS NULL) AS unknown, round(100.0 * count(*) FILTER (WHERE pct = code) / count(*) FILTER (WHERE pct = code OR pct <> code), 2) AS pct_same FROM f")
 def field_vs_polygon(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators.reconcile import agreement
-
     at = locs(spark, d)
     code = spatial.polygon_hits(at, polys(spark, d), CELL).groupBy("lat", "lon").agg(F.min("code").alias("code"))
-    return agreement(at.join(code, ["lat", "lon"], "left"), F.col("pct"), F.col("code"))
+    return reconcile.agreement(at.join(code, ["lat", "lon"], "left"), F.col("pct"), F.col("code"))
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -111,12 +109,12 @@ def _snapped(spark: SparkSession, d: str) -> DataFrame:
     return spatial.snap_to_network(locs(spark, d), lattice(spark), lattice_nodes(spark), "loc_id", REACH, CORNER)
 
 
-@query(f"{_SNAP} SELECT loc_id, street FROM snapped")
+@query(f"{_SNAP} SELECT loc_id, CAST(street AS INT) AS street FROM snapped")
 def snap_to_network(spark: SparkSession, d: str) -> DataFrame:
     return _snapped(spark, d).select("loc_id", "street")
 
 
-@query(f"{WITH}, {_LINES} SELECT loc_id, street, round(d, 4) AS d FROM ok")
+@query(f"{WITH}, {_LINES} SELECT loc_id, CAST(street AS INT) AS street, round(d, 4) AS d FROM ok")
 def network_candidates(spark: SparkSession, d: str) -> DataFrame:
     return spatial.network_candidates(locs(spark, d), lattice(spark), REACH, "loc_id").select("loc_id", "street", F.round("d", 4).alias("d"))
 
@@ -127,7 +125,7 @@ def corner_assign(spark: SparkSession, d: str) -> DataFrame:
     return _snapped(spark, d).join(met, "loc_id", "left_semi").agg(F.count_distinct("loc_id").alias("at_corner"), F.count("*").alias("assignments"))
 
 
-@query(f"SELECT i AS a, j + {LATTICE} AS b, 40.5 + i / 32.0 AS lat, -74.25 + j / 32.0 AS lon FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)")
+@query(f"SELECT CAST(i AS INT) AS a, CAST(j + {LATTICE} AS INT) AS b, 40.5 + i / 32.0 AS lat, -74.25 + j / 32.0 AS lon FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)")
 def corner_pairs(spark: SparkSession, d: str) -> DataFrame:
     return spatial.corner_pairs(lattice_nodes(spark))
 

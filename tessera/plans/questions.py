@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid
 from tessera.functions.period import Period, Span, baseline_of, days_of, in_months, months_of
-from tessera.operators import cubes, report
+from tessera.operators import audit, clean, cubes, report
 from tessera.plans.fixtures import MONTHS, WITH, facts, locs, table
 from tessera.plans.registry import query
 
@@ -47,7 +47,7 @@ _KX = "(111320.0 * cos(radians(40.73)))"
 
 
 @query(f"""{HEX}, c AS (SELECT DISTINCT CAST(q AS DOUBLE) AS q, CAST(r AS DOUBLE) AS r FROM hex), p AS (SELECT *, 180.0 * sqrt(3.0) * (q + r / 2.0) AS x, 180.0 * 1.5 * r AS y FROM c)
-SELECT CAST(q AS INT) AS q, CAST(r AS INT) AS r, round(y / 110950.0 + 40.73, 9) AS lat, round(x / {_KX} + (-73.95), 9) AS lon,
+SELECT CAST(q AS SMALLINT) AS q, CAST(r AS SMALLINT) AS r, round(y / 110950.0 + 40.73, 9) AS lat, round(x / {_KX} + (-73.95), 9) AS lon,
   round(y / 110950.0 + 40.73 + 180.0 * sin(radians(30.0)) / 110950.0, 9) AS corner_lat, round(x / {_KX} + (-73.95) + 180.0 * cos(radians(30.0)) / {_KX}, 9) AS corner_lon FROM p""")
 def hex_center(spark: SparkSession, d: str) -> DataFrame:
     cells = cubes.hex_cube(facts(spark, d)).select("q", "r").distinct()
@@ -296,9 +296,7 @@ def busiest_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT premise, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM facts WHERE pct = 7 GROUP BY 1 ORDER BY n DESC, premise LIMIT 5")
 def premise_share(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators.audit import share_of_total
-
-    return share_of_total(facts(spark, d).where("pct = 7"), "premise", 4).orderBy(F.desc("n"), "premise").limit(5)
+    return audit.share_of_total(facts(spark, d).where("pct = 7"), "premise", 4).orderBy(F.desc("n"), "premise").limit(5)
 
 
 _BREAKS = f"{HEX}, n AS (SELECT q, r, count(*) AS n FROM hex GROUP BY 1, 2), v AS (SELECT list_sort(list(n)) AS v, count(*) AS c FROM n)"
@@ -307,8 +305,6 @@ _PICK = ", ".join(f"v[CAST(least(c - 1, floor({p} * c)) + 1 AS BIGINT)] AS b{i}"
 
 def _raw_breaks(n: DataFrame) -> DataFrame:
     """Values at the class shares, one row. Ranks come from counts of equal values, so no list is gathered."""
-    from pyspark.sql import Window
-
     values = n.where("n > 0").groupBy("n").agg(F.count("*").alias("k"))
     upto = values.withColumns({"upto": F.sum("k").over(Window.partitionBy().orderBy("n")), "of": F.sum("k").over(Window.partitionBy())})
     at = lambda p: F.least(F.col("of") - 1, F.floor(p * F.col("of")))
@@ -360,12 +356,10 @@ def circle_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH}, s AS (SELECT lat, lon FROM facts WHERE lt = 0 ORDER BY id LIMIT 1) SELECT f.cat, count(*) AS n FROM facts f, s WHERE f.lat = s.lat AND f.lon = s.lon GROUP BY 1")
 def spot_by_type(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.operators.clean import same_place
-
     f = facts(spark, d)
     at = f.where("lt = 0").orderBy("id").select("lat", "lon").first()  # the place that someone picked
     cube = cubes.points_cube(f)
-    return cubes.counts(cube.where(same_place(F.col("lat"), F.col("lon"), at.lat, at.lon)) if at else cube.limit(0), ["cat"])
+    return cubes.counts(cube.where(clean.same_place(F.col("lat"), F.col("lon"), at.lat, at.lon)) if at else cube.limit(0), ["cat"])
 
 
 @query(_hilbert_sql().replace(" SELECT loc_id, d AS hk FROM h16", ", p AS (SELECT CAST(f.lat AS FLOAT) AS lat, CAST(f.lon AS FLOAT) AS lon, m, cat, count(*) AS n, min(h.d) AS hk FROM facts f JOIN h16 h ON f.loc_id = h.loc_id WHERE lt = 0 GROUP BY 1, 2, 3, 4) SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, m, cat, n, hk FROM p"))

@@ -35,9 +35,6 @@ def read_dictionary(spark: SparkSession, path: str, types: str | None = None) ->
     return reader.schema(types).option("nullValue", "").csv(path) if types else reader.csv(path)
 
 
-_RING = "array<array<double>>"
-
-
 def read_polygons(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A GeoJSON feature collection: code (zero-padded to 8), ordinal in that order is the code itself, rings of x and y.
 
