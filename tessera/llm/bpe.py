@@ -242,7 +242,7 @@ def encode_padded(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.n
             counts[members] = [len(x) for x in done]
             order.append(members)
             continue
-        width, step = BUCKETS[b], max(1, 4_000_000 // BUCKETS[b])
+        width, step = BUCKETS[b], max(1, 400_000 // BUCKETS[b])
         for at in range(0, len(members), step):
             rows = members[at : at + step]
             columns = np.arange(width)[None, :]

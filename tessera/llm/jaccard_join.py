@@ -105,7 +105,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, width))
                 size += len(held[-1])
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -149,7 +149,7 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
     return bucket[order], count[order]
 
 
-def _sets(docs: DataFrame, width: int, num: int, den: int, heavy) -> DataFrame:
+def _sets(docs: DataFrame, width: int, num: int, den: int, heavy, salted: int) -> DataFrame:
     """id, n, fp, gid, prefix (binary, hashes in order), salts (binary, how many salts each hash has), parity of every document."""
     kind = dict(docs.dtypes)["id"]
 
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, heavy) -> DataFrame:
                 else:
                     prefix, w = s[:p], w[:p]
                 prefixes.append(prefix.tobytes())
-                salts.append((w // SALTED + 1).astype(np.int32).tobytes())
+                salts.append((w // salted + 1).astype(np.int32).tobytes())
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 gids.append(int.from_bytes(hashlib.blake2b(prefixes[-1], digest_size=8).digest(), "little", signed=True))
                 parities.append(parity(s))
@@ -298,13 +298,16 @@ def _whole_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: i
     return runtime.materialize(found.dropDuplicates(["fp"]), "whole")
 
 
-def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 24, max_heavy: int = 1_000_000) -> DataFrame:
-    """``id_col``, n_shingles, component_id of every document; two documents link if den * |intersection| >= num * |union|."""
+def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 24, max_heavy: int = 1_000_000, salted: int = SALTED) -> DataFrame:
+    """``id_col``, n_shingles, component_id of every document; two documents link if den * |intersection| >= num * |union|.
+
+    least_heavy, max_heavy: from how many documents on a hash is frequent, and how many such are broadcast at most; salted:
+    entries of a frequent hash in one salt. They change the work, not the result."""
     spark = docs.sparkSession
     runtime.ship(spark)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     heavy = spark.sparkContext.broadcast(_heavy(texts.select("text"), width, least_heavy, max_heavy))
-    sets = runtime.materialize(_sets(texts, width, num, den, heavy), "sets")
+    sets = runtime.materialize(_sets(texts, width, num, den, heavy, salted), "sets")
     # members: one for each distinct set; groups: same size and prefix
     members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low"), F.first("parity").alias("parity")), "members")
     by_member = members.select("fp", "gid", "n")

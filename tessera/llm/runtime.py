@@ -51,6 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for a while after their task, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 _held: dict = {}
 
 
@@ -60,8 +66,7 @@ def worker_cache(key, make):
     if key not in _held:
         if _held:
             _held.clear()
-            pa.default_memory_pool().release_unused()
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)  # freed words lie scattered over the heap
+            give_back()
         _held[key] = make()
     return _held[key]
 
@@ -83,3 +88,5 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000)
                 start, total = i, 0
             total += size
         yield batch.slice(start, n - start)
+        del batch, column, sizes
+    give_back()
