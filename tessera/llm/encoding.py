@@ -19,6 +19,16 @@ def encoder(path: str, pattern: str) -> bpe.Encoder:
     return runtime.worker_cache(("encoder", path, pattern), lambda: bpe.Encoder((bpe.from_json if path.endswith(".json") else bpe.from_ranks)(path, pattern)))
 
 
+def encode_texts(own: bpe.Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, concatenated, and how many each has; pre-tokens of long texts are held piece by piece."""
+    total, found = np.zeros(len(texts), np.int64), []
+    for rows, held in runtime.parts(texts):
+        ids, counts = own(held)
+        np.add.at(total, rows, counts)
+        found.append(ids)
+    return (np.concatenate(found) if found else np.zeros(0, np.int32)), total
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ids (array<int>) of every whole text."""
     runtime.ship(docs.sparkSession)
@@ -26,7 +36,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         own = encoder(path, pattern)
         for batch in runtime.slices(batches, "text"):
-            ids, counts = own([x or "" for x in batch.column(1).to_pylist()])
+            ids, counts = encode_texts(own, [x or "" for x in batch.column(1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
 
@@ -58,12 +68,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches):
         own = encoder(path, pattern)
         for batch in runtime.slices(batches, "text"):
-            ids, counts = own([x or "" for x in batch.column(1).to_pylist()])
-            data = memoryview(own.vocab.decode(ids))
-            ends, byte_ends = np.cumsum(counts), np.cumsum(bpe.segment_sums(own.vocab.lengths[ids], counts))
-            raw = memoryview(ids.astype("<u4").tobytes())
-            sha = lambda view, stops, k: [hashlib.sha256(view[k * a : k * b]).hexdigest() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sha(raw, ends, 4)), pa.array(sha(data, byte_ends, 1))], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            total = np.zeros(len(texts), np.int64)
+            digests = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
+            for rows, held in runtime.parts(texts):
+                ids, counts = own(held)
+                np.add.at(total, rows, counts)
+                raw, data = memoryview(ids.astype("<u4").tobytes()), memoryview(own.vocab.decode(ids))
+                ends, byte_ends = np.cumsum(counts).tolist(), np.cumsum(bpe.segment_sums(own.vocab.lengths[ids], counts)).tolist()
+                a = b = 0
+                for row, end, byte_end in zip(rows, ends, byte_ends, strict=True):
+                    digests[row][0].update(raw[4 * a : 4 * end])
+                    digests[row][1].update(data[b:byte_end])
+                    a, b = end, byte_end
+            hexes = [pa.array([d[k].hexdigest() for d in digests]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), *hexes], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -54,10 +54,11 @@ class _Words(dict):
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words than width, the one hash of them all."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(runtime.worker_cache("words", _Words).__getitem__, words)), np.uint64)
+    hash_of = runtime.worker_cache("words", _Words).__getitem__
+    found = [np.array(list(map(hash_of, piece.encode().translate(_LOWER).split())), np.uint64) for piece in runtime.pieces(text or "")]
+    h = found[0] if len(found) == 1 else np.concatenate(found)
+    if not len(h):
+        return h
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(width, len(h))))
     for k in range(min(width, len(h))):
@@ -89,7 +90,10 @@ def least_difference(a: bytes, b: bytes) -> int:
 def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
     """bucket (the upper 30 bits of hashes), count: those that at least ``least`` documents have.
 
-    Each of 256 ranges of buckets gets the next 6 bits as counts and the last 16 as an array."""
+    The first bits of a bucket are its range (256 ranges at least, more where there are over 1,024 partitions, so that a
+    task's stream stays bounded), the last 16 an array; between them, counts say how many of the array are whose."""
+    bits = min(14, max(8, docs.rdd.getNumPartitions().bit_length() - 2))
+    ranges, between, span = 1 << bits, 1 << (14 - bits), 30 - bits
 
     def deal(batches):
         held: list[np.ndarray] = []
@@ -97,9 +101,9 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
 
         def flush():
             top = np.sort((np.concatenate(held) >> _TOP).astype(np.uint32))
-            counts = np.bincount(top >> np.uint32(16), minlength=1 << 14).astype(np.uint32).reshape(256, 64)
+            counts = np.bincount(top >> np.uint32(16), minlength=1 << 14).astype(np.uint32).reshape(ranges, between)
             low, ends = (top & np.uint32(0xFFFF)).astype(np.uint16), np.cumsum(counts.sum(1))
-            return pa.RecordBatch.from_pydict({"range": pa.array(np.arange(256, dtype=np.int32)), "counts": [c.tobytes() for c in counts], "low": [low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+            return pa.RecordBatch.from_pydict({"range": pa.array(np.arange(ranges, dtype=np.int32)), "counts": [c.tobytes() for c in counts], "low": [low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
         for batch in runtime.slices(batches, "text"):
             for text in batch.column(0).to_pylist():
@@ -112,11 +116,11 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
             yield flush()
 
     def count(batches):
-        at, total = None, np.zeros(1 << 22, np.uint32)
+        at, total = None, np.zeros(1 << span, np.uint32)
 
         def flush():
             found = np.flatnonzero(total >= least)
-            return pa.RecordBatch.from_arrays([pa.array((found + (at << 22)).astype(np.int64)), pa.array(total[found].astype(np.int64))], ["bucket", "count"])
+            return pa.RecordBatch.from_arrays([pa.array((found + (at << span)).astype(np.int64)), pa.array(total[found].astype(np.int64))], ["bucket", "count"])
 
         for batch in batches:
             for r, counts, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -125,12 +129,12 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
                         yield flush()
                         total[:] = 0
                     at = r
-                np.add.at(total, np.repeat(np.arange(64) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16), 1)
+                np.add.at(total, np.repeat(np.arange(between) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16), 1)
         if at is not None:
             yield flush()
 
     dealt = docs.mapInArrow(deal, "range int, counts binary, low binary")
-    return dealt.repartition(64, "range").sortWithinPartitions("range").mapInArrow(count, "bucket long, count long")
+    return dealt.repartition(ranges // 4, "range").sortWithinPartitions("range").mapInArrow(count, "bucket long, count long")
 
 
 def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +147,8 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
             from_ = s + 1
             break
         kept += steps[s]
-    rows = counted.where(F.floor(F.log2("count") * 4) >= from_).collect()  # at most ``most`` rows
-    bucket, count = np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.int64)
+    rows = counted.where(F.floor(F.log2("count") * 4) >= from_).toArrow()  # at most ``most`` rows
+    bucket, count = rows.column("bucket").to_numpy().astype(np.uint32), rows.column("count").to_numpy()
     order = np.argsort(bucket)
     return bucket[order], count[order]
 

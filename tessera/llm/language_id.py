@@ -212,7 +212,7 @@ class Predictor:
         self.scores = np.zeros((0, len(model.languages)))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: none) and its posterior probability."""
+        """(texts, languages) log-probabilities, and how many words each text has."""
         if len(self.words) > self.words.limit:
             self.words, self.scores = Interner(self.words.limit), self.scores[:0]
         flat: list[int] = []
@@ -221,16 +221,18 @@ class Predictor:
             found = list(map(self.words.__getitem__, WORDS.findall(text.lower())))
             sizes[i] = len(found)
             flat += found
-        if not self.model.languages:
-            return np.full(len(texts), -1), np.zeros(len(texts))
         if self.words.new:
             self.scores, self.words.new = np.vstack([self.scores, word_scores(self.words.new, self.vocab, self.model.table)]), []
         codes = np.array(flat, np.int64)
-        total = np.stack([segment_sums(column[codes], sizes) for column in self.scores.T], 1)
-        best = total.argmax(1)
-        sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        none = sizes == 0
-        return np.where(none, -1, best), np.where(none, 0.0, sure)
+        return np.stack([segment_sums(column[codes], sizes) for column in self.scores.T] or [np.zeros(len(texts))], 1)[:, : self.scores.shape[1]], sizes
+
+
+def decide(scores: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the language (-1: no word, or no language) and its posterior probability."""
+    if not scores.shape[1]:
+        return np.full(len(words), -1), np.zeros(len(words))
+    sure = 1 / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
+    return np.where(words == 0, -1, scores.argmax(1)), np.where(words == 0, 0.0, sure)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -246,7 +248,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         own = runtime.worker_cache(("predictor", name), lambda: Predictor(held.value))
         for batch in runtime.slices(batches, "text"):
-            best, sure = own([x or "" for x in batch.column(1).to_pylist()])
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            total, words = np.zeros((len(texts), len(names) - 1)), np.zeros(len(texts), np.int64)
+            for at, held_texts in runtime.parts(texts):
+                scores, sizes = own(held_texts)
+                np.add.at(total, at, scores)
+                np.add.at(words, at, sizes)
+            best, sure = decide(total, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names[best], pa.string()), pa.array(np.round(sure, 6))], ["id", *batch.schema.names[2:], "lang_pred", "score"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[v.alias(f"x{i}") for i, v in enumerate(extra.values())])

@@ -38,7 +38,7 @@ def cut(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1
         own = encoding.encoder(path, pattern)
         count, part = 0, TaskContext.get().partitionId()
         for batch in runtime.slices(batches, "text"):
-            ids, counts = own([x or "" for x in batch.column(1).to_pylist()])
+            ids, counts = encoding.encode_texts(own, [x or "" for x in batch.column(1).to_pylist()])
             ends, row, piece, start, length, crc, lists = np.cumsum(counts), [], [], [], [], [], []
             for i, (b, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
                 own_ids = np.append(ids[b - n : b], end_id).astype("<u4")

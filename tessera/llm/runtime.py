@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -90,3 +91,30 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000)
         yield batch.slice(start, n - start)
         del batch, column, sizes
     give_back()
+
+
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str, limit: int = 2_000_000) -> Iterator[str]:
+    """A text in pieces of about ``limit`` characters. Each but the first starts with a space that stands alone between
+    other characters: no word and no pre-token reaches over it."""
+    start = 0
+    while len(text) - start > limit and (gap := _GAP.search(text, start + limit)):
+        yield text[start : gap.start()]
+        start = gap.start()
+    yield text[start:]
+
+
+def parts(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[list[int], list[str]]]:
+    """All texts, long ones in pieces, so many at a time that they have about ``limit`` characters: their rows and themselves."""
+    rows, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text, limit) if len(text) > limit else (text,):
+            if held and size + len(piece) > limit:
+                yield rows, held
+                rows, held, size = [], [], 0
+            rows.append(i), held.append(piece)
+            size += len(piece)
+    if held:
+        yield rows, held

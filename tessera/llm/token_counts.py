@@ -6,6 +6,7 @@ only the id and text columns are read, so other columns can't clash. An empty ta
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +29,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
         count = _counter(path, pattern)
         for batch in runtime.slices(batches, "text"):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            n = count(texts)
+            n = np.zeros(len(texts), np.int64)
+            for rows, held in runtime.parts(texts):
+                np.add.at(n, rows, count(held))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[id_col]
