@@ -173,3 +173,29 @@ def test_retries_stop_at_client_errors():
         return b"ok"
 
     assert files.with_retry(fetch, sleep=waits.append) == b"ok" and waits == [5, 10]
+
+
+def test_paged_source(spark):
+    """Two years in pages of two from a local server."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            rows = [{"id": f"{q['year']}-{k}"} for k in range(q["year"] - 2013)][q["offset"] : q["offset"] + q["limit"]]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(rows).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(files.PagedRecords)
+    url = f"http://127.0.0.1:{server.server_port}/?year={{year}}&offset={{offset}}&limit={{limit}}"
+    df = spark.read.format("paged").option("url", url).option("years", "2016,2017").option("limit", "2").load()
+    assert {(r.year, json.loads(r.record)["id"]) for r in df.collect()} == {(2016, f"2016-{k}") for k in range(3)} | {(2017, f"2017-{k}") for k in range(4)}
+    server.shutdown()
