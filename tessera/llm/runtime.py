@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tessera_dir", None)
     if not path:
-        path = spark.sparkContext._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        own = tempfile.mkdtemp(prefix="tessera-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = spark.sparkContext._tessera_dir = f"file://{own}"
     return path.rstrip("/")
 
 
