@@ -253,11 +253,10 @@ def _shared(entries: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "token long, salt int, gid long, n int, pos int, hub long, hub_n int, hub_pos int")
 
 
-
 def _can_link(n1, pos1, n2, pos2, num: int, den: int):
     """Whether sizes, and the hashes that can still follow the shared one in both, allow the similarity."""
-    need = F.ceil(F.lit(num) * (n1 + n2) / F.lit(num + den))
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (1 + F.least(n1 - pos1, n2 - pos2) - 1 >= need)
+    n1, n2 = n1.cast("bigint"), n2.cast("bigint")
+    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (F.least(n1 - pos1, n2 - pos2) * (num + den) >= (n1 + n2) * num)
 
 
 def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -279,7 +278,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     left = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b")
-    same = F.size(F.array_intersect("ha", "hb"))
+    same = F.size(F.array_intersect("ha", "hb")).cast("bigint")
     return both.where(same * den >= (F.size("ha") + F.size("hb") - same) * num).select("a", "b")
 
 
