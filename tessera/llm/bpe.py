@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -71,6 +72,21 @@ class PairTable:
         return np.where(at >= 0, self.rank[at], NONE).astype(np.int32)
 
 
+def ascii_pattern(pattern: str) -> re.Pattern:
+    """The same pattern for ASCII texts alone, with its classes spelt out, for the faster matcher of the standard library."""
+    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}
+    out, inside = [], False
+    for token in re.findall(r"\[\^?|\]|\\p\{[LN]\}|\\.|.", pattern):
+        if token in classes:
+            out.append(classes[token] if inside else f"[{classes[token]}]")
+        elif token == r"\S":
+            out.append(r"[^\t-\r ]")
+        else:
+            inside = token[0] == "[" or inside and token != "]"
+            out.append(token)
+    return re.compile("".join(out))
+
+
 class Vocabulary:
     """Tokens by id, ids of single bytes, and the pair table."""
 
@@ -83,16 +99,17 @@ class Vocabulary:
         for i, t in enumerate(tokens):
             if len(t) == 1:
                 self.bytes_to_id[t[0]] = i
-        self.split = regex.compile(pattern)
+        self.split, self.split_ascii = regex.compile(pattern), ascii_pattern(pattern)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; special strings stay whole where the vocabulary has them."""
-        if self.special_split is None or not self.special_split.search(text):
-            return self.split.findall(text)
+        split = self.split_ascii if text.isascii() else self.split
+        if self.special_split is None or not any(s in text for s in self.special):
+            return split.findall(text)
         out: list[str] = []
         for i, part in enumerate(self.special_split.split(text)):
-            out += [part] if i % 2 else self.split.findall(part)
+            out += [part] if i % 2 else split.findall(part)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

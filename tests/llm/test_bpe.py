@@ -156,3 +156,12 @@ def test_long_texts_in_pieces(odd_texts, description):
     held = list(runtime.parts(texts, 40))
     assert ["".join(p for rows, ps in held for r, p in zip(rows, ps, strict=True) if r == i) for i in range(4)] == texts
     assert max(sum(map(len, ps)) for _, ps in held) <= 44
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=60))
+def test_ascii_texts_split_alike(text):
+    import public_tokenizers
+
+    vocab = bpe.from_json(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert vocab.split_ascii.findall(text) == vocab.split.findall(text)
