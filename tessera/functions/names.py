@@ -66,13 +66,16 @@ def street_key(text: Column) -> Column:
     plain = F.upper(F.regexp_replace(strip_accents(text), r"\([^)]*\)", " "))
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, "['’]", ""), "[^A-Z0-9]+", " "))
     names = {"street": "STREET", "saint": "SAINT", "doctor": "DOCTOR", "drive": "DRIVE"}
+    ruled = [*ORDINAL_WORDS, *DIRECTIONS, *ABBREVIATIONS, "ST", "DR"]
 
     def expanded(words: Column) -> Column:
         n = F.size(words)
 
         def one(w: Column, i: Column) -> Column:
-            numbered = F.nullif(F.regexp_extract(w, r"^(\d+)(ST|ND|RD|TH)$", 1), F.lit(""))
-            return F.coalesce(numbered, _lookup(w, ORDINAL_WORDS), _position_rules(w, i, n, names), _lookup(w, ABBREVIATIONS), w)
+            """Long texts are mostly words that no rule names: one look into a hash set; digits sort before letters."""
+            numbered = F.when(w < "A", F.nullif(F.regexp_extract(w, r"^(\d+)(ST|ND|RD|TH)$", 1), F.lit("")))
+            by_rule = F.coalesce(_lookup(w, ORDINAL_WORDS), _position_rules(w, i, n, names), _lookup(w, ABBREVIATIONS), w)
+            return F.when(w.isin(*ruled), by_rule).otherwise(F.coalesce(numbered, w))
 
         return F.array_join(F.filter(F.transform(words, one), lambda w: ~w.isin(*FILLER)), " ")
 

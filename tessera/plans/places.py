@@ -208,7 +208,7 @@ e AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN regexp_full_match(
 
 @query(f"WITH {_KEYED} SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ('OF', 'THE')), ' ') AS street_key FROM e")
 def street_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", names.street_key(F.substring("text", 1, 60)).alias("street_key"))
+    return table(spark, d, "documents").select("doc_id", names.street_key(F.col("text")).alias("street_key"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS shown FROM part")
