@@ -152,7 +152,7 @@ k AS (SELECT a.seg, count(*) AS k FROM b a JOIN b o ON a.street = o.street AND a
 
 @query(f"WITH {_BEDS} SELECT b.seg, 1.0::DOUBLE / (1 + least(2, coalesce(k, 0))) AS weight FROM b LEFT JOIN k ON b.seg = k.seg")
 def roadbed_weight(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey <= 100")
+    s = table(spark, d, "supplier")
     off, at = F.col("s_suppkey") % 10 * 15.0, F.expr("s_suppkey DIV 10") * 40.0
     segs = s.select(F.col("s_suppkey").alias("seg"), (F.col("s_nationkey") % 4).alias("street"), (at - 15).alias("x0"), off.alias("y0"), (at + 15).alias("x1"), off.alias("y1"), at.alias("mx"), off.alias("my"))
     return spatial.roadbed_weights(segs)

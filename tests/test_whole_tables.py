@@ -20,6 +20,7 @@ def whole_sql(name, *cuts):
     ("name", "sf", "tables", "cuts"),
     [
         ("street_key", "sf0.001", ["documents"], [("left(text, 60)", "text")]),
+        ("roadbed_weight", "sf0.1", ["supplier"], [(" WHERE s_suppkey <= 100", "")]),
     ],
 )
 def test_query_is_whole(spark, name, sf, tables, cuts):
