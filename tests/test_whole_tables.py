@@ -21,6 +21,7 @@ def whole_sql(name, *cuts):
     [
         ("street_key", "sf0.001", ["documents"], [("left(text, 60)", "text")]),
         ("roadbed_weight", "sf0.1", ["supplier"], [(" WHERE s_suppkey <= 100", "")]),
+        ("point_along_line", "sf0.01", ["customer"], [(" WHERE c_custkey <= 300", "")]),
     ],
 )
 def test_query_is_whole(spark, name, sf, tables, cuts):
