@@ -38,8 +38,8 @@ def hex_universe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HEX} SELECT cat, sum(1) FILTER (WHERE {NOW_SQL})::BIGINT AS now, sum(1) FILTER (WHERE {BEFORE_SQL})::BIGINT AS before FROM hex WHERE q % 10 = 0 GROUP BY 1 HAVING now > 0 OR before > 0")
 def hex_by_type(spark: SparkSession, d: str) -> DataFrame:
-    cube = cubes.hex_cube(facts(spark, d))
-    return cubes.now_and_before(cube.where("q % 10 = 0"), ["cat"], NOW, BEFORE)
+    """Every hexagon by type, of which a reader picks one by q and r."""
+    return cubes.now_and_before(cubes.hex_cube(facts(spark, d)), ["q", "r", "cat"], NOW, BEFORE)
 
 
 _KX = "(111320.0 * cos(radians(40.73)))"

@@ -22,6 +22,7 @@ def whole_sql(name, *cuts):
         ("street_key", "sf0.001", ["documents"], [("left(text, 60)", "text")]),
         ("roadbed_weight", "sf0.1", ["supplier"], [(" WHERE s_suppkey <= 100", "")]),
         ("point_along_line", "sf0.01", ["customer"], [(" WHERE c_custkey <= 300", "")]),
+        ("hex_by_type", "sf0.001", ["customer", "nation", "orders"], [("SELECT cat, sum(1)", "SELECT q, r, cat, sum(1)"), (" WHERE q % 10 = 0 GROUP BY 1", " GROUP BY 1, 2, 3")]),
     ],
 )
 def test_query_is_whole(spark, name, sf, tables, cuts):
