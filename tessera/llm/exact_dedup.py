@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -44,6 +46,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they were. Ids must tell rows apart."""
-    kept = dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, all columns as they were: one for each text. Rows that tie in length and id are told apart
+    by a number, and any one of them stays."""
+    rows, row = runtime.numbered(docs)
+    keyed = rows.select(F.struct(rows[id_col].alias("id"), rows[row].alias("row")).alias("key"), rows[text_col].alias("text"))
+    kept = dedup(keyed, "key", "text").where("kept").select(F.col("key.row").alias("_kept_row"))
+    return rows.join(kept, rows[row] == kept["_kept_row"], "left_semi").drop(row)

@@ -359,6 +359,9 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that have their component's smallest id, all columns as they were. Ids must tell rows apart."""
-    kept = similar(docs, id_col=id_col, text_col=text_col, **settings).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, all columns as they were: of each component the row with the smallest id (null ids come
+    last), and every row without a shingle. Rows of one id are told apart by a number, and any one of them stays."""
+    rows, row = runtime.numbered(docs)
+    keyed = rows.select(F.struct(rows[id_col].isNull().alias("none"), rows[id_col].alias("id"), rows[row].alias("row")).alias("key"), rows[text_col].alias("text"))
+    kept = similar(keyed, id_col="key", text_col="text", **settings).where("key = component_id").select(F.col("key.row").alias("_kept_row"))
+    return rows.join(kept, rows[row] == kept["_kept_row"], "left_semi").drop(row)

@@ -16,6 +16,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -56,6 +57,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row, and that column's name. It is a table, so a task that runs again finds the same numbers."""
+    name = "_row"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers stay for a while after their task, beside the next stage's."""
     pa.default_memory_pool().release_unused()
