@@ -30,7 +30,7 @@ from . import runtime
 from .bpe import Interner, segment_sums
 
 START = "▁"
-LONGEST_WORD, LONGEST_PIECE = 32, 10
+LONGEST_WORD, LONGEST_PIECE = 32, 16
 FLOOR = 1e-7
 WORDS = regex.compile(r"\p{L}{1,32}")
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
