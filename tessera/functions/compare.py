@@ -83,7 +83,7 @@ def class_of(value: float, breaks: list[float]) -> int:
 
 def class_labels(breaks: list[float], whole: bool = True) -> list[str]:
     """'1-8', '9-15', ..., '151+' for counts; for rates the ranges meet."""
-    show = lambda v: f"{v:g}"
+    show = lambda v: str(int(v)) if v == int(v) else f"{v:g}"
     if not breaks:
         return []
     lows = [1 if whole else 0, *[b + 1 if whole else b for b in breaks]]
@@ -95,3 +95,20 @@ def short_number(n: Column) -> Column:
     """1,234 -> 1.2K, 2,500,000 -> 2.5M."""
     one = lambda v: F.regexp_replace(F.format_string("%.1f", v), r"\.0$", "")
     return F.when(n >= 999_950, F.concat(one(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(one(n / 1e3), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def grouped_number(n: Column) -> Column:
+    """1234567 -> 1,234,567, rounded to whole numbers."""
+    return F.format_number(F.round(n.cast("double"), 0), 0)
+
+
+def signed_change(pct: Column) -> Column:
+    """+12.3%, −4.0%, 0.0%; empty where there is no percentage."""
+    sign = F.when(pct > 0, "+").when(pct < 0, "−").otherwise("")
+    return F.when(pct.isNull() | F.isnan(pct) | (F.abs(pct) == float("inf")), "").otherwise(F.concat(sign, F.format_string("%.1f", F.abs(pct)), F.lit("%")))
+
+
+def sentence_case(label: Column) -> Column:
+    """An official label in capitals as people write it: 'RESIDENCE - APT. HOUSE' -> 'Residence, apt. house'."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(label), r"\s*-\s*", ", "), "/", " / "), r"\bnyc\b", "NYC")
+    return F.when(F.coalesce(label, F.lit("")) == "", "Not recorded").otherwise(F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, F.lit(2), F.length(t))))

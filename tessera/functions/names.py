@@ -83,9 +83,10 @@ def street_key(text: Column) -> Column:
 
 
 def ordinal(n: Column) -> Column:
-    """1st, 2nd, 3rd, 11th, ..."""
-    ten, one = n % 100, n % 10
-    return F.concat(n.cast("string"), F.when(ten.between(10, 20), "th").when(one == 1, "st").when(one == 2, "nd").when(one == 3, "rd").otherwise("th"))
+    """1st, 2nd, 3rd, 11th, ... of a number, or of its digits in a text, however many."""
+    digits = F.regexp_replace(n.cast("string"), r"^0+(?=\d)", "")
+    teen = digits.rlike(r"1\d$")
+    return F.concat(digits, F.when(teen, "th").when(digits.endswith("1"), "st").when(digits.endswith("2"), "nd").when(digits.endswith("3"), "rd").otherwise("th"))
 
 
 def display_name(raw: Column) -> Column:
@@ -93,7 +94,9 @@ def display_name(raw: Column) -> Column:
     names = {"street": "Street", "saint": "St", "doctor": "Dr", "drive": "Drive"}
 
     def title(w: Column) -> Column:
-        return F.regexp_replace(F.array_join(F.transform(F.split(F.lower(w), "(?<=[^a-z])|(?=[^a-z])"), lambda p: F.initcap(p)), ""), "'S", "'s")
+        """Every run of letters, of any script, starts with a capital."""
+        runs = F.regexp_extract_all(F.lower(w), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+        return F.regexp_replace(F.array_join(F.transform(runs, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, F.lit(2), F.length(p)))), ""), "'S", "'s")
 
     def expanded(words: Column) -> Column:
         n = F.size(words)
@@ -102,10 +105,10 @@ def display_name(raw: Column) -> Column:
             full = F.coalesce(_lookup(w, ABBREVIATIONS), w)
             special = F.when(w.isin(*ACRONYMS), w).when(w == "JR", "Jr")
             usual = (
-                F.when(full.rlike(r"^\d+$"), ordinal(F.expr("0L") + F.try_to_number(full, F.lit("999999999999")).cast("long")))
+                F.when(full.rlike(r"^\d+$"), ordinal(full))
                 .when(full.isin(*SMALL) & (i > 0), F.lower(full))
                 .when((F.length(full) <= 1) | full.rlike(r"^[A-Z]?\d+[A-Z]?$"), full)
-                .when(full.startswith("MC") & (F.length(full) > 2), F.concat(F.lit("Mc"), title(F.substring(full, 3, 1000))))
+                .when(full.startswith("MC") & (F.length(full) > 2), F.concat(F.lit("Mc"), title(F.substring(full, F.lit(3), F.length(full)))))
                 .otherwise(title(full))
             )
             placed = _position_rules(w, i, n, names)
@@ -117,16 +120,17 @@ def display_name(raw: Column) -> Column:
 
 
 def house_number(text: Column) -> Column:
-    """'1234' -> 1234, '37-012' -> 1037012, no number or zero -> -1."""
+    """'1234' -> 1234, '37-012' -> 1037012, no number or zero -> -1. Numbers are bigint; what that can't hold is no number."""
     s = F.trim(text)
-    part = lambda k: F.expr("0") + F.regexp_extract(s, r"^(\d{1,6})-(\d{1,6})$", k).try_cast("int")
-    plain = F.nullif(F.regexp_extract(s, r"^(\d{1,9})\D*$", 1).try_cast("int"), F.lit(0))
-    return F.coalesce(HYPHEN_BASE + part(1) * 1000 + part(2), plain, F.lit(-1)).cast("int")
+    part = lambda k: F.regexp_extract(s, r"^(\d+)-(\d+)$", k).try_cast("bigint")
+    plain = F.nullif(F.regexp_extract(s, r"^(\d+)\D*$", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    joined = F.try_add(F.try_add(F.try_multiply(part(1), F.lit(1000)), part(2)), F.lit(HYPHEN_BASE))
+    return F.coalesce(joined, plain, F.lit(-1).cast("bigint"))
 
 
 def block_of(number: Column) -> Column:
     """The hundred of a house number (the thousand of a hyphenated one), -1 for none."""
-    return F.when(number < 0, -1).when(number >= HYPHEN_BASE, number - number % 1000).otherwise(number - number % 100).cast("int")
+    return F.when(number < 0, -1).when(number >= HYPHEN_BASE, number - number % 1000).otherwise(number - number % 100)
 
 
 def number_on_segment(t: Column, lf: Column, lt: Column, rf: Column, rt: Column) -> Column:

@@ -97,6 +97,19 @@ def in_months(m: Column, months: list[int]) -> Column:
     return m.isin(*months)
 
 
+def in_dates(date: Column, first: str, after: str) -> Column:
+    """first <= date < after, on the column itself, so that it reaches the scan."""
+    return (date >= F.lit(first).cast("date")) & (date < F.lit(after).cast("date"))
+
+
+def dates_of(months: list[int], span: Span = SPAN) -> tuple[str, str]:
+    """The first day of months that follow each other, and the day after them."""
+    if not months or months[-1] - months[0] != len(months) - 1:
+        raise ValueError("only months that follow each other are a range of days")
+    a, b = months[0], months[-1] + 1
+    return f"{span.year(a)}-{a % 12 + 1:02d}-01", f"{span.year(b)}-{b % 12 + 1:02d}-01"
+
+
 def in_types(cat: Column, types: list[int]) -> Column:
     return cat.isin(*types) if types else F.lit(False)
 

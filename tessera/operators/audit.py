@@ -60,15 +60,21 @@ def mode_per_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.mode(value, True).alias("mode"))
 
 
-def pivot_counts(df: DataFrame, row: str, column: str, values: list[int]) -> DataFrame:
-    """A count for each row key and column value, 0 where there is none."""
+def pivot_counts(df: DataFrame, row: str, column: str, values: list[int] | None = None) -> DataFrame:
+    """A count for each row key and column value, 0 where there is none. Without values: those that there are (years, types:
+    a column each)."""
+    if values is None:
+        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
 def labels_per_code(df: DataFrame, code: str, label: str, least: int = 2) -> DataFrame:
-    """Codes with several labels: how many, and the labels in order."""
-    grouped = df.groupBy(code).agg(F.sort_array(F.collect_set(label)).alias("ls"))
-    return grouped.where(F.size("ls") >= least).select(code, F.size("ls").cast("bigint").alias("labels"), F.array_join("ls", " / ").alias("all_labels"))
+    """Codes with several labels: how many, and the labels in order. Rows are reduced to distinct pairs and codes with too few
+    labels left out before any list is made."""
+    pairs = df.select(code, label).where(F.col(label).isNotNull()).distinct()
+    several = pairs.groupBy(code).agg(F.count("*").alias("labels")).where(F.col("labels") >= least)
+    lists = pairs.join(several.withColumnRenamed(code, "_code"), F.col(code).eqNullSafe(F.col("_code"))).groupBy(code, "labels")
+    return lists.agg(F.array_join(F.sort_array(F.collect_list(label)), " / ").alias("all_labels"))
 
 
 def distinct_places(df: DataFrame, lat: str, lon: str) -> DataFrame:

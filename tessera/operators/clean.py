@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Codes and descriptions whose places stay hidden.
 WITHHELD_CODES = (104, 116, 233)
 BOX = (40.49, 40.92, -74.27, -73.68)
+# Road types that people may search, and names of what is no street.
+ROAD_TYPES = (1, 2, 3, 4, 5, 7, 10)
+NO_STREET = r"PEDESTRIAN|\bOPAS\b|\bOVPS\b|\bPED\b|\b(EN|ET|EX)\b|\bEXIT\b|ENTRANCE|ENTRY|\bRAMP\b|\bRP\b"
 
 
 def null_normalize(c: Column) -> Column:
@@ -85,15 +88,21 @@ def left_default(facts: DataFrame, dim: DataFrame, key: str, value: str, default
 
 
 def dense_ids(df: DataFrame, key: str, first_seen: str) -> DataFrame:
-    """Dictionary of keys with ids 0, 1, ... in order of first appearance, then key. The window runs over the dictionary."""
+    """Dictionary of keys with ids 0, 1, ... in order of first appearance, then key. The window runs over the dictionary, in one
+    task: for codes, types and the like, not for keys that grow with the rows."""
     seen = df.groupBy(key).agg(F.min(first_seen).alias("seen"))
     return seen.select(key, (F.row_number().over(Window.orderBy("seen", key)) - 1).cast("bigint").alias("id"))
 
 
+def frequency_ids(df: DataFrame, key: str) -> DataFrame:
+    """Dictionary of non-null keys with ids 0, 1, ... from the most frequent on, then by key. The window runs over the dictionary."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return counts.select(key, "n", (F.row_number().over(Window.orderBy(F.desc("n"), key)) - 1).cast("bigint").alias("id"))
+
+
 def searchable(rw_type: Column, name: Column, boro: Column) -> Column:
     """Segments that people may search: fixed road types, a name that is no ramp or footway, a borough."""
-    no_street = r"PEDESTRIAN|\bOPAS\b|\bOVPS\b|\bPED\b|\b(EN|ET|EX)\b|\bEXIT\b|ENTRANCE|ENTRY|\bRAMP\b|\bRP\b"
-    return rw_type.isin(1, 2, 3, 4, 5, 7, 10) & (F.trim(name) != "") & ~name.rlike(no_street) & boro.between(1, 5)
+    return rw_type.isin(*ROAD_TYPES) & (F.trim(name) != "") & ~name.rlike(NO_STREET) & boro.between(1, 5)
 
 
 def alias_groups(df: DataFrame, keys: list[str], name: str, least: int = 2, most: int = 4) -> DataFrame:

@@ -61,13 +61,17 @@ def now_and_before(cube_: DataFrame, by: list[str], now: list[int], before: list
     return rows.groupBy(*by).agg(total(now).alias("now"), total(before).alias("before"))
 
 
-def time_cube(kinds: list[tuple[int, DataFrame, Column]]) -> DataFrame:
-    """kind, id, year, cat, dow, hour, n over several kinds of place, each with rows and id of its own; one shuffle."""
-    out = None
-    for kind, rows, id_ in kinds:
-        part = rows.select(F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), "year", "cat", "dow", "hour")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("kind", "id", "year", "cat", "dow", "hour").agg(F.count("*").alias("n"))
+def time_cube(rows: DataFrame, kinds: list[tuple[int, Column, Column]]) -> DataFrame:
+    """kind, id, year, cat, dow, hour, n over several kinds of place. kinds: number, ids (an array, for places that belong to
+    several) and which rows count. One scan and one shuffle: each row fans out to its places."""
+    none = F.array().cast("array<struct<kind:int,id:bigint>>")
+
+    def places_of(kind: int, ids: Column, where: Column) -> Column:
+        return F.when(where, F.transform(ids, lambda i: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("id")))).otherwise(none)
+
+    places = [places_of(*k) for k in kinds]
+    flat = rows.select(F.explode(F.concat(*places)).alias("_p"), "year", "cat", "dow", "hour")
+    return flat.groupBy("_p.kind", "_p.id", "year", "cat", "dow", "hour").agg(F.count("*").alias("n"))
 
 
 def type_year_totals(facts: DataFrame, key: str, year: Column) -> DataFrame:
@@ -97,6 +101,15 @@ def undrawable(facts: DataFrame) -> DataFrame:
     )
 
 
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """What the n of each cube add up to: cube, n."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).select(F.lit(name).alias("cube"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def conserved(tables: dict[str, tuple[DataFrame, int]]) -> list[str]:
     """Names of cubes whose n don't add up to what they should."""
     return [name for name, (df, want) in tables.items() if (df.agg(F.sum("n")).first()[0] or 0) != want]
@@ -109,6 +122,19 @@ def in_circle(points: DataFrame, lat: float, lon: float, radius: float, grid: Gr
     return points.where(box).where(distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), grid) <= radius)
 
 
+def blocks_of(points: DataFrame, bridge: DataFrame, where: Column | None = None) -> DataFrame:
+    """n by street and block of points (float lat and lon, n): each place counts for every street and block that it lies on.
+
+    bridge: lat, lon (float), street, block (-1: none, left out)."""
+    rows = points if where is None else points.where(where)
+    return rows.join(bridge.where("block >= 0"), ["lat", "lon"]).groupBy("street", "block").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def place_totals(points: DataFrame) -> DataFrame:
+    """n of every place, and how many places have that many: the sorted totals that one place is compared with."""
+    return points.groupBy("lat", "lon").agg(F.sum("n").cast("bigint").alias("n")).groupBy("n").agg(F.count("*").alias("places"))
+
+
 def clustered_points(facts: DataFrame) -> DataFrame:
     """The cube of places with hk, the smallest Hilbert key of the doubles that became one float place: the order to write in."""
     at = facts.where("lt = 0").withColumn("hk", hilbert_key(F.col("lat"), F.col("lon")))

@@ -28,13 +28,21 @@ def compare_totals(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataF
     return a.join(b, keys, "full").withColumn("pct_diff", percent_change(F.col("ours"), F.col("theirs")))
 
 
-def score(compared: DataFrame, least: int = 100, steps: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
-    """How many totals of some size there are, and the share within so many percent."""
+def score(compared: DataFrame, least: int = 100, steps: tuple[int, ...] = (1, 2, 5), but: Column | None = None) -> DataFrame:
+    """How many totals of some size there are, and the share within so many percent; but: rows known to be wrong."""
     big = compared.where(F.col("theirs") >= least)
+    big = big if but is None else big.where(~but)
     share = lambda s: F.round(100.0 * F.avg((F.abs("pct_diff") <= s).cast("int")), 2)
     return big.agg(F.count("*").alias("cells"), *[share(s).alias(f"within_{s}") for s in steps], F.max(F.abs("pct_diff")).alias("worst"))
 
 
+def worst(compared: DataFrame, keys: list[str], least: int = 100, top: int = 15, but: Column | None = None) -> DataFrame:
+    """The largest differences among totals of some size, apart from rows that are known to be wrong (but)."""
+    big = compared.where(F.col("theirs") >= least).where(F.col("pct_diff").isNotNull())
+    big = big if but is None else big.where(~but)
+    return big.orderBy(F.desc(F.abs("pct_diff")), *keys).limit(top)
+
+
 def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """How often two fields agree, differ, or one is unknown."""
     return df.agg(
@@ -52,6 +60,43 @@ def by_prefix(label: Column, prefixes: dict[str, int]) -> Column:
     return out
 
 
+def code_of(label: str, prefixes: dict[str, int], total: str = "TOTAL") -> int | str | None:
+    """``by_prefix`` for one label of a sheet: 'total' for totals, else the code of the longest prefix that it starts with."""
+    text = " ".join(label.upper().split())
+    if text.startswith(total):
+        return "total"
+    return next((prefixes[p] for p in sorted(prefixes, key=len, reverse=True) if text.startswith(p)), None)
+
+
+def _number(cell) -> float | None:
+    try:
+        return float(cell)
+    except (TypeError, ValueError):
+        return None
+
+
+def sheet_totals(rows: list[list], corner: str, prefixes: dict[str, int], years: range, unit: bool = False) -> list[tuple]:
+    """(unit, code, year, n) of a published sheet whose header row starts with ``corner`` and has years above its columns.
+
+    unit: the first column names a unit (carried forward over blank cells; rows end at the statistical notes) and the second
+    the label; else the first is the label, and the unit is null. Cells that are no number are left out."""
+    head = next(i for i, r in enumerate(rows) if r and str(r[0]).strip().upper() == corner)
+    columns = {int(y): k for k, cell in enumerate(rows[head]) if (y := _number(cell)) is not None and int(y) in years}
+    body = carry_forward([tuple(r) for r in rows[head + 1 :] if r]) if unit else [(None, *r) for r in rows[head + 1 :] if r]
+    shift, out = 0 if unit else 1, []
+    for row in body:
+        code = code_of(str(row[1] or ""), prefixes) if len(row) > 1 else None
+        if code is None:
+            continue
+        name = row[0]
+        if unit:
+            name = str(int(n)) if (n := _number(name)) is not None else name.upper()
+        for y, k in columns.items():
+            if k + shift < len(row) and (n := _number(row[k + shift])) is not None:
+                out.append((name, str(code), y, n))
+    return out
+
+
 def carry_forward(rows: list[tuple], stop: str = "STATISTICAL") -> list[tuple]:
     """Rows of a ragged sheet with blank first cells filled from above, up to a row that starts with ``stop``."""
     out, last = [], None

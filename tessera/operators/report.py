@@ -117,9 +117,9 @@ def new_locations(points: DataFrame, keys: list[str], start: int, least: int = 1
     return points.groupBy(*keys).agg(before.alias("months_before"), F.sum("n").cast("bigint").alias("n")).withColumn("is_new", (F.col("months_before") < least) & F.lit(start >= least))
 
 
-def stack_index(facts: DataFrame, day: str, order: list[str]) -> DataFrame:
-    """k: the place of a fact among those of its day, from 0."""
-    return facts.withColumn("k", F.row_number().over(Window.partitionBy(day).orderBy(*order)) - 1)
+def stack_index(facts: DataFrame, place: list[str], day: str, order: list[str]) -> DataFrame:
+    """k: the rank of a fact among those of its place and day, from 0. What a place has on a day is what one drawing stacks."""
+    return facts.withColumn("k", F.row_number().over(Window.partitionBy(*place, day).orderBy(*order)) - 1)
 
 
 def bars_with_zeros(types: DataFrame, counts: DataFrame, key: str) -> DataFrame:
@@ -127,6 +127,43 @@ def bars_with_zeros(types: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return types.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
+def group_split(counts: DataFrame, key: str, groups: dict[str, list[int]]) -> DataFrame:
+    """n by group of types, for groups that have any: group, n."""
+    of = F.create_map(*[F.lit(x) for g, ts in groups.items() for t in ts for x in (t, g)])
+    by = counts.withColumn("group", F.element_at(of, F.col(key))).where(F.col("group").isNotNull())
+    return by.groupBy("group").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
+
+
+def known_years(yearly: DataFrame, value: str) -> DataFrame:
+    """The first and the last year with a value, and the values there. One row."""
+    known = F.col(value).isNotNull()
+    at = lambda f: f(F.when(known, F.struct("year", value)))
+    one = yearly.agg(at(F.min).alias("a"), at(F.max).alias("b"))
+    return one.select(F.col("a.year").alias("first"), F.col(f"a.{value}").alias("then"), F.col("b.year").alias("last"), F.col(f"b.{value}").alias("now"))
+
+
+def area_rates(pairs: DataFrame, years_now: float, years_before: float, least: int = 2000) -> DataFrame:
+    """pairs (key, residents, now, before; null: none) with rate and rate_before, for 1,000 residents a year; null, and not
+    rated, where fewer live. Areas without a count in both periods are left out."""
+    rows = pairs.na.fill(0, ["now", "before"]).where("now + before > 0").withColumn("rated", F.coalesce(F.col("residents") >= least, F.lit(False)))
+    rate = lambda n, years: F.when(F.col("rated"), F.col(n) * 1000.0 / F.col("residents") / years)
+    return rows.withColumns({"rate": rate("now", years_now), "rate_before": rate("before", years_before)})
+
+
+def area_changes(rates: DataFrame, key: str, least: int = 100) -> DataFrame:
+    """Of rated areas with enough in both periods, those whose rate rose and dropped most (the first key of those that tie),
+    by how many percent, and how many areas aren't rated. One row."""
+    big = F.col("rated") & (F.col("now") >= least) & (F.col("before") >= least)
+    times = F.col("rate") / F.col("rate_before")
+    one = rates.agg(
+        F.min(F.when(big, F.struct((-times).alias("t"), F.col(key).alias("k")))).alias("up"),
+        F.min(F.when(big, F.struct(times.alias("t"), F.col(key).alias("k")))).alias("down"),
+        F.count_if(~F.col("rated")).alias("unrated"),
+    )
+    pct = lambda t: F.round(100.0 * (t - 1), 4)
+    return one.select(F.col("up.k").alias("rise"), pct(-F.col("up.t")).alias("rise_pct"), F.col("down.k").alias("drop"), pct(F.col("down.t")).alias("drop_pct"), "unrated")
+
+
 def title(streets: Column, block: Column, name: Column) -> Column:
     """A spot's title: its corner, else its block of a street, else a general one."""
     return F.when(F.size(streets) >= 2, F.concat_ws(" & ", F.slice(F.sort_array(streets), 1, 2))).when(block >= 0, F.concat_ws(" ", block.cast("string"), F.lit("block of"), name)).otherwise("This location")

@@ -16,17 +16,21 @@ BOROUGHS = (
     (r"\b(?:manhattan|mn|new york)$", 1), (r"\b(?:the bronx|bronx|bx)$", 2), (r"\b(?:brooklyn|bk|bklyn)$", 3), (r"\b(?:queens|qn|qns)$", 4), (r"\b(?:staten island|si|staten)$", 5),
 )
 LIST_ORDER = (1, 3, 4, 2, 5)
-_PRECINCT = (r"^(?:precinct|pct\.?|pc)\s*#?\s*(\d{1,3})(?:st|nd|rd|th)?$", r"^(\d{1,3})(?:st|nd|rd|th)?\s*(?:precinct|pct\.?|pc)$")
+PRECINCT = (r"^(?:precinct|pct\.?|pc)\s*#?\s*(\d{1,3})(?:st|nd|rd|th)?$", r"^(\d{1,3})(?:st|nd|rd|th)?\s*(?:precinct|pct\.?|pc)$")
+BARE_NUMBER = r"^(\d{1,3})(st|nd|rd|th)?$"
+ADDRESS = r"^(\d+(?:-\d+)?)[a-z]?\s+(.+)$"
+CORNER = r"\s+(?:and|at)\s+|\s*[&/@]\s*"
 
 
 @dataclass(frozen=True)
 class Route:
-    """Which rule answers a search: corner, precinct, address or text."""
+    """Which rule answers a search: corner, precinct, address or text; and the precinct that its number names beside that."""
 
     rule: str
     text: str
     borough: int = 0
     parts: tuple[str, ...] = ()
+    precinct: int = 0
 
 
 def route(raw: str) -> Route:
@@ -35,15 +39,17 @@ def route(raw: str) -> Route:
         if (m := re.search(pattern, text, re.I)) and m.start() > 0:
             text, borough = text[: m.start()].strip(), b
             break
-    parts = tuple(p.strip() for p in re.split(r"\s+(?:and|at)\s+|\s*[&/@]\s*", text, flags=re.I) if p.strip())
+    parts = tuple(p.strip() for p in re.split(CORNER, text, flags=re.I) if p.strip())
     if len(parts) == 2 and not parts[0].isdigit():
         return Route("corner", text, borough, parts)
-    for pattern in (*_PRECINCT, r"^(\d{1,3})$"):
-        if m := re.match(pattern, text, re.I):
-            return Route("precinct", text, borough, (m[1],))
-    if m := re.match(r"^(\d+(?:-\d+)?)[a-z]?\s+(.+)$", text, re.I):
+    named = next((m[1] for p in PRECINCT if (m := re.match(p, text, re.I))), None)
+    bare = re.match(BARE_NUMBER, text, re.I)
+    if named or bare and not bare[2]:
+        number = named or bare[1]
+        return Route("precinct", text, borough, (number,), int(number))
+    if m := re.match(ADDRESS, text, re.I):
         return Route("address", text, borough, m.groups())
-    return Route("text", text, borough)
+    return Route("text", text, borough, precinct=int(bare[1]) if bare else 0)  # "75th": a street, and the precinct
 
 
 def match_streets(streets: DataFrame, typed: str, borough: int = 0, limit: int | None = None) -> DataFrame:
@@ -77,13 +83,21 @@ def side_fraction(lo: Column, hi: Column, n: Column) -> Column:
     return F.when(fits, F.when(lo == hi, 0.5).otherwise(F.try_divide((n - lo).cast("double"), hi - lo)))
 
 
+def _hundreds(lo: str, hi: str) -> Column:
+    """The hundreds that a side's numbers reach over, none for a side without numbers."""
+    low, high = F.least(lo, hi), F.greatest(lo, hi)
+    return F.when(low > 0, F.sequence(F.floor(low / 100), F.floor(high / 100))).otherwise(F.array().cast("array<bigint>"))
+
+
 def locate_addresses(wanted: DataFrame, segments: DataFrame) -> DataFrame:
     """wanted (street, number) on segments (seg, street, lf, lt, rf, rt): street, number, seg and t of the first that fits.
 
-    The left side is tried before the right. Streets meet by an equi-join; ranges and parity are tested in it."""
+    The left side is tried before the right. Streets meet by street and hundred of the number, so a long street is no hot
+    key; ranges and parity are tested in the join."""
     n = F.col("number")
     t = F.coalesce(side_fraction(F.col("lf"), F.col("lt"), n), side_fraction(F.col("rf"), F.col("rt"), n))
-    found = wanted.join(segments, "street").withColumn("t", t).where("t IS NOT NULL")
+    by_hundred = segments.withColumn("_h", F.explode(F.array_distinct(F.concat(_hundreds("lf", "lt"), _hundreds("rf", "rt")))))
+    found = wanted.withColumn("_h", F.floor(n / 100)).join(by_hundred, ["street", "_h"]).withColumn("t", t).where("t IS NOT NULL")
     return found.groupBy("street", "number").agg(F.min(F.struct("seg", "t")).alias("s")).select("street", "number", "s.seg", "s.t")
 
 
@@ -99,9 +113,15 @@ def plain(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts as people do: runs of digits by their number."""
+    """Sorts as people do: runs of digits by their number. Up to 12 digits are filled with zeros; longer numbers get a sign that
+    sorts behind all digits for each digit more."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|[^\d]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def filled(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+", "")
+        return F.when(F.length(digits) <= 12, F.lpad(digits, 12, "0")).otherwise(F.concat(F.repeat(F.lit(":"), F.length(digits) - 12), digits))
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), filled(p)).otherwise(p)), "")
 
 
 def search_areas(places: DataFrame, typed: str, borough: int = 0) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import cubes
+from tessera.sources import store
+
 YEAR0 = 1995
 MONTHS = 84
 LATTICE = 16
@@ -33,6 +36,10 @@ SELECT n_nationkey AS code,
   CAST(40.5 AS DOUBLE) + CAST(floor(n_nationkey / 5.0) AS DOUBLE) * CAST(0.09375 AS DOUBLE) AS y0,
   CAST(40.5 AS DOUBLE) + CAST(floor(n_nationkey / 5.0) + 1 AS DOUBLE) * CAST(0.09375 AS DOUBLE) AS y1
 FROM nation)"""
+#: Which streets and blocks a place lies on; a third of the places are at a corner of two.
+BRIDGE = """bridge AS (
+SELECT CAST(lat AS FLOAT) AS lat, CAST(lon AS FLOAT) AS lon, CAST(loc_id % 7 AS INT) AS street, CAST(CASE WHEN loc_id % 5 = 0 THEN -1 ELSE loc_id % 900 // 100 * 100 END AS INT) AS block FROM locs
+UNION SELECT CAST(lat AS FLOAT), CAST(lon AS FLOAT), CAST(10 + loc_id % 7 AS INT), CAST(CASE WHEN loc_id % 5 = 0 THEN -1 ELSE loc_id % 900 // 100 * 100 END AS INT) FROM locs WHERE loc_id % 3 = 0)"""
 WITH = f"WITH {LOCS}, {FACTS}, {POLYS}"
 
 
@@ -80,3 +87,29 @@ def lattice_nodes(spark: SparkSession) -> DataFrame:
     """Every crossing with its two streets."""
     a = spark.range(LATTICE).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(LATTICE - 1))))
     return a.select((40.5 + F.col("i") / 32.0).alias("lat"), (-74.25 + F.col("j") / 32.0).alias("lon"), F.array(F.col("i"), F.col("j") + LATTICE).alias("streets"))
+
+
+def bridge(spark: SparkSession, d: str) -> DataFrame:
+    """lat, lon (float), street, block of every place."""
+    k = F.col("loc_id")
+    streets = F.when(k % 3 == 0, F.array(k % 7, 10 + k % 7)).otherwise(F.array(k % 7))
+    block = F.when(k % 5 == 0, -1).otherwise(k % 900 - k % 100)
+    rows = locs(spark, d).select(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), F.explode(streets.cast("array<int>")).alias("street"), block.cast("int").alias("block"))
+    return rows.distinct()
+
+
+_CUBES = store.Cubes()
+#: Cubes that questions read: how each is made of the facts, and the order that it is written in.
+_KINDS = {
+    "hex": (cubes.hex_cube, ["q", "r", "m"]),
+    "points": (lambda f: cubes.points_cube(f, ["pct"]), ["lat", "lon", "m"]),
+    "areas": (lambda f: cubes.cube(f, ["pct", "boro", "lt"]), ["pct", "m"]),
+    "blocks": (lambda f: cubes.cube(f.withColumns({"street": F.col("pct"), "block": F.col("loc_id") - F.col("loc_id") % 100}), ["street", "block"]), ["street", "block", "m"]),
+    "places": (lambda f: cubes.cube(f, ["loc_id"]), ["loc_id", "m"]),
+}
+
+
+def stored(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A cube of the facts, written once an application: months and keys of a question then reach its scan."""
+    make, order = _KINDS[kind]
+    return _CUBES.get(spark, f"{kind} {d}", lambda: make(facts(spark, d)), order)

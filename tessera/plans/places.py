@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid, names
-from tessera.operators import reconcile, report, search, spatial
+from tessera.operators import clean, reconcile, report, search, spatial
 from tessera.plans.fixtures import LATTICE, WITH, facts, lattice, lattice_nodes, locs, polys, table
 from tessera.plans.registry import query
+from tessera.sources import files, paths
 
 CELL = 0.05
 _KX, _KY = "(111320.0 * cos(radians(40.73)))", "110950.0"
@@ -47,10 +48,11 @@ def pip_labels(spark: SparkSession, d: str) -> DataFrame:
     return spatial.assign_polygon(locs(spark, d), polys(spark, d), CELL, 0.01).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes"))
 
 
-@query(f"{_NEAR}, r AS (SELECT l.loc_id, b.code, 1000 + l.loc_id % 7 AS people FROM locs l LEFT JOIN hit b ON l.lat = b.lat AND l.lon = b.lon) SELECT code, CAST(sum(people) AS BIGINT) AS people, count(*) AS blocks FROM r GROUP BY 1")
+@query(f"{WITH}, r AS (SELECT l.loc_id, b.code, 1000 + l.loc_id % 7 AS people FROM locs l LEFT JOIN polys b ON l.lon > x0 AND l.lon < x1 AND l.lat > y0 AND l.lat < y1) SELECT code, CAST(sum(people) AS BIGINT) AS people, count(*) AS blocks FROM r GROUP BY 1")
 def area_population(spark: SparkSession, d: str) -> DataFrame:
+    """Points on a boundary count for no area."""
     at = locs(spark, d)
-    code = spatial.polygon_hits(at, polys(spark, d), CELL).groupBy("lat", "lon").agg(F.min("code").alias("code"))
+    code = spatial.polygon_hits(at, polys(spark, d), CELL, strict=True).groupBy("lat", "lon").agg(F.min("code").alias("code"))
     rows = at.join(code, ["lat", "lon"], "left").withColumn("people", 1000 + F.col("loc_id") % 7)
     return rows.groupBy("code").agg(F.sum("people").alias("people"), F.count("*").alias("blocks"))
 
@@ -146,15 +148,18 @@ def corner_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes"), F.sum(F.size("streets")).alias("meetings"), F.min("lat").alias("south"), F.max("lon").alias("east"))
 
 
-_BEDS = f"""b AS (SELECT s_suppkey AS seg, s_nationkey % 4 AS street, s_suppkey % 10 * 15.0 AS off, s_suppkey // 10 * 40.0 AS at FROM supplier WHERE s_suppkey <= 100),
-k AS (SELECT a.seg, count(*) AS k FROM b a JOIN b o ON a.street = o.street AND a.seg <> o.seg AND sqrt(pow(a.off - o.off, 2) + pow(a.at - o.at, 2)) <= 70 AND abs(a.off - o.off) > 8 AND NOT (a.off = o.off AND abs(a.at - o.at) = 30) GROUP BY 1)"""
+# A third of the segments lie at 45 degrees to the others.
+_BEDS = """b AS (SELECT s_suppkey AS seg, s_nationkey % 4 AS street, s_suppkey % 10 * 15.0 AS off, s_suppkey // 10 * 40.0 AS at, s_suppkey % 3 = 0 AS turned FROM supplier),
+k AS (SELECT a.seg, count(*) AS k FROM b a JOIN b o ON a.street = o.street AND a.turned = o.turned AND a.seg <> o.seg AND sqrt(pow(a.off - o.off, 2) + pow(a.at - o.at, 2)) <= 70
+  AND CASE WHEN a.turned THEN abs((a.off - o.off) - (a.at - o.at)) / sqrt(2) ELSE abs(a.off - o.off) END > 8 GROUP BY 1)"""
 
 
 @query(f"WITH {_BEDS} SELECT b.seg, 1.0::DOUBLE / (1 + least(2, coalesce(k, 0))) AS weight FROM b LEFT JOIN k ON b.seg = k.seg")
 def roadbed_weight(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     off, at = F.col("s_suppkey") % 10 * 15.0, F.expr("s_suppkey DIV 10") * 40.0
-    segs = s.select(F.col("s_suppkey").alias("seg"), (F.col("s_nationkey") % 4).alias("street"), (at - 15).alias("x0"), off.alias("y0"), (at + 15).alias("x1"), off.alias("y1"), at.alias("mx"), off.alias("my"))
+    rise = F.when(F.col("s_suppkey") % 3 == 0, 15.0).otherwise(0.0)
+    segs = s.select(F.col("s_suppkey").alias("seg"), (F.col("s_nationkey") % 4).alias("street"), (at - 15).alias("x0"), (off - rise).alias("y0"), (at + 15).alias("x1"), (off + rise).alias("y1"), at.alias("mx"), off.alias("my"))
     return spatial.roadbed_weights(segs)
 
 
@@ -189,7 +194,7 @@ def block_of(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat((k % 999).cast("string"), F.lit("-"), F.lpad((k % 100).cast("string"), 3, "0"))).when(k % 5 == 1, (k % 5000).cast("string"))
         .when(k % 5 == 2, F.concat((k % 700).cast("string"), F.lit("A"))).when(k % 5 == 3, "").otherwise("none")
     )
-    return table(spark, d, "orders").select("o_orderkey", names.house_number(t).alias("hn")).withColumn("block", names.block_of(F.col("hn")))
+    return table(spark, d, "orders").select("o_orderkey", names.house_number(t).cast("int").alias("hn")).withColumn("block", names.block_of(F.col("hn")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round_even(CASE WHEN l_linenumber % 3 = 0 THEN 100 * l_linenumber + l_discount * 980 ELSE ((100 * l_linenumber + l_discount * 980) + (100 * l_linenumber + 1 + l_discount * 980)) / 2 END, 0) AS INT) AS hn FROM lineitem")
@@ -199,7 +204,7 @@ def house_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", names.number_on_segment(t, 100 * k, 100 * k + 98, right, F.when(k % 3 == 0, 0).otherwise(100 * k + 99)).alias("hn"))
 
 
-_KEYED = f"""k AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(strip_accents(left(text, 60)), 'ß', 'ss')), '\\([^)]*\\)', ' ', 'g'), '[''’]', '', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: true) AS w FROM documents),
+_KEYED = f"""k AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(strip_accents(text), 'ß', 'ss')), '\\([^)]*\\)', ' ', 'g'), '[''’]', '', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: true) AS w FROM documents),
 e AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN regexp_full_match(x, '[0-9]+(ST|ND|RD|TH)') THEN regexp_extract(x, '^([0-9]+)', 1)
   WHEN map_contains(ords, x) THEN ords[x] WHEN x = 'ST' THEN CASE WHEN i = len(w) AND i > 1 THEN 'STREET' ELSE 'SAINT' END WHEN x = 'DR' THEN CASE WHEN i = 1 AND len(w) > 1 THEN 'DOCTOR' ELSE 'DRIVE' END
   WHEN map_contains(dirs, x) AND ((i = 1 AND len(w) > 1) OR (i = len(w) AND i >= 3)) THEN dirs[x] WHEN map_contains(abbr, x) THEN abbr[x] ELSE x END) AS w
@@ -244,7 +249,7 @@ def corner_search(spark: SparkSession, d: str) -> DataFrame:
     return search.find_corners(pairs, first, second).select("a", "b", "rank")
 
 
-@query("WITH n AS (SELECT c_nationkey AS boro, c_mktsegment AS kind, c_custkey AS id FROM customer WHERE c_custkey <= 300) SELECT id, round(-74.25 + (id % 100 / 100.0) * 0.3, 6) AS x, round(40.5 + (id % 100 / 100.0) * 0.4, 6) AS y FROM n")
+@query("WITH n AS (SELECT c_nationkey AS boro, c_mktsegment AS kind, c_custkey AS id FROM customer) SELECT id, round(-74.25 + (id % 100 / 100.0) * 0.3, 6) AS x, round(40.5 + (id % 100 / 100.0) * 0.4, 6) AS y FROM n")
 def point_along_line(spark: SparkSession, d: str) -> DataFrame:
     flat = F.array(F.lit(-7425000), F.lit(4050000), F.lit(-7410000), F.lit(4070000), F.lit(-7395000), F.lit(4090000))
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), grid.decode_xy(flat).alias("points"))
@@ -268,3 +273,41 @@ def cross_streets(spark: SparkSession, d: str) -> DataFrame:
 def borough_lists(spark: SparkSession, d: str) -> DataFrame:
     places = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("label"), (F.col("n_regionkey") + 1).alias("boro"))
     return search.borough_lists(places).select("n_nationkey", "section", "order_key")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 12 AS rw, p_size % 7 AS boro, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || ' RAMP' WHEN 1 THEN 'EXIT ' || upper(p_name) WHEN 2 THEN ' ' ELSE upper(p_name) || ' ST' END AS name FROM part)
+SELECT p_partkey, name FROM p WHERE rw IN (1, 2, 3, 4, 5, 7, 10) AND trim(name) <> '' AND NOT regexp_matches(name, '\\b(EXIT|RAMP)\\b') AND boro BETWEEN 1 AND 5""")
+def searchable(spark: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("p_partkey") % 5, F.upper("p_name")
+    shown = F.when(k == 0, F.concat(name, F.lit(" RAMP"))).when(k == 1, F.concat(F.lit("EXIT "), name)).when(k == 2, " ").otherwise(F.concat(name, F.lit(" ST")))
+    rows = table(spark, d, "part").select("p_partkey", shown.alias("name"), (F.col("p_size") % 12).alias("rw"), (F.col("p_size") % 7).alias("boro"))
+    return rows.where(clean.searchable(F.col("rw"), F.col("name"), F.col("boro"))).select("p_partkey", "name")
+
+
+_SEARCHES = ("350 5th ave, brooklyn", "5th ave & 42nd st", "75th precinct", "75", "75th", "broadway", "37-12 80th st queens")
+
+
+@query("""SELECT * FROM (VALUES ('350 5th ave, brooklyn', 'address', 3, 0, '350|5th ave'), ('5th ave & 42nd st', 'corner', 0, 0, '5th ave|42nd st'), ('75th precinct', 'precinct', 0, 75, '75'), ('75', 'precinct', 0, 75, '75'),
+  ('75th', 'text', 0, 75, ''), ('broadway', 'text', 0, 0, ''), ('37-12 80th st queens', 'address', 4, 0, '37-12|80th st')) AS t(typed, rule, borough, precinct, parts)""")
+def search_routes(spark: SparkSession, d: str) -> DataFrame:
+    routes = [(t, search.route(t)) for t in _SEARCHES]
+    return spark.createDataFrame([(t, r.rule, r.borough, r.precinct, "|".join(r.parts)) for t, r in routes], "typed string, rule string, borough int, precinct int, parts string")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS code, lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS sort_key, 1 AS parts, 4 AS corners, CAST(-74.25 + n_nationkey % 5 * 0.09375 AS DOUBLE) AS west, CAST(40.5 + floor(n_nationkey / 5.0) * 0.09375 AS DOUBLE) AS south FROM nation")
+def shapes_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Areas written as GeoJSON and read back."""
+    path = paths.fresh_path(spark, "shapes")
+    files.write_geojson(polys(spark, d), path, "code")
+    rings = F.col("rings")
+    back = files.read_polygons(spark, path, "code").select("code", "sort_key", F.size(rings).alias("parts"), F.size(rings[0]).alias("corners"), rings[0][0]["x"].alias("west"), rings[0][0]["y"].alias("south"))
+    return back
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS street, 2 AS points, -74.25::DOUBLE AS x, 40.5 + k / 32.0 AS y FROM (SELECT unnest(range({LATTICE})) AS k) UNION ALL SELECT CAST(k + {LATTICE} AS VARCHAR), 2, -74.25 + k / 32.0, 40.5 FROM (SELECT unnest(range({LATTICE})) AS k)")
+def segments_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Streets written as lines of GeoJSON and read back."""
+    path = paths.fresh_path(spark, "segments")
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    files.write_text_table(lattice(spark).select(F.struct(F.col("street").cast("string").alias("street")).alias("properties"), line.alias("geometry")), path, "json")
+    return files.read_segments(spark, path).select(F.element_at("properties", "street").alias("street"), F.size("points").alias("points"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))

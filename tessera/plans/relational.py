@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import compare
 from tessera.operators import audit, clean, cubes, reconcile, report
 from tessera.plans.fixtures import WITH, facts, locs, table
 from tessera.plans.registry import query
+from tessera.sources import files, paths, store
 
 
 @query("""SELECT o_orderkey, nullif(nullif(trim(CASE o_orderkey % 4 WHEN 0 THEN '(null)' WHEN 1 THEN '  ' WHEN 2 THEN ' ' || o_orderpriority ELSE o_orderstatus END), '(null)'), '') AS v FROM orders""")
@@ -230,9 +233,9 @@ def guarded_change(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("_g", compare.guarded_change(F.col("now"), F.col("before"), least=5, most=100.0)).select("k", "now", "before", "_g.kind", "_g.pct")
 
 
-@query(f"""{WITH} SELECT CAST(report_date AS VARCHAR) AS day, id, row_number() OVER (PARTITION BY report_date ORDER BY id) - 1 AS k FROM facts WHERE pct = 3""")
+@query(f"""{WITH} SELECT pct, CAST(report_date AS VARCHAR) AS day, id, row_number() OVER (PARTITION BY pct, report_date ORDER BY id) - 1 AS k FROM facts""")
 def stack_index(spark: SparkSession, d: str) -> DataFrame:
-    return report.stack_index(facts(spark, d).where("pct = 3"), "report_date", ["id"]).select(F.col("report_date").cast("string").alias("day"), "id", F.col("k").cast("bigint").alias("k"))
+    return report.stack_index(facts(spark, d), ["pct"], "report_date", ["id"]).select("pct", F.col("report_date").cast("string").alias("day"), "id", F.col("k").cast("bigint").alias("k"))
 
 
 @query(f"""{WITH}, b AS (SELECT DISTINCT CAST(lat AS FLOAT) AS lat, CAST(lon AS FLOAT) AS lon, s.street FROM locs, (SELECT unnest([0, 1, 2]) AS street) s WHERE (loc_id + s.street) % 3 < 2)
@@ -248,3 +251,88 @@ SELECT code, boro, name, array_to_string(list_filter(ns, lambda x: x <> name), '
 def alias_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select((F.expr("c_custkey DIV 3") % 400).alias("code"), (F.col("c_nationkey") % 5).alias("boro"), F.col("c_name").alias("name"))
     return clean.alias_groups(rows, ["code", "boro"], "name")
+
+
+@query("SELECT CAST(COLUMNS(*) AS VARCHAR) FROM (SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region)")
+def raw_union(spark: SparkSession, d: str) -> DataFrame:
+    """Files with different columns, by name, all as text."""
+    return files.read_raw(spark, f"{d}/nation.parquet", f"{d}/region.parquet")
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS n_regionkey FROM nation")
+def dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary written as CSV and read back with types, blanks as null."""
+    path = paths.fresh_path(spark, "dictionary")
+    files.write_text_table(table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("n_regionkey")), path)
+    return files.read_dictionary(spark, path, "n_nationkey long, n_name string, n_regionkey long")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def dictionary_as_text(spark: SparkSession, d: str) -> DataFrame:
+    path = paths.fresh_path(spark, "dictionary")
+    files.write_text_table(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return files.read_dictionary(spark, path)
+
+
+@query("SELECT * FROM region")
+def rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """A table that was written anew, verified and put in the old one's place."""
+    path = paths.fresh_path(spark, "region")
+    table(spark, d, "region").write.parquet(path)
+    if not files.rewrite_verified(spark, path, f"{path}.new", replace=True):
+        raise ValueError("the rewritten table differs")
+    return files.read_table(spark, path)
+
+
+_REGIONS = "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"
+
+
+@query(_REGIONS)
+def answers_kept(spark: SparkSession, d: str) -> DataFrame:
+    """An answer that is computed once for a snapshot of its table."""
+    files.read_table(spark, f"{d}/nation.parquet", "nation")
+    answers = store.Answers(spark, f"{paths.shared_dir(spark)}/tessera/answers", paths.snapshot(table(spark, d, "nation")))
+    return answers.get(_REGIONS)
+
+
+@query(_REGIONS)
+def answer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same through JSON objects, as a thin service gives them."""
+    files.read_table(spark, f"{d}/nation.parquet", "nation")
+    return spark.createDataFrame([(x["n_regionkey"], x["n"]) for x in map(json.loads, files.answer(spark, _REGIONS))], "n_regionkey long, n long")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS id FROM customer GROUP BY 1")
+def premise_codes(spark: SparkSession, d: str) -> DataFrame:
+    return clean.frequency_ids(table(spark, d, "customer"), "c_mktsegment")
+
+
+@query("""SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice * 10, 0) AS BIGINT)) AS grouped, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 40 > 20 THEN printf('+%.1f%%', (o_orderkey % 40 - 20) / 1.0) WHEN o_orderkey % 40 < 20 THEN printf('−%.1f%%', abs(o_orderkey % 40 - 20) / 1.0) ELSE '0.0%' END AS change,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Residence, apt. house' WHEN 1 THEN 'Bar / night club' ELSE 'Not recorded' END AS premise FROM orders""")
+def number_formats(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pct = F.when(k % 4 != 0, (k % 40 - 20).cast("double"))
+    label = F.when(k % 3 == 0, "RESIDENCE - APT. HOUSE").when(k % 3 == 1, "BAR/NIGHT CLUB").otherwise("")
+    return table(spark, d, "orders").select("o_orderkey", compare.grouped_number(F.col("o_totalprice") * 10).alias("grouped"), compare.signed_change(pct).alias("change"), compare.sentence_case(label).alias("premise"))
+
+
+@query(f"WITH {_RECONCILE} SELECT p, y, ours, theirs, pct_diff FROM c WHERE theirs >= 20 AND pct_diff IS NOT NULL AND NOT (p LIKE '1%' AND y < 1997) ORDER BY abs(pct_diff) DESC, p, y LIMIT 15")
+def validation_worst(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.worst(_compared(spark, d), ["p", "y"], 20, 15, F.col("p").like("1%") & (F.col("y") < 1997))
+
+
+_OFFENSES = {"MURDER": 0, "RAPE": 1, "ROBBERY": 2, "GRAND LARCENY": 3, "GRAND LARCENY OF MOTOR": 4}
+
+
+@query(f"{WITH} SELECT CAST(boro AS VARCHAR) AS unit, CAST(cat AS VARCHAR) AS code, CAST(m // 12 + 1995 AS INT) AS year, CAST(count(*) AS DOUBLE) AS n FROM facts GROUP BY 1, 2, 3")
+def published_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet of counts as agencies publish them (units named once, years above the columns), written and parsed."""
+    labels = F.element_at(F.array(*[F.lit(f" {x.lower()}  felonies") for x in _OFFENSES]), F.col("cat") + 1)
+    n = facts(spark, d).groupBy("boro", "cat", F.expr("m DIV 12 + 1995").alias("year")).agg(F.count("*").alias("n"))
+    wide = n.groupBy("boro", "cat").pivot("year", list(range(1995, 2002))).agg(F.first("n"))
+    first = F.row_number().over(Window.partitionBy("boro").orderBy("cat")) == 1  # a row for each type
+    sheet = wide.select("boro", "cat", F.when(first, F.col("boro").cast("string")).otherwise("").alias("PCT"), labels.alias("OFFENSE"), *[F.col(str(y)).cast("string").alias(str(y)) for y in range(1995, 2002)])
+    path = paths.fresh_path(spark, "sheet")
+    files.write_text_table(sheet.coalesce(1).sortWithinPartitions("boro", "cat").drop("boro", "cat"), path)
+    rows = reconcile.sheet_totals(files.read_sheet(spark, path), "PCT", _OFFENSES, range(1995, 2002), unit=True)
+    return spark.createDataFrame(rows, "unit string, code string, year int, n double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import time
 import urllib.error
 from collections.abc import Callable, Iterator
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.operators.reconcile import same_rows
+from tessera.sources import paths
 
 
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
@@ -36,17 +39,19 @@ def read_dictionary(spark: SparkSession, path: str, types: str | None = None) ->
 
 
 def read_polygons(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A GeoJSON feature collection: code (zero-padded to 8), ordinal in that order is the code itself, rings of x and y.
+    """A GeoJSON feature collection: code (as it stands), sort_key (the code with zeros before it up to 8 characters; features
+    in order of it count as first), properties, rings of x and y.
 
     Polygons and multipolygons give one row a feature; holes are rings like any other (even-odd)."""
     schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
     features = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("features").alias("f"))
-    code = F.lpad(F.element_at("f.properties", key), 8, "0")
+    code = F.element_at("f.properties", key)
+    sort_key = F.when(F.length(code) < 8, F.lpad(code, 8, "0")).otherwise(code)
     one = F.array(F.from_json("f.geometry.coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))))
     many = F.from_json("f.geometry.coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))))
     parts = F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many)
     rings = F.transform(F.flatten(parts), lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return features.select(code.alias("code"), F.col("f.properties").alias("properties"), rings.alias("rings"))
+    return features.select(code.alias("code"), sort_key.alias("sort_key"), F.col("f.properties").alias("properties"), rings.alias("rings"))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -68,21 +73,44 @@ def write_text_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", "true").csv(path) if kind == "csv" else writer.json(path)
 
 
-def rewrite_verified(spark: SparkSession, path: str, target: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> bool:
-    """Write a table anew beside the old one; False, and nothing kept, unless both hold the same rows."""
+def write_geojson(df: DataFrame, path: str, key: str, rings: str = "rings", keep: list[str] = ()) -> None:
+    """Polygons (a row each, rings of x and y) as one GeoJSON feature collection, in order of their key. For the few hundred
+    areas of a map: the text is one row."""
+    numbers = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    properties = F.struct(F.col(key).cast("string").alias(key), *[F.col(c) for c in keep])
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), numbers.alias("coordinates")).alias("geometry")))
+    rows = df.select(F.struct(F.col(key).alias("k"), feature.alias("f")).alias("s")).agg(F.sort_array(F.collect_list("s")).alias("all"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("all", lambda s: s["f"]), ","), F.lit("]}"))
+    rows.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """The first rows of a small table, as they are ordered, in Markdown."""
+    show = lambda v: "" if v is None else f"{v:,}" if isinstance(v, int) else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in df.limit(most).collect())]) + "\n"
+
+
+def rewrite_verified(spark: SparkSession, path: str, target: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, replace: bool = False) -> bool:
+    """Write a table anew beside the old one; False, and nothing kept, unless both hold the same rows, equally often. With
+    replace the new table then takes the old one's place: no moment has neither."""
     old = spark.read.parquet(path)
     change(old).write.mode("overwrite").option("compression", "zstd").parquet(target)
-    if same_rows(old, spark.read.parquet(target)):
-        return True
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(target)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return False
+    if not same_rows(old, spark.read.parquet(target)):
+        paths.delete(spark, target)
+        return False
+    if replace:
+        aside = f"{path.rstrip('/')}.old"
+        paths.rename(spark, path, aside)
+        paths.rename(spark, target, path)
+        paths.delete(spark, aside)
+        spark.catalog.refreshByPath(path)
+    return True
 
 
-def answer(spark: SparkSession, sql: str) -> list[str]:
-    """The rows of a query as JSON objects, for a thin service in front."""
-    return spark.sql(sql).toJSON().collect()
+def answer(spark: SparkSession, sql: str) -> Iterator[str]:
+    """The rows of a query as JSON objects, for a thin service in front; a partition at a time, so a large answer streams by."""
+    return spark.sql(sql).toJSON().toLocalIterator()
 
 
 def with_retry(fetch: Callable[[], bytes], tries: int = 6, sleep: Callable[[float], None] = time.sleep) -> bytes:
@@ -108,7 +136,8 @@ class _Page(InputPartition):
 class PagedRecords(DataSource):
     """Paged records over HTTP, a partition for each year: .format("paged").option("url", ...).option("years", "2016,2017").
 
-    The url has {year}, {offset} and {limit}; pages are JSON arrays of objects; a short page ends a year."""
+    The url has {year}, {offset} and {limit}; pages are JSON arrays of objects; a short page ends a year. With the option
+    count_url (with {year}; it answers [{"n": ...}]), a year that has more or fewer rows than the source says fails."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,7 +152,7 @@ class PagedRecords(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.url, self.limit = options["url"], int(options.get("limit", "50000"))
+        self.url, self.limit, self.count_url = options["url"], int(options.get("limit", "50000")), options.get("count_url")
         self.years = [int(y) for y in options["years"].split(",")]
 
     def partitions(self):
@@ -133,11 +162,35 @@ class _PagedReader(DataSourceReader):
         import json
         import urllib.request
 
-        offset = 0
+        load = lambda url: json.loads(with_retry(lambda: urllib.request.urlopen(url, timeout=120).read()))
+        year, offset = partition.value, 0
+        expected = int(load(self.count_url.format(year=year))[0]["n"]) if self.count_url else None
         while True:
-            url = self.url.format(year=partition.value, offset=offset, limit=self.limit)
-            page = json.loads(with_retry(lambda url=url: urllib.request.urlopen(url, timeout=120).read()))
-            yield from ((partition.value, json.dumps(r)) for r in page)
+            page = load(self.url.format(year=year, offset=offset, limit=self.limit))
+            yield from ((year, json.dumps(r)) for r in page)
+            offset += len(page)
             if len(page) < self.limit:
-                return
-            offset += self.limit
+                break
+        if expected is not None and offset != expected:
+            raise ValueError(f"{year}: {offset} rows, but the source counts {expected}")
+
+
+def download(spark: SparkSession, path: str, years: list[int], force: tuple[int, ...] = (), **options: str) -> list[int]:
+    """Years of a paged source as Parquet, a folder each; returns those that were read now. A year's folder is complete or
+    absent, so a run that broke off goes on where it stopped; the folders are the manifest. Years of force are read again."""
+    read = []
+    for year in years:  # a few, each read by its own job
+        final, part = f"{path}/rpt_year={year}", f"{path}/.part-{year}"
+        if year not in force and paths.exists(spark, f"{final}/_SUCCESS"):
+            continue
+        spark.read.format("paged").options(**options, years=str(year)).load().drop("year").write.mode("overwrite").parquet(part)
+        paths.delete(spark, final)
+        paths.rename(spark, part, final)
+        read.append(year)
+    return read
+
+
+def read_sheet(spark: SparkSession, path: str) -> list[list[str]]:
+    """The rows of a small sheet that was saved as CSV, ragged as they are: published tables of a few hundred rows."""
+    text = spark.read.text(path, wholetext=True).first()
+    return list(csv.reader(io.StringIO(text[0]))) if text else []

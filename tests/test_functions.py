@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import compare, grid, names
+from tessera.functions import compare, grid, names, period
 from tessera.functions.period import Period, Span, baseline_of, comparison_of, days_of, fair_column, in_months, months_of, normalized, resolve_group
 
 
@@ -53,7 +53,8 @@ KEYS = {
     "W 42nd St.": "WEST 42 STREET", "Fifth Avenue": "5 AVENUE", "5th av": "5 AVENUE", "St. Mark's Pl": "SAINT MARKS PLACE", "Avenue S": "AVENUE S", "Park Ave S": "PARK AVENUE SOUTH",
     "Dr M L King Jr Blvd": "DOCTOR M L KING JUNIOR BOULEVARD", "Harlem River Dr": "HARLEM RIVER DRIVE", "Ave of the Americas": "AVENUE AMERICAS", "Peña (north) Rd": "PENA ROAD", "St": "SAINT", "W": "W", "": "", "Dr": "DRIVE",
 }
-SHOWN = {"W  42 ST": "West 42nd Street", "AVE OF THE AMERICAS": "Avenue of the Americas", "ST MARKS PL": "St Marks Place", "AVE S": "Avenue S", "PARK AVE S": "Park Avenue South", "FDR DR VIADUCT": "FDR Drive Viaduct", "BCH 116 ST": "Beach 116th Street", "E 111 ST": "East 111th Street", "MCDONALD AVE": "McDonald Avenue", "RT 9A": "Rt 9A"}
+SHOWN = {"W  42 ST": "West 42nd Street", "AVE OF THE AMERICAS": "Avenue of the Americas", "ST MARKS PL": "St Marks Place", "AVE S": "Avenue S", "PARK AVE S": "Park Avenue South", "FDR DR VIADUCT": "FDR Drive Viaduct", "BCH 116 ST": "Beach 116th Street", "E 111 ST": "East 111th Street", "MCDONALD AVE": "McDonald Avenue", "RT 9A": "Rt 9A",
+    "ÉCOLE LN": "École Lane", "NAÏVE'S O'BRIEN ST": "Naïve's O'Brien Street", "W 1234567890123 ST": "West 1234567890123rd Street", "E 007 ST": "East 7th Street", "MC" + "A" * 2000: "McA" + "a" * 1999, "УЛИЦА МИРА": "Улица Мира"}
 
 
 def test_street_keys_and_shown_names(spark):
@@ -64,8 +65,8 @@ def test_street_keys_and_shown_names(spark):
 
 
 def test_house_numbers(spark):
-    cases = {"1234": 1234, "37-012": 1_037_012, "0": -1, "": -1, None: -1, "12A": 12, "x": -1, " 7 ": 7}
-    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "raw string, want int")
+    cases = {"1234": 1234, "37-012": 1_037_012, "0": -1, "": -1, None: -1, "12A": 12, "x": -1, " 7 ": 7, "12345678901": 12345678901, "1234567-12345678": 1_000_000 + 1234567_000 + 12345678, "9" * 30: -1, "9" * 30 + "-1": -1}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "raw string, want long")
     assert all(r.got == r.want for r in df.select("want", names.house_number(F.col("raw")).alias("got")).collect())
     blocks = spark.createDataFrame([(357, 300), (1_037_012, 1_037_000), (-1, -1), (99, 0)], "n int, want int")
     assert all(r.got == r.want for r in blocks.select("want", names.block_of(F.col("n")).alias("got")).collect())
@@ -113,6 +114,7 @@ def test_breaks_and_classes(spark):
     df = spark.createDataFrame([(v,) for v in (1, 10, 11, 20, 99)], "v int")
     assert [r[0] for r in df.select(compare.classify(F.col("v"), breaks)).collect()] == [0, 0, 1, 1, 2] == [compare.class_of(v, breaks) for v in (1, 10, 11, 20, 99)]
     assert compare.class_labels([8, 15, 150]) == ["1-8", "9-15", "16-150", "151+"]
+    assert compare.class_labels([1_234_567]) == ["1-1234567", "1234568+"]
     assert compare.class_labels([0.5, 2], whole=False) == ["0-0.5", "0.5-2", "2+"]
 
 
@@ -130,3 +132,21 @@ def test_lines(spark):
 def test_span_of_other_years():
     span = Span(1995, 2001, 1997)
     assert months_of(Period("year", 2000), span) == list(range(60, 72)) and baseline_of(Period("year", 2000), span) == (list(range(24, 36)), 1.0)
+
+
+def test_windows_of_days(spark):
+    span = period.Span(2016, 2025, 2019)
+    assert period.dates_of([0], span) == ("2016-01-01", "2016-02-01") and period.dates_of(list(range(108, 120)), span) == ("2025-01-01", "2026-01-01")
+    with pytest.raises(ValueError):
+        period.dates_of([1, 3], span)
+    days = spark.sql("SELECT explode(sequence(DATE'2015-12-30', DATE'2016-02-02')) AS day")
+    inside = days.where(period.in_dates(F.col("day"), "2016-01-01", "2016-02-01"))
+    assert inside.count() == 31 and inside.agg(F.min("day")).first()[0].day == 1
+
+
+def test_numbers_as_people_read_them(spark):
+    df = spark.createDataFrame([(12.34, "NYC HOUSING-PARK/LOT"), (-4.0, ""), (0.0, None), (None, "X"), (float("inf"), "bar"), (float("nan"), "A - B")], "pct double, label string")
+    got = df.select(compare.signed_change(F.col("pct")).alias("c"), compare.sentence_case(F.col("label")).alias("s")).collect()
+    assert [r.c for r in got] == ["+12.3%", "−4.0%", "0.0%", "", "", ""]
+    assert [r.s for r in got] == ["NYC housing, park / lot", "Not recorded", "Not recorded", "X", "Bar", "A, b"]
+    assert spark.range(1).select(compare.grouped_number(F.lit(1234567.6))).first()[0] == "1,234,568"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, clean, cubes, reconcile, report, search, spatial
-from tessera.sources import files
+from tessera.sources import files, paths, store
 
 SQUARE = "code int, rings array<array<struct<x: double, y: double>>>"
 
@@ -133,13 +134,29 @@ def test_addresses_respect_parity_and_sides(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("Block 10",), ("Block 9",), ("Área 2",)], "v string")
     assert [r.v for r in df.orderBy(search.natural_key(F.col("v"))).collect()][:2] == ["Block 9", "Block 10"]
+    long = ["Lot 1" + "0" * 14, "Lot 2" + "0" * 13, "Lot 1" + "0" * 13, "Lot 000000000000000000007", "Lot 8", "Lot 1" + "0" * 13 + "1"]
+    df = spark.createDataFrame([(v,) for v in long], "v string")
+    assert [r.v for r in df.orderBy(search.natural_key(F.col("v"))).collect()] == sorted(long, key=lambda v: int(v[4:]))
+
+
+def test_numbers_that_name_a_precinct_beside_a_street():
+    assert search.route("75th") == search.Route("text", "75th", 0, (), 75) and search.route("75th st").precinct == 0
+    assert search.route("pct 9").precinct == 9 and search.route("3rd, brooklyn") == search.Route("text", "3rd", 3, (), 3)
+
+
+def test_addresses_on_long_streets_and_wide_ranges(spark):
+    """Numbers meet segments by hundreds: across hundreds, with sides that run backwards, without numbers, and hyphenated."""
+    segs = spark.createDataFrame([(1, 7, 90, 310, 311, 91), (2, 7, 0, 0, 0, 0), (3, 8, 1_037_012, 1_037_098, 0, 0)], "seg int, street int, lf int, lt int, rf int, rt int")
+    wanted = spark.createDataFrame([(7, n) for n in (90, 200, 310, 311, 91, 312)] + [(8, 1_037_050), (8, 37)], "street int, number int")
+    got = {(r.street, r.number, r.seg) for r in search.locate_addresses(wanted, segs).collect()}
+    assert got == {(7, n, 1) for n in (90, 200, 310, 311, 91)} | {(8, 1_037_050, 3)}
 
 
 def test_sources_round_trip(spark, tmp_path):
     path = str(tmp_path / "cube")
     cube = spark.range(5000).select((F.col("id") % 50).alias("k"), F.col("id").alias("n"))
     files.write_cube(cube, path, ["k", "n"], files=2)
-    assert files.read_table(spark, path, "a_cube").count() == 5000 and json.loads(files.answer(spark, "SELECT count(*) AS c FROM a_cube")[0]) == {"c": 5000}
+    assert files.read_table(spark, path, "a_cube").count() == 5000 and [json.loads(x) for x in files.answer(spark, "SELECT count(*) AS c FROM a_cube")] == [{"c": 5000}]
     assert files.rewrite_verified(spark, path, str(tmp_path / "same"))
     assert not files.rewrite_verified(spark, path, str(tmp_path / "less"), lambda df: df.limit(10)) and not (tmp_path / "less").exists()
     files.write_text_table(spark.createDataFrame([("1", "x"), ("2", None)], "a string, b string"), str(tmp_path / "csv"))
@@ -154,10 +171,10 @@ def test_sources_round_trip(spark, tmp_path):
 
 def test_shapes_are_read(spark, tmp_path):
     ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
-    features = [{"type": "Feature", "properties": {"code": "7"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {"code": "12"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]
+    features = [{"type": "Feature", "properties": {"code": "7"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {"code": "BX010100123"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]
     (tmp_path / "p.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
-    got = {r.code: len(r.rings) for r in files.read_polygons(spark, str(tmp_path / "p.json"), "code").collect()}
-    assert got == {"00000007": 1, "00000012": 2}
+    got = {(r.code, r.sort_key): len(r.rings) for r in files.read_polygons(spark, str(tmp_path / "p.json"), "code").collect()}
+    assert got == {("7", "00000007"): 1, ("BX010100123", "BX010100123"): 2}
     (tmp_path / "s.json").write_text(json.dumps({"properties": {"id": "1"}, "geometry": {"type": "LineString", "coordinates": [[0.0, 1.0], [2.0, 3.0]]}}) + "\n")
     assert [tuple(p) for p in files.read_segments(spark, str(tmp_path / "s.json")).first().points] == [(0.0, 1.0), (2.0, 3.0)]
 
@@ -175,16 +192,18 @@ def test_retries_stop_at_client_errors():
     assert files.with_retry(fetch, sleep=waits.append) == b"ok" and waits == [5, 10]
 
 
-def test_paged_source(spark):
+def test_paged_source(spark, tmp_path):
     """Two years in pages of two from a local server."""
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlparse
 
     class Pages(BaseHTTPRequestHandler):
+        wrong = 0
+
         def do_GET(self):
             q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
-            rows = [{"id": f"{q['year']}-{k}"} for k in range(q["year"] - 2013)][q["offset"] : q["offset"] + q["limit"]]
+            rows = [{"n": q["year"] - 2013 + Pages.wrong}] if "count" in q else [{"id": f"{q['year']}-{k}"} for k in range(q["year"] - 2013)][q["offset"] : q["offset"] + q["limit"]]
             self.send_response(200)
             self.end_headers()
             self.wfile.write(json.dumps(rows).encode())
@@ -196,6 +215,60 @@ def test_paged_source(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(files.PagedRecords)
     url = f"http://127.0.0.1:{server.server_port}/?year={{year}}&offset={{offset}}&limit={{limit}}"
+    count_url = f"http://127.0.0.1:{server.server_port}/?year={{year}}&offset=0&limit=0&count={{year}}"
     df = spark.read.format("paged").option("url", url).option("years", "2016,2017").option("limit", "2").load()
     assert {(r.year, json.loads(r.record)["id"]) for r in df.collect()} == {(2016, f"2016-{k}") for k in range(3)} | {(2017, f"2017-{k}") for k in range(4)}
+    path = str(tmp_path / "years")
+    options = {"url": url, "limit": "2", "count_url": count_url}
+    assert files.download(spark, path, [2016, 2017], **options) == [2016, 2017]
+    assert files.download(spark, path, [2016, 2017, 2018], force=(2017,), **options) == [2017, 2018]
+    assert spark.read.parquet(path).groupBy("rpt_year").count().collect() and spark.read.parquet(path).count() == 3 + 4 + 5
+    Pages.wrong = 1
+    with pytest.raises(Exception, match="counts"):
+        files.download(spark, path, [2019], **options)
+    assert not (tmp_path / "years/rpt_year=2019").exists()
     server.shutdown()
+
+
+def test_sheets_as_agencies_publish_them(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Historic figures\nPCT,OFFENSE,2016,2017.0,note\n1,Murder & non negl.,3,4,x\n,GRAND LARCENY,10,n/a,\n,Grand  larceny of motor vehicle,5,6,\n,TOTAL SEVEN,18,10,\nDOC,ROBBERY,1,\nStatistical notes,ROBBERY,9,9,\n")
+    prefixes = {"MURDER": 101, "ROBBERY": 105, "GRAND LARCENY": 109, "GRAND LARCENY OF MOTOR": 110}
+    rows = files.read_sheet(spark, str(tmp_path / "s.csv"))
+    got = reconcile.sheet_totals(rows, "PCT", prefixes, range(2016, 2018), unit=True)
+    assert got == [("1", "101", 2016, 3.0), ("1", "101", 2017, 4.0), ("1", "109", 2016, 10.0), ("1", "110", 2016, 5.0), ("1", "110", 2017, 6.0), ("1", "total", 2016, 18.0), ("1", "total", 2017, 10.0), ("DOC", "105", 2016, 1.0)]
+    city = [["OFFENSE", 2016.0, 2017.0], ["Robbery", 7.0, 8.0], ["a note", "", ""]]
+    assert reconcile.sheet_totals(city, "OFFENSE", prefixes, range(2016, 2018)) == [(None, "105", 2016, 7.0), (None, "105", 2017, 8.0)]
+
+
+def test_answers_follow_their_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("kept")
+    ask = lambda: store.Answers(spark, str(tmp_path / "answers"), paths.snapshot(spark.read.parquet(path))).get("SELECT count(*) AS n FROM kept").first().n
+    assert ask() == 3
+    spark.range(5).createOrReplaceTempView("kept")
+    assert ask() == 3  # the table's files are as they were
+    spark.range(7).write.mode("append").parquet(path)
+    assert ask() == 5
+
+
+def test_a_table_is_replaced_after_verification(spark, tmp_path):
+    path, new = str(tmp_path / "t"), str(tmp_path / "new")
+    spark.range(100).repartition(5).write.parquet(path)
+    assert files.rewrite_verified(spark, path, new, lambda df: df.coalesce(1), replace=True)
+    assert len(list((tmp_path / "t").glob("part-*"))) == 1 and not (tmp_path / "new").exists() and not (tmp_path / "t.old").exists()
+    assert spark.read.parquet(path).count() == 100
+    assert not files.rewrite_verified(spark, path, new, lambda df: df.limit(3), replace=True) and spark.read.parquet(path).count() == 100
+
+
+def test_years_are_found_and_lists_made_of_few(spark):
+    df = spark.createDataFrame([("a", 2001), ("a", 2003), ("b", 2001), (None, None)], "k string, y int")
+    got = audit.pivot_counts(df, "k", "y")
+    assert got.columns == ["k", "2001", "2003"] and {tuple(r) for r in got.collect()} == {("a", 1, 1), ("b", 1, 0), (None, 0, 0)}
+    labels = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "z"), (None, "p"), (None, "q"), (3, None)], "code int, label string")
+    assert {tuple(r) for r in audit.labels_per_code(labels, "code", "label").collect()} == {(1, 2, "x / y"), (None, 2, "p / q")}
+
+
+def test_reports_as_markdown(spark):
+    df = spark.createDataFrame([("a|b", 1234567), (None, 2)], "k string, n long").orderBy(F.desc("n"))
+    assert files.markdown_table(df) == "| k | n |\n|---|---|\n| a\\|b | 1,234,567 |\n|  | 2 |\n"
