@@ -321,17 +321,22 @@ def count_ragged(words: list[str], vocab: Vocabulary) -> np.ndarray:
 
 
 class Interner(dict):
-    """Codes of pre-tokens. Keys without a code get the next one and wait in ``new``. Holds at most ``limit`` keys between chunks."""
+    """Codes of pre-tokens. Keys without a code get the next one and wait in ``new``. Between chunks it is emptied once it holds
+    ``limit`` keys, or 16 characters for each of so many."""
 
     def __init__(self, limit: int) -> None:
         super().__init__()
-        self.limit, self.new = limit, []
+        self.limit, self.new, self.characters = limit, [], 0
 
     def __missing__(self, key: str) -> int:
         code = self[key] = len(self)
         self.new.append(key)
+        self.characters += len(key)
         return code
 
+    def full(self) -> bool:
+        return len(self) > self.limit or self.characters > 16 * self.limit
+
 
 class Counter:
     """Token counts of texts; remembers the counts of pre-tokens that it has met, up to a limit."""
@@ -340,7 +345,7 @@ class Counter:
         self.vocab, self.codes, self.counts = vocab, Interner(limit), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.codes) > self.codes.limit:
+        if self.codes.full():
             self.codes, self.counts = Interner(self.codes.limit), np.zeros(0, np.int64)
         flat: list[int] = []
         sizes = np.zeros(len(texts), np.int64)
@@ -366,7 +371,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and how many each text has."""
-        if len(self.codes) > self.codes.limit:
+        if self.codes.full():
             self.__init__(self.vocab, self.codes.limit)
         flat: list[int] = []
         sizes = np.zeros(len(texts), np.int64)
