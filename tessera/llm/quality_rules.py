@@ -148,19 +148,31 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text is kept. Judged in place: no join, no shuffle."""
+def filter_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs whose text is kept, each with its failing lines removed; all other columns as they were, but for the
+    number of characters, where docs has that column. A text without a failing line stays as it is, blank lines included.
+
+    Judged in place: no join, no shuffle. The verdict goes through a generator, so Spark computes it once, not again to filter."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, WORD_GAP), "")
+    none = F.lit(None).cast("bigint")
     base = let(
         words,
-        lambda w: F.when(F.size(w) < rules.min_words, F.lit(None).cast("bigint")).otherwise(
-            F.when(repeated_words(w) * 100 > F.size(w) * rules.max_repeat_percent, F.lit(None).cast("bigint")).otherwise(F.length(F.array_join(w, "")).cast("bigint"))
-        ),
-    )
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
-    left = let(
-        F.transform(lines, lambda x: judge_line(x, rules)),
-        lambda xs: F.aggregate(F.filter(xs, lambda x: x["why"].isNull()), F.lit(0).cast("bigint"), lambda a, x: a + x["chars"]),
+        lambda w: F.when(F.size(w) < rules.min_words, none).otherwise(F.when(repeated_words(w) * 100 > F.size(w) * rules.max_repeat_percent, none).otherwise(F.length(F.array_join(w, "")).cast("bigint"))),
     )
-    return docs.where(F.coalesce(let(base, lambda b: F.when(b.isNotNull(), left * 100 >= b * rules.min_kept_percent)), F.lit(False)))
+    blank = lambda x: F.struct(F.lit(0).alias("chars"), F.lit(None).cast("string").alias("why"), x.alias("line"))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(HAS_WORD), judge_line(x, rules)).otherwise(blank(x)))
+
+    def cleaned(xs: Column, chars: Column) -> Column:
+        stay = F.filter(xs, lambda x: x["why"].isNull())
+        left = F.aggregate(stay, F.lit(0).cast("bigint"), lambda a, x: a + x["chars"])
+        joined = F.when(F.exists(xs, lambda x: x["why"].isNotNull()), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).otherwise(text)
+        return F.struct((left * 100 >= chars * rules.min_kept_percent).alias("kept"), joined.alias("text"))
+
+    verdict = let(base, lambda chars: F.when(chars.isNotNull(), let(lines, lambda xs: cleaned(xs, chars))))
+    name = "_clean"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    rows = docs.select("*", F.explode(F.filter(F.array(verdict), lambda v: v["kept"])).alias(name))
+    new = {text_col: F.col(name)["text"], chars_col: F.length(F.col(name)["text"])}
+    return rows.select(*[new[c].cast(dict(docs.dtypes)[c]).alias(c) if c in new else rows[c] for c in docs.columns])
