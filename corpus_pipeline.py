@@ -1,6 +1,11 @@
 """Documents to training sequences: quality rules, language ID, exact dedup, near-duplicate join, packing.
 
-Each stage works on all that the one before it kept and returns the columns of documents; the last returns packed pieces.
+Each stage works on all that the one before it kept and returns the columns of documents; the last returns packed pieces. The
+first removes the lines that fail its rules, so later stages see cleaned texts.
+
+Defined results: null and empty texts go in the first stage. Rows may repeat and ids may be null or repeat: of rows with one
+text a single one stays, whatever their ids. Further columns of documents go along untouched, whatever their names. Texts may
+be of any length that a worker can hold. Ties: see the operators. An empty table gives an empty table from every stage.
 """
 
 from __future__ import annotations
@@ -11,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules, runtime
 
-#: A document goes if no language is at least as sure as this.
-LEAST_SURE = 0.5
+#: A document goes if no language is at least as sure as this, or if its letters are so much less likely in the language than
+#: usual (1: as usual). Prose in a learned language has about 0.5 even where most of its words are new, unrelated ones below 0.4.
+LEAST_SURE, LEAST_FIT = 0.5, 0.42
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])), public_tokenizers.path("piece_bpe_32k.model"), docs["text"], docs["lang"], docs["doc_id"])
-    others = {c: docs[c] for c in docs.columns if c not in ("doc_id", "text")}
-    judged = language_id.predict(docs, model, extra=others | {"text": docs["text"]})
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
+    own = {f"_{i}": docs[c] for i, c in enumerate(docs.columns)}  # names that no prediction has
+    judged = language_id.predict(docs, model, extra=own)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE) & (F.col("fit") >= LEAST_FIT)
+    return judged.where(sure).select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
