@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare
 from tessera.operators import audit, clean, cubes, reconcile, report
+from tessera.plans import served
 from tessera.plans.fixtures import WITH, facts, locs, table
 from tessera.plans.registry import query
 from tessera.sources import files, paths, store
@@ -259,6 +260,19 @@ def raw_union(spark: SparkSession, d: str) -> DataFrame:
     return files.read_raw(spark, f"{d}/nation.parquet", f"{d}/region.parquet")
 
 
+@query("SELECT CAST(n_regionkey AS INT) AS year, n_name FROM nation")
+def paged_source(spark: SparkSession, d: str) -> DataFrame:
+    """Records in pages from a service, a partition for each year, held against the number that the service gives."""
+    rows: dict[int, list[dict]] = {}
+    for r in table(spark, d, "nation").select("n_regionkey", "n_name").collect():  # the 25 rows that are served
+        rows.setdefault(r[0], []).append({"name": r[1]})
+    url = served.serve(spark, rows)
+    spark.dataSource.register(files.PagedRecords)
+    options = {"url": f"{url}?year={{year}}&offset={{offset}}&limit={{limit}}", "count_url": f"{url}?year={{year}}&count=1", "limit": "2", "years": ",".join(map(str, rows))}
+    pages = spark.read.format("paged").options(**options).load()
+    return pages.select("year", F.get_json_object("record", "$.name").alias("n_name"))
+
+
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS n_regionkey FROM nation")
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     """A dictionary written as CSV and read back with types, blanks as null."""

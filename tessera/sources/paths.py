@@ -25,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder, once none of its results is read any more."""
+    delete(spark, own_dir(spark))
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -272,3 +272,11 @@ def test_years_are_found_and_lists_made_of_few(spark):
 def test_reports_as_markdown(spark):
     df = spark.createDataFrame([("a|b", 1234567), (None, 2)], "k string, n long").orderBy(F.desc("n"))
     assert files.markdown_table(df) == "| k | n |\n|---|---|\n| a\\|b | 1,234,567 |\n|  | 2 |\n"
+
+
+def test_what_an_application_wrote_is_deleted_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paths, "shared_dir", lambda _: f"file://{tmp_path}")
+    spark.range(3).write.parquet(paths.fresh_path(spark, "some"))
+    assert any(tmp_path.rglob("*.parquet"))
+    paths.clear(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
