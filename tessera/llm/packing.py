@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most ``size`` tokens. The plan works on the histogram of piece lengths, which has ``size``
 entries at most whatever the input: the longest length left looks up the gap it leaves among single lengths, pair sums and
-triple sums, and consumes such combinations as often as the counts allow; what finds no exact complement is packed best-fit,
-the longest piece that fits first. The plan is a table of slots (a few thousand rows, bounded by ``size``); pieces find their
+triple sums, and consumes such combinations as often as the counts allow; what finds no exact complement is packed best-fit.
+Several orders of that search and best-fit alone are tried, and the fewest sequences win. The plan is a table of slots (a few thousand rows, bounded by ``size``); pieces find their
 slot by their rank among pieces of their length. Ranks come from counts per (length, salt), so no length is ever gathered in a
 task, however many pieces share it.
 
@@ -13,6 +13,7 @@ on its own. Only the id and text columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from . import encoding, runtime
 
-#: Pieces of one length and salt, about; a window sorts so many narrow rows.
-GROUP = 100_000
+#: Pieces of one length and salt at least, about; more where the square root of their number is larger, so that neither the
+#: ranks inside a salt nor the sums over the salts of a length take a long sort.
+GROUP = 1_000
 
 
 def cut(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -61,83 +63,120 @@ def cut(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1
 
 
 class Complements:
-    """Which lengths left add up to a gap: singles, pair sums, triple sums."""
+    """Which lengths left add up to a gap: singles, pair sums, triple sums. Exhausted lengths never come back.
 
-    def __init__(self, left: np.ndarray) -> None:
-        self.left = left
+    uneven: of the pairs (triples) with one sum, those with the longest part come first; else the most balanced."""
+
+    def __init__(self, left: np.ndarray, reach: int, uneven: bool) -> None:
+        self.left, self.reach, self.uneven = left, reach, uneven
         present = np.flatnonzero(left)
         self.pairs: dict[int, list[int]] = {}
-        for a in present.tolist():  # of a pair, the smaller; the most balanced pairs come last
+        for a in present.tolist() if reach > 1 else ():  # of a pair, the smaller; what comes first is held last
             for b in present[(present >= a) & (present + a < len(left))].tolist():
                 self.pairs.setdefault(a + b, []).append(a)
+        if uneven:
+            for held in self.pairs.values():
+                held.reverse()
 
     def available(self, parts: tuple[int, ...]) -> bool:
         return all(self.left[p] >= parts.count(p) for p in set(parts))
 
-    def pair(self, gap: int, least: int = 1) -> tuple[int, int] | None:
-        """The most balanced pair with that sum. Exhausted lengths never come back, so dead entries are dropped for good."""
+    def pair(self, gap: int) -> tuple[int, int] | None:
         held = self.pairs.get(gap, [])
-        while held and not (self.left[held[-1]] and self.left[gap - held[-1]]):
+        while held and not (self.left[held[-1]] and self.left[gap - held[-1]]):  # dead entries are dropped for good
             held.pop()
-        for a in reversed(held):
-            if a < least:
-                break
-            if self.available((a, gap - a)):
-                return a, gap - a
-        return None
+        return next(((a, gap - a) for a in reversed(held) if self.available((a, gap - a))), None)
 
     def find(self, gap: int) -> tuple[int, ...] | None:
         if self.left[gap]:
             return (gap,)
-        if found := self.pair(gap):
+        if self.reach > 1 and (found := self.pair(gap)):
             return found
-        for a in range(gap // 3, 0, -1):
-            if self.left[a] and (found := self.pair(gap - a, a)) and self.available((a, *found)):
-                return a, *found
+        if self.reach > 2:
+            for a in range(gap - 2, 0, -1) if self.uneven else range(gap // 3, 0, -1):
+                if self.left[a] and (found := self.pair(gap - a)) and self.available((a, *found)):
+                    return a, *found
         return None
 
 
-def plan(lengths: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of lengths and how many sequences hold each."""
-    left = np.zeros(size + 1, np.int64)
-    for n, count in lengths.items():
-        left[n] = count
-    out: list[tuple[tuple[int, ...], int]] = []
+Plan = list[tuple[tuple[int, ...], int]]
 
-    def consume(parts: tuple[int, ...]) -> None:
-        times = min(int(left[p]) // parts.count(p) for p in set(parts))
-        for p in set(parts):
-            left[p] -= times * parts.count(p)
-        out.append((parts, times))
 
-    index = Complements(left)
-    for n in range(size, 0, -1):
-        while left[n]:
-            left[n] -= 1
-            rest = (n == size and ()) if n == size else index.find(size - n)
-            left[n] += 1
-            if rest is None:
-                break
-            consume((n, *rest))
+def by_complements(lengths: np.ndarray, reach: int = 3, uneven: bool = False) -> Plan:
+    """From the longest length left on: what fills its gap exactly, in sums of up to ``reach`` parts; where nothing does, the
+    longest part that fits goes in and the rest of the gap looks anew. Each combination is used as often as counts allow."""
+    left, size, out = lengths.copy(), len(lengths) - 1, []
+    index = Complements(left, reach, uneven)
     for n in range(size, 0, -1):
         while left[n]:
-            parts, gap = [n], size - n
-            left[n] -= 1
-            taken = [n]
-            while gap > 0 and len(fits := np.flatnonzero(left[: gap + 1])):
-                best = int(fits[-1])
-                many = min(int(left[best]), gap // best)
-                parts += [best] * many
-                left[best] -= many
-                taken += [best] * many
-                gap -= best * many
-            for p in taken:
+            parts, gap = [], size
+            more: tuple[int, ...] | None = (n,)
+            while more:
+                parts += more
+                gap -= sum(more)
+                for p in more:
+                    left[p] -= 1
+                more = index.find(gap) if gap else None
+                if gap and not more and len(fits := np.flatnonzero(left[: gap + 1])):
+                    more = (int(fits[-1]),)
+            for p in parts:
                 left[p] += 1
-            consume(tuple(parts))
+            times = min(int(left[p]) // parts.count(p) for p in set(parts))
+            for p in set(parts):
+                left[p] -= times * parts.count(p)
+            out.append((tuple(parts), times))
     return out
 
 
-def slots(plan_: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+def by_best_fit(lengths: np.ndarray) -> Plan:
+    """Every length from the longest on goes where it leaves the smallest gap, a new sequence where it fits into none."""
+    size = len(lengths) - 1
+    open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(size + 1)]  # by gap: combinations, and how many
+    there = np.zeros(size + 1, bool)
+    for n in range(size, 0, -1):
+        count = int(lengths[n])
+        while count:
+            fits = np.flatnonzero(there[n:])
+            gap = n + int(fits[0]) if len(fits) else size
+            parts, times = open_[gap].pop() if len(fits) else ((), count)
+            there[gap] = bool(open_[gap])
+            each = gap // n
+            if count >= each:
+                used = min(times, count // each)
+            else:
+                each, used = count, 1
+            count -= each * used
+            open_[gap - each * n].append((parts + (n,) * each, used))
+            there[gap - each * n] = True
+            if parts and times > used:
+                open_[gap].append((parts, times - used))
+                there[gap] = True
+    return [x for held in open_ for x in held]
+
+
+def plan(lengths: dict[int, int], size: int) -> Plan:
+    """Combinations of lengths and how many sequences hold each: the fewest sequences of those that complements of up to three,
+    two and one parts give in either order, and best-fit alone. Each takes a fraction of a second, whatever the input."""
+    left = np.zeros(size + 1, np.int64)
+    for n, count in lengths.items():
+        left[n] = count
+    least = max(-(-int(left @ np.arange(size + 1)) // size), int(left[size // 2 + 1 :].sum()))
+    best: Plan | None = None
+    tries = [lambda r=r, u=u: by_complements(left, r, u) for r in (3, 2, 1) for u in (False, True)]
+    for attempt in (*tries, lambda: by_best_fit(left)):
+        found = attempt()
+        if best is None or sequences(found) < sequences(best):
+            best = found
+        if sequences(best) == least:
+            break
+    return best
+
+
+def sequences(plan_: Plan) -> int:
+    return sum(times for _, times in plan_)
+
+
+def slots(plan_: Plan) -> np.ndarray:
     """Rows length, first rank, ranks, places of that length in a sequence, first sequence, offset; sorted by length and rank."""
     used: dict[int, int] = {}
     rows, sequence = [], 0
@@ -160,12 +199,13 @@ def pack(pieces: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id"
     spark = pieces.sparkSession
     runtime.ship(spark)
     counts = pieces.groupBy("length").count().collect()  # at most ``size`` rows
-    total = sum(r["count"] for r in counts)
-    buckets = max(1, -(-total // GROUP))
+    salts = [1] * (size + 1)
+    for r in counts:
+        salts[r["length"]] = -(-r["count"] // max(GROUP, math.isqrt(r["count"])))
     held = spark.sparkContext.broadcast(slots(planner({r["length"]: r["count"] for r in counts}, size)))
-    salted = pieces.withColumn("_b", F.col("salt") % buckets)
+    salted = pieces.withColumn("_b", F.col("salt") % F.get(F.lit(salts), F.col("length").cast("int")))
     by_bucket = salted.groupBy("length", "_b").count()
-    before = by_bucket.select("length", "_b", (F.sum("count").over(Window.partitionBy("length").orderBy("_b")) - F.col("count")).alias("_before"))  # at most size * buckets rows
+    before = by_bucket.select("length", "_b", (F.sum("count").over(Window.partitionBy("length").orderBy("_b")) - F.col("count")).alias("_before"))  # for each length the root of its count at most, or a thousandth
     inside = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*order, "salt")).cast("bigint") - 1)
     ranked = inside.join(before, ["length", "_b"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     keep = [c for c in pieces.columns if c != "salt"]
@@ -185,7 +225,7 @@ def pack(pieces: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id"
     kinds = dict(pieces.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", sequence_id long, offset long"
     rows = ranked.select(F.col("length").alias("_length"), "_rank", *[F.col(c) for c in keep])
-    return rows.mapInArrow(run, schema)
+    return runtime.compact(rows.mapInArrow(run, schema), pieces)
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
