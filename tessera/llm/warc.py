@@ -13,7 +13,7 @@ Files are named anew by each attempt of a task and only those of attempts that e
 leaves no half archive behind. They lie in the folder that driver and executors share, reached by its URI.
 
 Defined results: a null payload counts as empty. Ids are kept as text and come back in their type; null ids come back as null,
-and rows that tie in the largest id are all responses. A null or malformed URL has a key of its own, made from its text.
+empty ones as empty, and rows that tie in the largest id are all responses. A payload may be as long as a worker can hold. A null or malformed URL has a key of its own, made from its text.
 Repeated rows are records each. Only the named columns are read. An empty table gives an empty table.
 """
 
@@ -39,6 +39,9 @@ BLOCK = 2_000
 #: Ranges of an archive closer than GAP bytes are read at once, up to RANGE bytes.
 GAP, RANGE = 65_536, 8_000_000
 DIRECTORY = "archive string, index string, first string, directory_at long, directory_bytes long, n long"
+#: Queries that a task of a lookup answers at least, about.
+LOOKED_UP = 500
+URN = "urn:page-id:"
 
 
 def url_key(url: Column) -> Column:
@@ -58,8 +61,13 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def marked(id_: Column) -> Column:
+    """An id as text after a mark; no text at all for a null id, which is thus another than the empty id."""
+    return F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit(""))
+
+
 def record_id(id_: str) -> str:
-    return f"<urn:page-id:{quote(id_, safe='')}>"
+    return f"<{URN}{quote(id_[1:], safe='')}>" if id_ else "<urn:no-page-id>"
 
 
 def build_record(id_: str, url: str, payload: bytes, kind: str, refers_to: str | None, date: str) -> bytes:
@@ -92,11 +100,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     runtime.ship(spark)
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
-    base = pages.select(url_key(pages[url_col]).alias("key"), F.coalesce(pages[id_col].cast("string"), F.lit("")).alias("id"), pages[id_col].alias("raw"), F.sha2(payload, 256).alias("sha"), F.coalesce(pages[url_col], F.lit("")).alias("url"), payload.alias("payload"))
+    base = pages.select(url_key(pages[url_col]).alias("key"), marked(pages[id_col]).alias("id"), pages[id_col].alias("raw"), F.sha2(payload, 256).alias("sha"), F.coalesce(pages[url_col], F.lit("")).alias("url"), payload.alias("payload"))
     narrow = base.select("key", "id", "raw", "sha", F.length("payload").alias("n"))
     largest = narrow.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(F.max("raw").alias("top"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha").alias("sha_"), F.col("n").alias("n_"), "top")
     revisits = narrow.join(largest, (F.col("sha") == F.col("sha_")) & (F.col("n") == F.col("n_"))).where(~F.col("raw").eqNullSafe(F.col("top")))
-    marks = revisits.select("key", "id", "sha", F.lit(0).alias("tag"), F.coalesce(F.col("top").cast("string"), F.lit("")).alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
+    marks = revisits.select("key", "id", "sha", F.lit(0).alias("tag"), marked(F.col("top")).alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
     stream = marks.unionByName(base.select("key", "id", "sha", F.lit(1).alias("tag"), "url", "payload"))
     ordered = stream.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "sha", "tag")
 
@@ -230,7 +238,9 @@ def lookup(queries: DataFrame, archives: DataFrame, folder: str, id_col: str = "
     listed = sorted((r.asDict() for r in archives.collect()), key=lambda a: Reader._order(*json.loads(a["first"])))
     held = spark.sparkContext.broadcast(listed)
     kind = dict(queries.dtypes)[id_col]
-    ordered = queries.select(url_key(queries[url_col]).alias("key"), F.coalesce(queries[id_col].cast("string"), F.lit("")).alias("id")).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # narrow rows that make much reading: as many tasks as archives, where there are queries enough
+    ranges = max(1, min(len(listed), -(-queries.count() // LOOKED_UP)))
+    ordered = queries.select(url_key(queries[url_col]).alias("key"), marked(queries[id_col]).alias("id")).repartitionByRange(ranges, "key", "id").sortWithinPartitions("key", "id")
 
     def run(batches):
         reader, last, nth = Reader(folder, held.value), None, 0
@@ -249,14 +259,14 @@ def lookup(queries: DataFrame, archives: DataFrame, folder: str, id_col: str = "
                 digest = h["warc-payload-digest"].removeprefix("sha1:")
                 if kind_ == "response" and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
                     raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
-                target = unquote(h["warc-refers-to"][len("<urn:page-id:") : -1]) if kind_ == "revisit" else None
+                target = unquote(h["warc-refers-to"][len(URN) + 1 : -1]) if kind_ == "revisit" else None
                 rows.append((id_, int(r["http"]["content-length"]), digest, kind_, target, r["payload"] if with_payload and kind_ == "response" else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     out = ordered.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     back = lambda c: F.expr(f"try_cast({c} as {kind})")
-    return out.select(F.when(F.col("id") != "", back("id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to") != "", back("refers_to")).alias("refers_to"), *(["payload"] if with_payload else []))
+    return out.select(F.when(F.col("id") != "", back("substr(id, 2)")).alias(id_col), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"), *(["payload"] if with_payload else []))
 
 
 def archive(pages: DataFrame, **settings) -> DataFrame:
