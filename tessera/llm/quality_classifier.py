@@ -3,7 +3,8 @@
 A logistic model on surface features gives each document its evidence. Hosts and paths below them get posterior means: the
 grouped evidence of a host is shrunk toward the global mean, that of a path toward its host's, the more the fewer documents
 there are. How strongly is estimated from all data by the method of moments. A document's score is its own log-odds shifted by
-how far its path's posterior lies from the global mean.
+how far its path's posterior lies from the global mean; that posterior comes from the site's other documents alone, so the
+only document of a site gets the prior of what lies above.
 
 The model is fitted on at most ``max_labels`` labelled documents (those of the smallest hash of their id); counts, means and
 strengths cover all rows. Groups are aggregated map-side first, so a host with a third of all rows leaves one row per task; the
@@ -12,7 +13,7 @@ statistics return to the documents by a join that Spark splits where a host is h
 Defined results: a null text counts as empty; null hosts or paths are a group of their own. Labels that are null or whose
 document is absent are ignored; a document labelled more than once counts by its mean label. Without labels of both classes
 the evidence is the share of good labels (0.5 without any). One row comes out for each row that goes in. Only the named
-columns are read. An empty table gives an empty table.
+columns are read, and whole texts however long. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def _logit(p: Column) -> Column:
 
 
 def _strength(groups: DataFrame, mean: Column) -> Column:
-    """Pseudo-count of a group's prior: the variance inside groups over that between them (1 to 10,000).
+    """Pseudo-count of a group's prior: the variance inside groups over that between them (1 to 10,000; 10,000
+    where groups differ by no more than their rows do).
 
     groups: n, s (sum) and s2 (sum of squares) of each group, with at least two rows."""
     big = F.col("n") >= 2
@@ -102,13 +104,14 @@ def _strength(groups: DataFrame, mean: Column) -> Column:
     spread = F.sum(F.when(big, F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)))
     count, total = F.sum(F.when(big, 1)), F.sum(F.when(big, F.col("n")))
     between = F.try_divide(spread - count * inside, total)
-    return F.coalesce(F.least(F.lit(10_000.0), F.greatest(F.lit(1.0), F.try_divide(inside, F.when(between > 0, between)))), F.lit(10_000.0))
+    return F.when(between > 0, F.least(F.lit(10_000.0), F.greatest(F.lit(1.0), inside / between))).otherwise(10_000.0)
 
 
 def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", max_labels: int = 20_000, threshold: float = 0.5
 ) -> DataFrame:
-    """``id_col``, p_doc (evidence), host_mean, path_mean (posteriors), score (0 to 1) and kept (score >= threshold)."""
+    """``id_col``, p_doc (evidence), host_mean, path_mean (posteriors from the site's other documents), score (0 to 1) and kept
+    (score >= threshold)."""
     host = docs["source"] if host is None else host
     path = docs["lang"] if path is None else path
     rows = runtime.materialize(docs.select(docs[id_col].alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), features(docs[text_col]).alias("x")), "features")
@@ -123,10 +126,15 @@ def score(
     whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(min(max((whole["s"] or 0.0) / whole["n"], 1e-6), 1 - 1e-6)) if whole["n"] else 0.5
     k_host = hosts.agg(_strength(hosts, F.lit(mean)).alias("k")).first()["k"]
-    hosts = hosts.select("host", ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_mean"), F.col("n").alias("host_n"))
+    hosts = hosts.select("host", ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_mean"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     with_host = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
     k_path = with_host.agg(_strength(with_host, F.col("host_mean")).alias("k")).first()["k"]
-    with_host = with_host.select(F.col("host").alias("g_host"), F.col("path").alias("g_path"), "host_mean", ((F.col("s") + k_path * F.col("host_mean")) / (F.col("n") + k_path)).alias("path_mean"))
-    out = judged.join(with_host, judged["host"].eqNullSafe(with_host["g_host"]) & judged["path"].eqNullSafe(with_host["g_path"]))
+    sites = with_host.select(F.col("host").alias("g_host"), F.col("path").alias("g_path"), "n", "s", "host_n", "host_s")
+    out = judged.join(sites, judged["host"].eqNullSafe(sites["g_host"]) & judged["path"].eqNullSafe(sites["g_path"]))
+    # posteriors from the site's other documents, so that no document counts its own evidence twice
+    p = _sigmoid(F.col("z"))
+    others = lambda s, k, prior, n: (F.greatest(F.col(s) - p, F.lit(0.0)) + k * prior) / (F.col(n) - 1 + k)
+    out = out.withColumn("host_mean", others("host_s", k_host, F.lit(mean), "host_n"))
+    out = out.withColumn("path_mean", others("s", k_path, F.col("host_mean"), "n"))
     final = _sigmoid(F.col("z") + _logit(F.col("path_mean")) - float(np.log(mean / (1 - mean))))
     return out.select(F.col("id").alias(id_col), F.round(_sigmoid(F.col("z")), 6).alias("p_doc"), F.round("host_mean", 6).alias("host_mean"), F.round("path_mean", 6).alias("path_mean"), F.round(final, 6).alias("score"), (final >= threshold).alias("kept"))
