@@ -112,4 +112,4 @@ _KINDS = {
 def stored(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """A cube of the facts, written once an application: months and keys of a question then reach its scan."""
     make, order = _KINDS[kind]
-    return _CUBES.get(spark, f"{kind} {d}", lambda: make(facts(spark, d)), order)
+    return _CUBES.get(spark, f"{kind} {d}", lambda: make(facts(spark, d)), order, [f"{d}/{t}.parquet" for t in ("orders", "customer", "nation")])

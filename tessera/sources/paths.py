@@ -60,6 +60,13 @@ def rename(spark: SparkSession, path: str, target: str) -> None:
         raise OSError(f"{path} can't be renamed to {target}")
 
 
+def changed(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of change of a file, or of a folder as such: one look, however many files a table has."""
+    fs, where = _hadoop(spark, path)
+    status = fs.getFileStatus(where)
+    return status.getLen(), status.getModificationTime()
+
+
 def snapshot(df: DataFrame) -> str:
     """A hash of the files that a table comes from: their names, sizes and times of change."""
     spark, parts = df.sparkSession, []

@@ -11,18 +11,20 @@ from tessera.sources import files, paths
 
 
 class Cubes:
-    """Cubes of this application, by key: each is built and written in its order at its first use, and read back after that."""
+    """Cubes of this application, by key: each is built and written in its order at its first use, and read back after that,
+    until one of the tables that it comes from changes or its own is gone."""
 
     def __init__(self) -> None:
-        self._paths: dict[tuple[str, str], str] = {}
+        self._paths: dict[tuple[str, str], tuple[list, str]] = {}
 
-    def get(self, spark: SparkSession, key: str, make: Callable[[], DataFrame], order: list[str]) -> DataFrame:
-        at = (spark.sparkContext.applicationId, key)
-        if at not in self._paths:
+    def get(self, spark: SparkSession, key: str, make: Callable[[], DataFrame], order: list[str], tables: list[str]) -> DataFrame:
+        at, state = (spark.sparkContext.applicationId, key), [paths.changed(spark, t) for t in tables]
+        held, path = self._paths.get(at, (None, ""))
+        if held != state or not paths.exists(spark, path):
             path = paths.fresh_path(spark, "cube")
             files.write_cube(make(), path, order)
-            self._paths[at] = path
-        return spark.read.parquet(self._paths[at])
+            self._paths[at] = state, path
+        return spark.read.parquet(path)
 
 
 class Answers:
