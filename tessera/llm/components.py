@@ -23,14 +23,20 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: columns a and b. Returns node and root, the smallest node that links reach, for nodes that aren't their own root."""
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link upwards or only links from below."""
+    ends = links.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").limit(1).count()
+
+
+def components(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """links: columns a and b. Returns node and root, the smallest node that links reach, for nodes that aren't their own root.
+
+    of: a table that the links grow with, for their number of partitions; the links themselves where there is none."""
     now = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = runtime.materialize(now, "links")
-    mark = None
-    while True:
-        now = runtime.materialize(_star(_star(now, False), True), "links")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
+    of = links if of is None else of
+    now = runtime.materialize(now, "links", of, runtime.NARROW)
+    while not _are_stars(now):
+        before, now = now, runtime.materialize(_star(_star(now, False), True), "links", of, runtime.NARROW)
+        runtime.discard(before)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with length-bucketed padded matrices.
 
 Nulls are encoded as empty texts: no ids. Ids may be null or repeat: one row comes out for each row that goes in, and only
-the id and text columns are read, so other columns can't clash. An empty table gives an empty table.
+the id and text columns are read, so other columns can't clash. Very long texts are encoded whole, piece by piece. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 
 from . import bpe, runtime
 
+runtime.dropped_with(bpe.from_json.cache_clear)
+runtime.dropped_with(bpe.from_ranks.cache_clear)
+
+
 def encoder(path: str, pattern: str) -> bpe.Encoder:
     """The encoder of this Python worker for a rank file (.tiktoken) or a description (.json)."""
     return runtime.worker_cache(("encoder", path, pattern), lambda: bpe.Encoder((bpe.from_json if path.endswith(".json") else bpe.from_ranks)(path, pattern)))

@@ -46,9 +46,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they were: one for each text. Rows that tie in length and id are told apart
-    by a number, and any one of them stays."""
-    rows, row = runtime.numbered(docs)
-    keyed = rows.select(F.struct(rows[id_col].alias("id"), rows[row].alias("row")).alias("key"), rows[text_col].alias("text"))
-    kept = dedup(keyed, "key", "text").where("kept").select(F.col("key.row").alias("_kept_row"))
-    return rows.join(kept, rows[row] == kept["_kept_row"], "left_semi").drop(row)
+    """The rows of docs that stay, all columns as they were: one for each text. Of rows that tie in length and id any one stays.
+
+    Whole rows go through the aggregation, so texts are hashed and shuffled once and nothing is joined."""
+    size, id_ = F.length(F.coalesce(docs[text_col].cast("string"), F.lit(""))), docs[id_col]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.struct((-size).alias("n"), id_.alias("id")).alias("_order"), normalised(docs[text_col]).alias("_text"))
+    hashed = rows.withColumn("_h", F.unhex(F.md5(F.col("_text").cast("binary"))))
+    kept = hashed.groupBy("_h", "_text").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    return runtime.compact(kept, docs)

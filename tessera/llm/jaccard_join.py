@@ -28,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -42,6 +42,12 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTED = 20_000
 #: Rows of ids that may be broadcast.
 FEW = 1_000_000
+#: Size bands between the smallest and the largest set that one can be similar to.
+BANDS = 3
+#: Buckets of so many entries meet whole in the second look; bands would save nothing there.
+WHOLE = 64
+#: Entries of a bucket that share a deal in the second look, about.
+DEALT = 100_000
 
 
 class _Words(dict):
@@ -139,7 +145,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
 
 def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent buckets, sorted, with their counts: those over ``least``, or over as much more as leaves ``most``."""
-    counted = runtime.materialize(_count_hashes(docs, width, least), "heavy")
+    counted = runtime.materialize(_count_hashes(docs, width, least), "heavy", docs)
     steps = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("count") * 4).alias("s")).count().collect()}  # a few dozen rows
     kept = from_ = 0
     for s in sorted(steps, reverse=True):
@@ -283,13 +289,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _whole_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """fp and hashes (array<bigint>) of the members in pairs, from their texts."""
-    there = runtime.materialize(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "there")
-    chosen = runtime.materialize(members.join(there, "fp", "left_semi").select("low").distinct(), "chosen")
-    few = chosen.count() <= FEW
-    nulls = chosen.where("low IS NULL").limit(1).count() > 0
-    ids = F.broadcast(chosen) if few else chosen
-    wanted = texts.join(ids, texts["id"].eqNullSafe(chosen["low"]) if nulls else texts["id"] == chosen["low"], "left_semi").select("text")
+    """fp and hashes (array<bigint>) of the members in pairs, from their texts. A table; ids are broadcast if they are few."""
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+    there = runtime.materialize(members.join(ends, "fp", "left_semi").select("fp", "low"), "there", pairs, runtime.NARROW)
+    few = there.count() <= FEW
+    nulls = there.where("low IS NULL").limit(1).count() > 0
+    held = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    ids = there.select("low").distinct()
+    wanted = texts.join(held(ids), texts["id"].eqNullSafe(ids["low"]) if nulls else texts["id"] == ids["low"], "left_semi").select("text")
 
     def whole(batches):
         for batch in runtime.slices(batches, "text"):
@@ -297,8 +304,43 @@ def _whole_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: i
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), lists], ["fp", "hashes"])
 
-    found = wanted.mapInArrow(whole, "fp binary, hashes array<bigint>").join(F.broadcast(there) if few else there, "fp", "left_semi")
-    return runtime.materialize(found.dropDuplicates(["fp"]), "whole")
+    found = wanted.mapInArrow(whole, "fp binary, hashes array<bigint>").join(held(there.select("fp")), "fp", "left_semi")
+    out = runtime.materialize(found.dropDuplicates(["fp"]), "whole", texts)
+    runtime.discard(there)
+    return out
+
+
+def _crossing(places: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (p, q) of units (gid, n, root) in different components that share a token and may be similar.
+
+    places: token, gid, n, pos, root, main (the token's largest component) and all (its places) of every place of a unit. Pairs inside the
+    largest component need no look, so one side lacks it. Places meet by token and by the size bands of both sets: each is
+    given to all bands of partners that its size and position allow, as the larger set of a pair and as the smaller. So places
+    whose sets share too little beside the token don't meet at all. Tokens with very many places are dealt, one side copied."""
+    step = float(np.log(den / num) / BANDS)
+    band = lambda n: F.floor(F.log(n) / step).cast("int")
+    n, slack = F.col("n").cast("double"), 1e-6
+    most = (n - F.col("pos")) * ((num + den) / num) - n + slack  # the largest partner that what follows the token allows
+    spans = {"larger": (n * (num / den) - slack, F.least(n + slack, most)), "smaller": (n, F.least(n * (den / num) + slack, most))}
+
+    def keys(role: str, turn: int) -> Column:
+        low, high = spans[role]
+        own = band(n)
+        bands = F.when(high >= low, F.sequence(band(low), band(high))).otherwise(F.array().cast("array<int>"))
+        return F.transform(bands, lambda b: F.struct(F.lit(turn).alias("turn"), *((own.alias("big"), b.alias("small")) if role == "larger" else (b.alias("big"), own.alias("small")))))
+
+    def both(first: str, second: str) -> Column:
+        meet = F.array(F.struct(*[F.lit(0).alias(c) for c in ("turn", "big", "small")]))
+        return F.explode(F.when(F.col("all") <= WHOLE, meet).otherwise(F.concat(keys(first, 0), keys(second, 1)))).alias("key")
+
+    unit, deals = F.struct("gid", "n", "root").alias("unit"), (F.floor(F.col("all") / DEALT) + 1).cast("bigint")
+    one = places.where("root <> main").select("token", unit, "n", "pos", F.pmod(F.col("gid"), deals).alias("deal"), both("larger", "smaller"))
+    two = places.select("token", unit, "n", "pos", deals.alias("deals"), both("smaller", "larger"))
+    two = two.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)))
+    flat = lambda df, s: df.select("token", "deal", "key.turn", "key.big", "key.small", *[F.col(c).alias(f"{c}_{s}") for c in ("unit", "n", "pos")])
+    met = flat(one, "x").join(flat(two, "y"), ["token", "deal", "turn", "big", "small"])
+    met = met.where((F.col("unit_x.root") != F.col("unit_y.root")) & _can_link(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), num, den))
+    return met.select(F.least("unit_x", "unit_y").alias("p"), F.greatest("unit_x", "unit_y").alias("q")).distinct()
 
 
 def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", least_heavy: int = 24, max_heavy: int = 1_000_000, salted: int = SALTED) -> DataFrame:
@@ -312,16 +354,21 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     heavy = spark.sparkContext.broadcast(_heavy(texts.select("text"), width, least_heavy, max_heavy))
     sets = runtime.materialize(_sets(texts, width, num, den, heavy, salted), "sets")
     # members: one for each distinct set; groups: same size and prefix
-    members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low"), F.first("parity").alias("parity")), "members")
+    members = runtime.materialize(sets.where("n > 0").groupBy("fp", "gid", "n").agg(F.min("id").alias("low"), F.first("parity").alias("parity")), "members", sets, runtime.NARROW)
     by_member = members.select("fp", "gid", "n")
-    groups = runtime.materialize(members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size")), "groups")
+    groups = runtime.materialize(members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size")), "groups", members, runtime.NARROW)
     prefixes = sets.where("n > 0").groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    shared = runtime.materialize(_shared(_entries(prefixes)), "shared")
+    shared = runtime.materialize(_shared(_entries(prefixes)), "shared", sets)
     heads = groups.select("gid", "n", "head")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = runtime.materialize(_likely(pairs.where("a <> b").distinct(), members, num, den), "pairs")
-        return runtime.materialize(_verify(pairs, _whole_sets(texts, members, pairs, width), num, den), "links")
+    def verify(pairs: DataFrame) -> DataFrame | None:
+        pairs = runtime.materialize(_likely(pairs.where("a <> b").distinct(), members, num, den), "pairs", members, runtime.NARROW)
+        if not pairs.limit(1).count():
+            return None
+        whole = _whole_sets(texts, members, pairs, width)
+        links = runtime.materialize(_verify(pairs, whole, num, den), "links", members, runtime.NARROW)
+        runtime.discard(pairs, whole)
+        return links
 
     # first look: every bucket's entries with its hub, salted buckets' hubs with the bucket's, groups' members with their head
     first = shared.where("gid <> hub OR n <> hub_n").select("hub", "hub_n", "hub_pos", "gid", "n", "pos")
@@ -332,23 +379,22 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     hubs = heads.select(F.col("gid").alias("hub"), F.col("n").alias("hub_n"), F.col("head").alias("a"))
     outer = near.join(hubs, ["hub", "hub_n"]).join(by_member.select("gid", "n", F.col("fp").alias("b")), ["gid", "n"]).select("a", "b")
     inner = by_member.join(groups.where("size > 1").select("gid", "n", F.col("head").alias("a")), ["gid", "n"]).select("a", F.col("fp").alias("b"))
-    roots = components(verify(outer.unionByName(inner)))
+    links = verify(outer.unionByName(inner))
+    roots = components(links if links is not None else members.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), members)
     # second look: pairs between different components of a bucket
-    rooted = runtime.materialize(by_member.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "gid", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = runtime.materialize(by_member.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "gid", "n", F.coalesce("root", "fp").alias("root")), "rooted", members, runtime.NARROW)
     units = rooted.select("gid", "n", "root").distinct()
     own = units.join(groups.where("size > 1").select("gid", "n"), ["gid", "n"], "left_semi").select("gid", "n", F.xxhash64("gid", "n").alias("token"), F.lit(0).alias("pos"), "root")
     places = shared.select("token", "gid", "n", "pos").join(units, ["gid", "n"]).unionByName(own)
     sizes = places.groupBy("token", "root").count()
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
-    mixed_places = runtime.materialize(places.join(mixed, "token"), "mixed")
-    one, two = mixed_places.where("root <> main").alias("x"), mixed_places.alias("y")
-    crossing = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _can_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den))
-    key = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("gid", "n", "root")])
-    crossing = crossing.select(F.least(key("x"), key("y")).alias("p"), F.greatest(key("x"), key("y")).alias("q")).distinct()
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"), F.sum("count").alias("all")).where("roots > 1")
+    mixed = mixed.select("token", F.col("m.root").alias("main"), "all")
+    crossing = _crossing(runtime.materialize(places.join(mixed, "token"), "mixed", shared, runtime.NARROW), num, den)
     flat = crossing.select(*[F.col(f"{p}.{c}").alias(f"{c}_{t}") for p, t in (("p", "a"), ("q", "b")) for c in ("gid", "n", "root")])
     side = lambda t: rooted.select(*[F.col(c).alias(f"{c}_{t}") for c in ("gid", "n", "root")], F.col("fp").alias(t))
     more = verify(flat.join(side("a"), ["gid_a", "n_a", "root_a"]).join(side("b"), ["gid_b", "n_b", "root_b"]).select("a", "b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.limit(1).count() else roots
+    if more is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), members)
     # ids of components, by member and then by document
     by_root = members.select("fp", "low").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     linked = roots.select("root").distinct()
@@ -364,4 +410,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, row = runtime.numbered(docs)
     keyed = rows.select(F.struct(rows[id_col].isNull().alias("none"), rows[id_col].alias("id"), rows[row].alias("row")).alias("key"), rows[text_col].alias("text"))
     kept = similar(keyed, id_col="key", text_col="text", **settings).where("key = component_id").select(F.col("key.row").alias("_kept_row"))
-    return rows.join(kept, rows[row] == kept["_kept_row"], "left_semi").drop(row)
+    return runtime.compact(rows.join(kept, rows[row] == kept["_kept_row"], "left_semi").drop(row), rows)

@@ -8,9 +8,10 @@ import os
 import re
 import shutil
 import tempfile
-import uuid
+import threading
+import time
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,7 +19,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.paths import delete, fresh_path, shared_dir  # noqa: F401
+
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Partitions a core of tables of short rows, and of tables of long ones.
+NARROW, WIDE = 2, 8
+#: Bytes, as they are stored, of what a table grows with, for each of its partitions.
+SHARE = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +34,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "tessera_pkg.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(PACKAGE.rglob("*.py")):
@@ -35,26 +43,43 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tessera_dir", None)
-    if not path:
-        own = tempfile.mkdtemp(prefix="tessera-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = spark.sparkContext._tessera_dir = f"file://{own}"
-    return path.rstrip("/")
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Where its files have fewer row groups than there are cores, the setting spark.tessera.split deals the
+    rows over so many partitions; without it nothing is shuffled."""
+    parts = spark.conf.get("spark.tessera.split", None)
+    table = spark.read.parquet(path)
+    return table.repartition(int(parts)) if parts else table
+
 
+def shares(of: DataFrame) -> int:
+    """How many times SHARE bytes a table has, as Spark estimates it before it is read."""
+    size = int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(size // SHARE, 1_000_000)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+def compact(df: DataFrame, of: DataFrame, per_core: int = WIDE) -> DataFrame:
+    """df in as many partitions as keep a cluster busy (so many a core), or one for SHARE bytes of ``of``, the tables that it
+    grows with, if those are more. Each task reads its share of shuffle partitions one after the other, so that there is no
+    file for every small one."""
+    spark = df.sparkSession
+    return df.coalesce(max(per_core * spark.sparkContext.defaultParallelism, shares(of)))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, of: DataFrame | None = None, per_core: int = WIDE) -> DataFrame:
+    """Write df to a table in the shared folder and read it back: lineage is cut, lost executors cost nothing. With of it is
+    made compact."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if of is None else compact(df, of, per_core)).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for t in tables:
+        delete(t.sparkSession, t._tessera_path)
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
@@ -72,21 +97,48 @@ def give_back() -> None:
 
 
 _held: dict = {}
+#: Seconds after which an idle worker drops what it holds.
+IDLE = 2.0
+_tasks = 0
 
 
 def worker_cache(key, make):
     """What a Python worker keeps between tasks: the object of one key. Another key's replaces it, so that the stages of a
-    pipeline, which share workers, don't add up their caches."""
-    if key not in _held:
+    pipeline, which share workers, don't add up their caches. Workers that get no further task soon drop it."""
+    found = _held.get(key)
+    if found is None:
         if _held:
-            _held.clear()
-            give_back()
-        _held[key] = make()
-    return _held[key]
+            drop()
+        found = _held[key] = make()
+    return found
+
+
+_also: list[Callable[[], None]] = []
+
+
+def dropped_with(clear: Callable[[], None]) -> None:
+    """Have clear() called whenever a worker drops what it holds: for the caches of vocabularies."""
+    _also.append(clear)
+
+
+def drop() -> None:
+    _held.clear()
+    for clear in _also:
+        clear()
+    give_back()
+
+
+def _drop_when_idle(tasks: int) -> None:
+    """Runs beside the worker's main thread, which waits for a task; another task that began meanwhile keeps the cache."""
+    time.sleep(IDLE)
+    if tasks == _tasks and _held:
+        drop()
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most about ``limit`` bytes of text (one row at least)."""
+    global _tasks
+    _tasks += 1
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -104,6 +156,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1_500_000)
         yield batch.slice(start, n - start)
         del batch, column, sizes
     give_back()
+    threading.Thread(target=_drop_when_idle, args=(_tasks,), daemon=True).start()
 
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")

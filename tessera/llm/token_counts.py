@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
 Nulls count as empty texts (0 bytes, 0 tokens). Ids may be null or repeat: one row comes out for each row that goes in, and
-only the id and text columns are read, so other columns can't clash. An empty table gives an empty table.
+only the id and text columns are read, so other columns can't clash. Very long texts are counted whole, piece by piece. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from . import bpe, runtime
 
 SCHEMA = "id long, n_bytes long, n_tokens long, over_limit boolean"
+runtime.dropped_with(bpe.from_json.cache_clear)
+
 
 def _counter(path: str, pattern: str) -> bpe.Counter:
     return runtime.worker_cache(("counter", path, pattern), lambda: bpe.Counter(bpe.from_json(path, pattern)))
