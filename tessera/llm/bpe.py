@@ -1,15 +1,15 @@
 """Byte-level BPE kernels on numpy arrays: vocabulary, pair table, two merge methods, pre-token interning.
 
 Two merge methods live here. ``merge_padded`` holds pre-tokens of similar length in padded matrices, each row merging its
-leftmost lowest-rank pair per round. ``count_ragged`` holds all pre-tokens in one flat array, each sequence applying its
+leftmost lowest-rank pair per round (``merge_blocks`` does the same for one very long pre-token). ``count_ragged`` holds all pre-tokens in one flat array, each sequence applying its
 lowest-rank pair at all its places per round.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
+import math
 import re
 from functools import lru_cache
 
@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens of more bytes than this are merged by a heap: a padded round for each merge would cost the square of it.
+#: Pre-tokens of more bytes than this are rows of a matrix each: a padded round for each merge would cost the square of it.
 LONG = 512
 #: Upper ends of the length buckets.
 BUCKETS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, LONG)
@@ -173,36 +173,54 @@ def ragged_gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def merge_heap(ids: list[int], table: PairTable) -> np.ndarray:
-    """The same merges by a heap over a linked list, for one very long pre-token."""
-    n = len(ids)
-    arr = np.array(ids, np.int64)
-    follow, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    at = table.find(arr[:-1], arr[1:])
-    heap = [(int(table.rank[s]), i, ids[i], ids[i + 1], int(table.merged[s])) for i, s in enumerate(at) if s >= 0]
-    heapq.heapify(heap)
-    known: dict[tuple[int, int], tuple[int, int] | None] = {}
-
-    def push(i: int, j: int) -> None:
-        pair = (ids[i], ids[j])
-        if pair not in known:
-            s = int(table.find(np.array([pair[0]]), np.array([pair[1]]))[0])
-            known[pair] = (int(table.rank[s]), int(table.merged[s])) if s >= 0 else None
-        if found := known[pair]:
-            heapq.heappush(heap, (found[0], i, *pair, found[1]))
-
-    while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        if not alive[i] or ids[i] != a or (j := follow[i]) >= n or ids[j] != b:
-            continue
-        ids[i], alive[j] = new, False
-        follow[i] = follow[j]
-        if follow[i] < n:
-            before[follow[i]] = i
-            push(i, follow[i])
-        if before[i] >= 0:
-            push(before[i], i)
-    return np.array([ids[i] for i in range(n) if alive[i]], np.int32)
+def merge_blocks(ids: np.ndarray, table: PairTable) -> np.ndarray:
+    """The rounds of ``merge_padded`` for one very long pre-token, held as the rows of a square matrix that each know their
+    lowest rank. A round finds the first row with the lowest rank, then the pair in it, merges that pair and looks again at the
+    rows it touched: the root of the length instead of all of it. Half empty, the matrix is made anew."""
+    none, known = int(NONE), {}
+
+    def look(a: int, b: int) -> tuple[int, int]:
+        found = known.get((a, b))
+        if found is None:
+            s = int(table.find(np.array([a]), np.array([b]))[0])
+            found = known[a, b] = (int(table.rank[s]), int(table.merged[s])) if s >= 0 else (none, -1)
+        return found
+
+    while True:
+        n, width = len(ids), max(16, math.isqrt(len(ids)))
+        rows = -(-n // width)
+        cells, ranks = np.zeros((rows, width), np.int64), np.full((rows, width), NONE, np.int32)
+        cells.ravel()[:n], ranks.ravel()[: n - 1] = ids, table.ranks(ids[:-1], ids[1:])
+        size = [width] * (rows - 1) + [n - width * (rows - 1)]
+        lowest, left = ranks.min(1), n
+        while 2 * left > n or n < 256:
+            i = int(lowest.argmin())
+            if lowest[i] == NONE:
+                return np.concatenate([cells[r, : size[r]] for r in range(rows)]).astype(np.int32)
+            j = int(ranks[i].argmin())
+
+            def after() -> tuple[int, int] | None:
+                if j + 1 < size[i]:
+                    return i, j + 1
+                return next(((r, 0) for r in range(i + 1, rows) if size[r]), None)
+
+            r, c = after()
+            new = cells[i, j] = look(int(cells[i, j]), int(cells[r, c]))[1]
+            size[r] -= 1
+            left -= 1
+            for held in (cells, ranks):  # compaction of the row that lost its cell
+                held[r, c : size[r]] = held[r, c + 1 : size[r] + 1]
+            ranks[r, size[r]] = NONE
+            follows = after()
+            ranks[i, j] = look(new, int(cells[follows]))[0] if follows else NONE
+            before = (i, j - 1) if j else next(((k, size[k] - 1) for k in range(i - 1, -1, -1) if size[k]), None)
+            if before:
+                ranks[before] = look(int(cells[before]), new)[0]
+                lowest[before[0]] = ranks[before[0]].min()
+            lowest[i] = ranks[i].min()
+            if r != i:
+                lowest[r] = ranks[r].min()
+        ids = np.concatenate([cells[r, : size[r]] for r in range(rows)])
 
 
 def merge_padded(matrix: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +272,7 @@ def encode_padded(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.n
     for b in np.unique(bucket):
         members = np.flatnonzero(bucket == b)
         if b == len(BUCKETS):
-            done = [merge_heap(flat[start[r] : start[r] + size[r]].tolist(), vocab.table) for r in members]
+            done = [merge_blocks(flat[start[r] : start[r] + size[r]], vocab.table) for r in members]
             parts += done
             counts[members] = [len(x) for x in done]
             order.append(members)
