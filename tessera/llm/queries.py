@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, exact_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_counts, warc
+from . import encoding, exact_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, runtime, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return runtime.read(spark, f"{sf_dir}/documents.parquet")
 
 
 def _public(name: str) -> tuple[str, str]:
@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.archive(runtime.read(spark, f"{sf_dir}/pages.parquet"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = [f"shard-{k:04d}" for k in range(256)]
-    return sharding.place(_docs(spark, sf_dir).select("doc_id"), ["doc_id"], shards)
+    """Whole documents are written to 256 shards and read back; their columns but for the text are returned."""
+    docs, path = _docs(spark, sf_dir), runtime.fresh_path(spark, "shards")
+    placed = sharding.place(docs, ["doc_id"], [f"shard-{k:04d}" for k in range(256)])
+    sharding.write_shards(placed, path, 1 + runtime.shares(docs) // 256)  # files of a bounded size
+    return sharding.read_shards(spark, path, placed.schema).drop("text")
 
 
 QUERIES = {
@@ -124,6 +127,17 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM n""",
+    "op8_jaccard_join": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * same >= 90 * (x.n + y.n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(k.low, t.doc_id) AS component_id
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY 1) k ON t.doc_id = k.a""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

@@ -7,7 +7,8 @@ when a shard comes or goes most keys stay where they were.
 
 Defined results: a null key is a key like any other (all nulls share a slot unless spread). Rows of one key share a shard;
 with ``spread`` over 1, a key's rows go to up to so many shards by a hash of ``spread_by``, for keys that hold too many rows
-for one. One row comes out for each row that goes in. Only the named columns are read. An empty table gives an empty table.
+for one. One row comes out for each row that goes in, with all its columns; those named as the new ones get a ``_`` behind
+their names. Texts of any length go along unread. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The table is broadcast, 8 bytes a slot.
 MOST_SLOTS = 2_000_000
+OWN = ("slot", "shard_id", "shard")
 
 
 def _is_prime(n: int) -> bool:
@@ -53,12 +56,25 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
     keys = [df[c] for c in key_cols]
     if spread > 1:
         keys.append(F.pmod(F.xxhash64(df[spread_by or key_cols[0]]), F.lit(spread)))
-    held = df.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), "shard_id": table, "shard": np.array(shards, object)[table]}), "_slot int, shard_id int, shard string")
-    placed = df.select(*[df[c] for c in df.columns if c not in ("slot", "shard_id", "shard")], slot_of(keys, slots).alias("slot"))
-    return placed.join(F.broadcast(held), placed["slot"] == held["_slot"]).drop("_slot")
+    held = df.sparkSession.createDataFrame(pd.DataFrame({"_s": np.arange(slots, dtype=np.int32), "_k": table, "_name": np.array(shards, object)[table]}), "_s int, _k int, _name string")
+    names: list[str] = []
+    for c in df.columns:
+        while c.lower() in (*OWN, *map(str.lower, names)):
+            c += "_"
+        names.append(c)
+    placed = df.select(*[df[c].alias(n) for c, n in zip(df.columns, names, strict=True)], slot_of(keys, slots).alias("slot"))
+    held = held.select(*[F.col(c).alias(f"{c}_{len(names)}_") for c in held.columns])
+    slot, shard_id, shard = (F.col(c) for c in held.columns)
+    return placed.join(F.broadcast(held), placed["slot"] == slot).select(*names, "slot", shard_id.alias("shard_id"), shard.alias("shard"))
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder a shard, so many files each: rows of a shard are dealt over its files."""
-    dealt = placed.withColumn("_file", (F.rand(7) * files_per_shard).cast("int"))
+    """One folder a shard, so many files each. Rows are dealt over a shard's files by a hash of all their columns, so a task
+    that runs again deals them alike; equal rows share a file."""
+    dealt = placed.withColumn("_file", F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard)))
     dealt.repartition("shard_id", "_file").drop("_file").write.partitionBy("shard_id").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``write_shards`` wrote, in the columns of schema; shard_id comes from the folders' names."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
