@@ -45,18 +45,20 @@ def axial(lat: Column, lon: Column, grid: Grid = CITY) -> Column:
     """struct(q, r): the hexagon of a point; fractions are rounded half to even in all three cube axes."""
     x, y = local_xy(lat, lon, grid)
     fq, fr = (math.sqrt(3) / 3 * x - y / 3) / grid.side, (2.0 / 3 * y) / grid.side
-    cube = F.struct(fq.alias("q"), fr.alias("r"), (-fq - fr).alias("s"))
-
-    def rounded(c: Column) -> Column:
-        q, r, s = F.rint(c["q"]), F.rint(c["r"]), F.rint(c["s"])
-        dq, dr, ds = F.abs(q - c["q"]), F.abs(r - c["r"]), F.abs(s - c["s"])
-        fix_q = (dq > dr) & (dq > ds)
-        return F.struct(
-            F.when(fix_q, -r - s).otherwise(q).cast("smallint").alias("q"),
-            F.when(~fix_q & (dr > ds), -q - s).otherwise(r).cast("smallint").alias("r"),
-        )
-
-    return let(cube, rounded)
+    exact = F.array(fq, fr, -fq - fr)  # three axes that add up to nothing
+    moved = F.transform(exact, lambda v, i: F.struct(F.abs(F.rint(v) - v).alias("by"), i.alias("axis"), F.rint(v).alias("to")))
+
+    def hexagon(axes: Column) -> Column:
+        """Rounded axes don't add up to nothing any more; the one that moved farthest, the last of equals, follows the others."""
+        total = axes[0]["to"] + axes[1]["to"] + axes[2]["to"]
+
+        def settled(farthest: Column) -> Column:
+            axis = lambda k: (axes[k]["to"] - F.when(farthest["axis"] == k, total).otherwise(0.0)).cast("smallint")
+            return F.struct(axis(0).alias("q"), axis(1).alias("r"))
+
+        return let(F.array_max(axes), settled)
+
+    return let(moved, hexagon)
 
 
 def hex_center(q: Column, r: Column, grid: Grid = CITY) -> tuple[Column, Column]:
