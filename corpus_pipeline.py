@@ -27,10 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])), public_tokenizers.path("piece_bpe_32k.model"), docs["text"], docs["lang"], docs["doc_id"])
-    own = {f"_{i}": docs[c] for i, c in enumerate(docs.columns)}  # names that no prediction has
-    judged = language_id.predict(docs, model, extra=own)
+    names = [f"_{i}" for i in range(len(docs.columns))]  # none that a prediction has
+    at = docs.columns.index("text")
+    judged = language_id.predict(docs, model, extra={n: docs[c] for i, (n, c) in enumerate(zip(names, docs.columns, strict=True)) if i != at}, text_as=names[at])
     sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE) & (F.col("fit") >= LEAST_FIT)
-    return judged.where(sure).select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)])
+    return judged.where(sure).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = runtime.read(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = runtime.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
