@@ -254,6 +254,7 @@ def train(rows: DataFrame, path: str, text: Column, lang: Column, id_: Column, m
         for r in table_of_words.mapInArrow(expect, "piece int, k int, c double").groupBy("piece", "k").agg(F.sum("c").alias("c")).collect():
             found[r["piece"], r["k"]] = r["c"]
         table = _normalised(found[:-2], smooth)
+    runtime.discard(table_of_words)
     return Model(languages, table, path, uuid.uuid4().hex, found[-2] / np.maximum(found[-1], 1))
 
 
@@ -289,8 +290,9 @@ def decide(scores: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(words == 0, -1, scores.argmax(1)), np.where(words == 0, 0.0, sure)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """``id_col``, extra columns, lang_pred, score and fit of every whole text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, text_as: str | None = None) -> DataFrame:
+    """``id_col``, extra columns, the text itself under the name text_as, lang_pred, score and fit of every whole text. Extra
+    columns and text go through the workers with the text that they read, so nothing is joined."""
     spark = docs.sparkSession
     runtime.ship(spark)
     held = spark.sparkContext.broadcast(model)
@@ -311,11 +313,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             best, sure = decide(total[:, :-1], words)
             mean = total[np.arange(len(texts)), best] / np.maximum(total[:, -1], 1)
             fit = np.where(best < 0, 0.0, np.append(usual, 0.0)[best] / np.where(best < 0, 1.0, mean))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names[best], pa.string()), pa.array(np.round(sure, 6)), pa.array(np.round(fit, 6))], ["id", *batch.schema.names[2:], "lang_pred", "score", "fit"])
+            kept = [batch.column(1)] if text_as else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *kept, pa.array(names[best], pa.string()), pa.array(np.round(sure, 6)), pa.array(np.round(fit, 6))], ["id", *batch.schema.names[2:], *["text"] * len(kept), "lang_pred", "score", "fit"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[v.alias(f"x{i}") for i, v in enumerate(extra.values())])
-    out = rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", lang_pred string, score double, fit double")
-    return out.select(F.col("id").alias(id_col), *[F.col(f"x{i}").alias(k) for i, k in enumerate(extra)], "lang_pred", "score", "fit")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[v.alias(f"x{i}") for i, v in enumerate(extra.values())])
+    out = rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", text string" * bool(text_as) + ", lang_pred string, score double, fit double")
+    text = [F.col("text").alias(text_as)] if text_as else []
+    return out.select(F.col("id").alias(id_col), *[F.col(f"x{i}").alias(k) for i, k in enumerate(extra)], *text, "lang_pred", "score", "fit")
 
 
 def held_out(id_: Column) -> Column:
