@@ -41,7 +41,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Entries of a frequent hash that share a salt, about.
 SALTED = 20_000
 #: Rows of ids that may be broadcast.
-FEW = 1_000_000
+FEW = 250_000
 #: Size bands between the smallest and the largest set that one can be similar to.
 BANDS = 3
 #: Buckets of so many entries meet whole in the second look; bands would save nothing there.
@@ -154,6 +154,7 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
             break
         kept += steps[s]
     rows = counted.where(F.floor(F.log2("count") * 4) >= from_).toArrow()  # at most ``most`` rows
+    runtime.discard(counted)
     bucket, count = rows.column("bucket").to_numpy().astype(np.uint32), rows.column("count").to_numpy()
     order = np.argsort(bucket)
     return bucket[order], count[order]
@@ -389,12 +390,14 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     sizes = places.groupBy("token", "root").count()
     mixed = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots"), F.sum("count").alias("all")).where("roots > 1")
     mixed = mixed.select("token", F.col("m.root").alias("main"), "all")
-    crossing = _crossing(runtime.materialize(places.join(mixed, "token"), "mixed", shared, runtime.NARROW), num, den)
+    mixed = runtime.materialize(places.join(mixed, "token"), "mixed", shared, runtime.NARROW)
+    crossing = _crossing(mixed, num, den)
     flat = crossing.select(*[F.col(f"{p}.{c}").alias(f"{c}_{t}") for p, t in (("p", "a"), ("q", "b")) for c in ("gid", "n", "root")])
     side = lambda t: rooted.select(*[F.col(c).alias(f"{c}_{t}") for c in ("gid", "n", "root")], F.col("fp").alias(t))
     more = verify(flat.join(side("a"), ["gid_a", "n_a", "root_a"]).join(side("b"), ["gid_b", "n_b", "root_b"]).select("a", "b"))
     if more is not None:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), members)
+    runtime.discard(shared, groups, rooted, mixed)  # what follows reads sets, members and roots
     # ids of components, by member and then by document
     by_root = members.select("fp", "low").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     linked = roots.select("root").distinct()
