@@ -12,12 +12,14 @@ candidates there are, not which links are found.
 
 Groups of copies aren't expanded into all pairs. First every bucket links its members to one hub, the entry with the fewest
 rarer hashes before it, which is the least edited of a family; these links give components. Then pairs are formed only between
-different components of a bucket, exhaustively, and verified too. So no link between components is lost, and pairs inside a
-component need no look. Frequent buckets are dealt over salts by their counted size, each with a hub, and the hubs meet again.
+different components of a bucket: places meet by their hash and by the size bands that size and position allow, all such pairs
+are verified too. So no link between components is lost, pairs inside a component need no look, and sets that share a passage
+but can't be similar don't meet. Frequent buckets are dealt over salts by their counted size, each with a hub, and the hubs
+meet again.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component, as is each such row with
 a null id. Null ids take part; a component's id is the smallest id in it. Repeated rows are equal sets. Only the named columns
-are read. An empty table gives an empty table. Hashes stand for shingles: two different shingles of a pair of documents are
+are read. Texts may be of any length. An empty table gives an empty table. Hashes stand for shingles: two different shingles of a pair of documents are
 taken for one with a chance of about 1e-13.
 """
 
