@@ -267,7 +267,7 @@ def paged_source(spark: SparkSession, d: str) -> DataFrame:
     for r in table(spark, d, "nation").select("n_regionkey", "n_name").collect():  # the 25 rows that are served
         rows.setdefault(r[0], []).append({"name": r[1]})
     url = served.serve(spark, rows)
-    spark.dataSource.register(files.PagedRecords)
+    files.register(spark)
     options = {"url": f"{url}?year={{year}}&offset={{offset}}&limit={{limit}}", "count_url": f"{url}?year={{year}}&count=1", "limit": "2", "years": ",".join(map(str, rows))}
     pages = spark.read.format("paged").options(**options).load()
     return pages.select("year", F.get_json_object("record", "$.name").alias("n_name"))

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.operators.reconcile import same_rows
 from tessera.sources import paths
+from tessera.sources.ship import ship
 
 
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
@@ -150,6 +151,12 @@ class PagedRecords(DataSource):
         return _PagedReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format "paged" known, and its code to the workers that read it."""
+    ship(spark)
+    spark.dataSource.register(PagedRecords)
+
+
 class _PagedReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.url, self.limit, self.count_url = options["url"], int(options.get("limit", "50000")), options.get("count_url")
@@ -178,6 +185,7 @@ class _PagedReader(DataSourceReader):
 def download(spark: SparkSession, path: str, years: list[int], force: tuple[int, ...] = (), **options: str) -> list[int]:
     """Years of a paged source as Parquet, a folder each; returns those that were read now. A year's folder is complete or
     absent, so a run that broke off goes on where it stopped; the folders are the manifest. Years of force are read again."""
+    register(spark)
     read = []
     for year in years:  # a few, each read by its own job
         final, part = f"{path}/rpt_year={year}", f"{path}/.part-{year}"
