@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
 import re
-import shutil
-import tempfile
 import threading
 import time
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -20,29 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.paths import delete, fresh_path, shared_dir  # noqa: F401
+from tessera.sources.ship import ship  # noqa: F401
 
-PACKAGE = Path(__file__).resolve().parents[1]
 #: Partitions a core of tables of short rows, and of tables of long ones.
 NARROW, WIDE = 2, 8
 #: Bytes, as they are stored, of what a table grows with, for each of its partitions.
 SHARE = 16 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they need no shared Python path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="tessera-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "tessera_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(PACKAGE.rglob("*.py")):
-            z.write(f, f.relative_to(PACKAGE.parent))
-    sc.addPyFile(path)
-    sc._tessera_shipped = True
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table. Where its files have fewer row groups than there are cores, the setting spark.tessera.split deals the
     rows over so many partitions; without it nothing is shuffled."""
