@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.grid import CITY, Grid, local_xy, segment_distance
+from tessera.operators import polygons
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -17,43 +18,13 @@ def _cover(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size:
     return df.withColumn("_cx", F.explode(F.sequence(_cell(x0, size), _cell(x1, size)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
 
 
-def _edges(rings: Column) -> Column:
-    """All edges of array<array<struct<x, y>>>, closing each ring: array<struct<a, b>>."""
-    closed = lambda ring: F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.coalesce(F.get(ring, i + 1), ring[0]).alias("b")))
-    return F.flatten(F.transform(rings, closed))
-
-
-def ring_test(px: Column, py: Column, edges: Column) -> Column:
-    """struct(inside, edge): even-odd over all rings (so holes count), and whether the point lies on an edge."""
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-
-    def on(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        flat = (b["x"] - a["x"]) * (py - a["y"]) == (b["y"] - a["y"]) * (px - a["x"])
-        return flat & px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return F.struct(odd.alias("inside"), F.exists(edges, on).alias("edge"))
-
-
-def _boxed(polys: DataFrame, rings: str) -> DataFrame:
-    flat = F.flatten(rings)
-    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-    return polys.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys), "_edges": _edges(F.col(rings))})
-
-
 def polygon_hits(points: DataFrame, polys: DataFrame, cell: float, x: str = "lon", y: str = "lat", code: str = "code", rings: str = "rings", strict: bool = False) -> DataFrame:
     """A row for every distinct point and polygon that holds it (the boundary counts unless strict): x, y, code.
 
-    The polygons' side has a row a cell; points take one cell, so only they grow with the data."""
-    covered = _cover(_boxed(polys, rings), F.col("_x0"), F.col("_x1"), F.col("_y0"), F.col("_y1"), cell).select("_cx", "_cy", code, "_edges")
+    Polygons are covered by cells; points take one cell, so only they grow with the data."""
     at = points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL").distinct()
-    near = at.withColumns({"_cx": _cell(F.col("_px"), cell), "_cy": _cell(F.col("_py"), cell)}).join(covered, ["_cx", "_cy"])
-    tested = near.withColumn("_t", ring_test(F.col("_px"), F.col("_py"), F.col("_edges")))
-    kept = tested.where("_t.inside AND NOT _t.edge" if strict else "_t.inside OR _t.edge")
+    tested = polygons.tested(at, polygons.cover(polys, cell, [code], rings), cell, "_px", "_py")
+    kept = tested.where("_in AND NOT _on" if strict else "_in OR _on")
     return kept.select(F.col("_px").alias(x), F.col("_py").alias(y), code)
 
 
@@ -64,20 +35,16 @@ def assign_polygon(points: DataFrame, polys: DataFrame, cell: float, cutoff: flo
     at = points.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
     hits = polygon_hits(at, polys, cell, x, y, code, rings).groupBy(x, y).agg(F.min(code).alias("_hit"), F.count("*").alias("hits"))
     marked = at.join(hits, [x, y], "left")
-    padded = _cover(_boxed(polys, rings), F.col("_x0") - cutoff, F.col("_x1") + cutoff, F.col("_y0") - cutoff, F.col("_y1") + cutoff, cell).select("_cx", "_cy", F.col(code).alias("_ncode"), "_edges")
-    lost = marked.where("hits IS NULL").select(x, y, _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"))
-    away = F.array_min(F.transform("_edges", lambda e: segment_distance(F.col(x), F.col(y), e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
-    nearest = lost.join(padded, ["_cx", "_cy"]).withColumn("_d", away).where(F.col("_d") <= cutoff).groupBy(x, y).agg(F.min(F.struct("_d", "_ncode")).alias("_near"))
-    out = marked.join(nearest, [x, y], "left")
+    near = polygons.nearest(marked.where("hits IS NULL"), polys, cell, cutoff, x, y, code, rings).select(x, y, F.col(code).alias("_near"))
+    out = marked.join(near, [x, y], "left")
     label = F.when(F.col("hits") == 1, "inside").when(F.col("hits") > 1, "boundary").when(F.col("_near").isNotNull(), "nearest").otherwise("none")
-    return out.select(x, y, F.coalesce("_hit", "_near._ncode").alias(code), F.coalesce("hits", F.lit(0)).alias("hits"), label.alias("label"))
+    return out.select(x, y, F.coalesce("_hit", "_near").alias(code), F.coalesce("hits", F.lit(0)).alias("hits"), label.alias("label"))
 
 
 def first_feature(points: DataFrame, polys: DataFrame, cell: float, ordinal: str, x: str = "lon", y: str = "lat", code: str = "code", rings: str = "rings") -> DataFrame:
     """The first polygon in file order that holds each point; edges follow the half-open rule of ray casting."""
-    covered = _cover(_boxed(polys, rings), F.col("_x0"), F.col("_x1"), F.col("_y0"), F.col("_y1"), cell).select("_cx", "_cy", code, ordinal, "_edges")
-    at = points.select(x, y).distinct().withColumns({"_cx": _cell(F.col(x), cell), "_cy": _cell(F.col(y), cell)})
-    inside = at.join(covered, ["_cx", "_cy"]).where(ring_test(F.col(x), F.col(y), F.col("_edges"))["inside"])
+    at = points.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
+    inside = polygons.tested(at, polygons.cover(polys, cell, [code, ordinal], rings), cell, x, y).where("_in")
     return inside.groupBy(x, y).agg(F.min_by(code, ordinal).alias(code))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid, names
-from tessera.operators import clean, reconcile, report, search, spatial
+from tessera.operators import circles, clean, reconcile, report, search, spatial
 from tessera.plans.fixtures import LATTICE, WITH, facts, lattice, lattice_nodes, locs, polys, table
 from tessera.plans.registry import query
 from tessera.sources import files, paths
@@ -89,6 +89,31 @@ def radius_percentile_rank(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(vector)).select("loc_id", "n", compare.percentile_in_vector(F.col("n"), F.col("q")).alias("percentile"))  # one row
 
 
+YEARS, CATS = list(range(1995, 2002)), [0, 1, 2, 3, 4]
+_VECTORS = f"""{WITH}, places AS (SELECT lat, lon, cat, 1995 + m // 12 AS year, count(*) AS w FROM facts WHERE lt = 0 GROUP BY ALL), c AS (SELECT c.loc_id, cat, year, sum(w)::BIGINT AS n FROM locs c JOIN places p ON sqrt(pow((c.lon - p.lon) * {_KX}, 2) + pow((c.lat - p.lat) * {_KY}, 2)) <= 900 GROUP BY ALL),
+t AS (SELECT loc_id, CAST(cat AS VARCHAR) AS type, year, n FROM c UNION ALL SELECT loc_id, 'all', year, sum(n)::BIGINT FROM c GROUP BY ALL),
+v AS (SELECT l.loc_id, k.type, {", ".join(f"coalesce(sum(n) FILTER (WHERE year = {y}), 0)::BIGINT AS y{y}" for y in YEARS)} FROM locs l, (SELECT unnest(['all', '0', '1', '2', '3', '4']) AS type) k LEFT JOIN t ON t.loc_id = l.loc_id AND t.type = k.type GROUP BY ALL),
+x AS (SELECT *, ({" + ".join(f"y{y}" for y in YEARS)}) / 7.0::DOUBLE AS mean FROM v)"""
+
+
+def _circle_vectors(spark: SparkSession, d: str) -> DataFrame:
+    places = facts(spark, d).where("lt = 0").groupBy("lat", "lon", "cat", F.expr("CAST(1995 + m DIV 12 AS INT)").alias("year")).agg(F.count("*").alias("n"))
+    return circles.vectors(locs(spark, d), places, 900.0, "loc_id", CATS, YEARS)
+
+
+@query(f"{_VECTORS} SELECT loc_id, type, {', '.join(f'y{y}' for y in YEARS)}, round(mean, 6) AS mean FROM x")
+def circle_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """What lies within 900 m of each customer, by type and year."""
+    return _circle_vectors(spark, d).select("loc_id", "type", *[F.col("counts")[k].alias(f"y{y}") for k, y in enumerate(YEARS)], F.round("mean", 6).alias("mean"))
+
+
+@query(f"""{_VECTORS}, f AS (UNPIVOT (SELECT type, {", ".join(f'y{y}::DOUBLE AS "{y}"' for y in YEARS)}, mean AS avg FROM x) ON COLUMNS(* EXCLUDE (type)) INTO NAME year VALUE n),
+q AS (SELECT type, year, quantile_cont(n, list_transform(range(101), lambda k: k / 100.0)) AS q FROM f GROUP BY ALL) SELECT type, year, CAST(i AS INT) AS p, round(q[i + 1], 3) AS v FROM q, (SELECT unnest(range(101)) AS i)""")
+def circle_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The 101 percentiles among all circles, for each type and each year and for the mean of the years."""
+    return circles.percentiles(_circle_vectors(spark, d), YEARS)
+
+
 @query(f"""{WITH}, g AS (SELECT 40.55 + i * 400.0 / {_KY} AS lat, -74.2 + j * 400.0 / {_KX} AS lon FROM (SELECT unnest(range(CAST(floor((40.65 - 40.55) * {_KY} / 400) + 1 AS BIGINT))) AS i), (SELECT unnest(range(CAST(floor((-74.1 + 74.2) * {_KX} / 400) + 1 AS BIGINT))) AS j))
 SELECT count(*) AS n, round(min(lat), 6) AS low, round(max(lon), 6) AS high FROM (SELECT DISTINCT lat, lon FROM g JOIN polys ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1)""")
 def land_grid(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare
 from tessera.operators import audit, clean, cubes, reconcile, report
+from tessera.operators.quantiles import quantiles
 from tessera.plans import served
 from tessera.plans.fixtures import WITH, facts, locs, table
 from tessera.plans.registry import query
@@ -350,3 +351,9 @@ def published_sheet(spark: SparkSession, d: str) -> DataFrame:
     files.write_text_table(sheet.coalesce(1).sortWithinPartitions("boro", "cat").drop("boro", "cat"), path)
     rows = reconcile.sheet_totals(files.read_sheet(spark, path), "PCT", _OFFENSES, range(1995, 2002), unit=True)
     return spark.createDataFrame(rows, "unit string, code string, year int, n double")
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(round(p * 100, 0) AS INT) AS p, count(*) AS n, round(quantile_cont(l_extendedprice, p), 4) AS v FROM lineitem, (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]) AS p) GROUP BY l_returnflag, l_linestatus, p".replace("quantile_cont(l_extendedprice, p)", "list_extract(quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]), list_position([0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0], p))"))
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    found = quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), (0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0))
+    return found.select("l_returnflag", "l_linestatus", F.rint(F.col("p") * 100).cast("int").alias("p"), "n", F.round("v", 4).alias("v"))
