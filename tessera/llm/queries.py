@@ -181,4 +181,45 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
+    "op11_decontamination": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, k, array_to_string(w[i + 1 : i + k], ' ') AS s FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS i FROM w, (SELECT DISTINCT k FROM p) WHERE len(w) >= k)),
+o AS (SELECT doc_id, i, d.k, item FROM d JOIN p ON d.k = p.k AND d.s = p.s),
+h AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM o) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM w LEFT JOIN h ON w.doc_id = h.doc_id LEFT JOIN t ON w.doc_id = t.doc_id""",
+    "op12_periodic_runs": r"""
+WITH crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(CAST(doc_id AS VARCHAR))) AS b FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(len(b) // 2), lambda i: CAST('0x' || substr(b, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS h FROM h, crc),
+a AS (SELECT *, h // 10 % n AS a, 1 + (n - h // 10 % n) // (3 + h // 10 % 8) AS p FROM g WHERE n > 0),
+s AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM a),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM s),
+e AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+j AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+u AS (SELECT doc_id, min(i) AS s, count(*) + q AS k, q FROM j GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT doc_id, s, k, min(q) AS q FROM u GROUP BY 1, 2, 3),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + k)) AS i FROM r),
+c AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN o ON x.doc_id = o.doc_id AND x.i = o.i WHERE o.i IS NULL GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || k || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, s, q) AS rn FROM r) WHERE rn = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(k AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * k // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+x AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM r),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(len(b) // 2), lambda i: CAST('0x' || substr(b, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS h FROM x, crc),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+d AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, CAST(unnest(range(length(word))) AS BIGINT) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word UNION SELECT v.word, d.word FROM v JOIN d ON v.word = d.d UNION SELECT d.word, v.word FROM v JOIN d ON v.word = d.d),
+s AS (SELECT e.word, near, b.n AS near_n, a.n, count(*) OVER (PARTITION BY e.word) AS n_near, row_number() OVER (PARTITION BY e.word ORDER BY b.n DESC, near) AS rn FROM e JOIN v a ON e.word = a.word JOIN v b ON e.near = b.word),
+f AS MATERIALIZED (SELECT word, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM s WHERE rn = 1),
+c AS (SELECT word, form AS up, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON c.up = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(up, step) AS root FROM c GROUP BY 1)
+SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, v.word) AS root FROM v LEFT JOIN f ON v.word = f.word LEFT JOIN z ON v.word = z.word""",
 }
