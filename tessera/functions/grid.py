@@ -98,6 +98,58 @@ def hilbert_key(lat: Column, lon: Column, order: int = 16, box: tuple[float, flo
     return F.aggregate(bits, start, step, lambda a: a["d"])
 
 
+def _curve_cell(x: int, y: int, level: int) -> int:
+    """The number along the curve of a cell among the 4^level of a level."""
+    key = 0
+    for k in range(level - 1, -1, -1):
+        right, up = x >> k & 1, y >> k & 1
+        key = key * 4 + (3 * right ^ up)
+        if not up:
+            flip = (1 << k) - 1 if right else 0
+            x, y = (y ^ flip) & ((1 << k) - 1), (x ^ flip) & ((1 << k) - 1)
+    return key
+
+
+def hilbert_ranges(view: tuple[float, float, float, float], most: int = 48, order: int = 16, box: tuple[float, float, float, float] = BOX) -> list[tuple[int, int]]:
+    """Ranges of Hilbert keys that hold every place of a view (south, north, west, east): cells inside it whole and, once there
+    are about ``most`` of them, coarser ones that its edge cuts. Neighbouring ranges are one."""
+    top = (1 << order) - 1
+    scaled = lambda v, low, high: max(0, min(top, int((v - low) / (high - low) * top)))
+    (y0, y1), (x0, x1) = ([scaled(v, *box[i : i + 2]) for v in view[i : i + 2]] for i in (0, 2))
+    if x0 > x1 or y0 > y1:
+        return []
+    whole, cut = [], [(0, 0)]
+    for level in range(order + 1):
+        side, further = 1 << (order - level), []
+        for x, y in cut:
+            low_x, low_y = x * side, y * side
+            if low_x > x1 or low_y > y1 or low_x + side <= x0 or low_y + side <= y0:
+                continue
+            if x0 <= low_x and low_x + side - 1 <= x1 and y0 <= low_y and low_y + side - 1 <= y1:
+                whole.append((x, y, level))
+            else:
+                further.append((x, y))
+        if not further or level == order or len(whole) + len(further) > most:
+            whole += [(x, y, level) for x, y in further]
+            break
+        cut = [(2 * x + i, 2 * y + j) for x, y in further for i in (0, 1) for j in (0, 1)]
+    out: list[tuple[int, int]] = []
+    for key, level in sorted((_curve_cell(x, y, level) << 2 * (order - level), level) for x, y, level in whole):
+        end = key + (1 << 2 * (order - level)) - 1
+        if out and key <= out[-1][1] + 1:
+            out[-1] = out[-1][0], end
+        else:
+            out.append((key, end))
+    return out
+
+
+def in_ranges(key: Column, ranges: list[tuple[int, int]]) -> Column:
+    out = F.lit(False)
+    for k, (low, high) in enumerate(ranges):
+        out = key.between(low, high) if k == 0 else out | key.between(low, high)
+    return out
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point to a straight segment, in the units of the plane."""
     return let(locate(px, py, ax, ay, bx, by), lambda t: F.hypot(ax + t * (bx - ax) - px, ay + t * (by - ay) - py))

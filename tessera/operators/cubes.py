@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.grid import CITY, Grid, axial, distance_m, hilbert_key
+from tessera.functions.grid import CITY, Grid, axial, distance_m, hilbert_key, hilbert_ranges, in_ranges
 from tessera.functions.period import in_months, in_types
 
 #: Where each question is answered: (kind of place, needs hours) -> cube.
@@ -21,22 +21,44 @@ def route(kind: str, hours: bool) -> str:
     return ROUTES[kind, hours]
 
 
+def _rows(facts: DataFrame) -> Column:
+    """How many events rows stand for: one each, or the n of a finer cube that they come from."""
+    return F.sum("n") if "n" in facts.columns else F.count("*")
+
+
+def fine(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The finest cube, n for each combination of keys, month and category, from which coarser ones are rolled up."""
+    return facts.groupBy(*keys, "m", "cat").agg(F.count("*").alias("n"))
+
+
 def cube(facts: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
     """n for each combination of keys, month and category."""
     rows = facts if where is None else facts.where(where)
-    return rows.groupBy(*keys, "m", "cat").agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, "m", "cat").agg(_rows(facts).alias("n"))
 
 
 def hex_cube(facts: DataFrame, grid: Grid = CITY) -> DataFrame:
     """q, r, m, cat, n of the facts that have a place."""
     at = facts.where("lt = 0").withColumn("_h", axial(F.col("lat"), F.col("lon"), grid))
-    return at.groupBy(F.col("_h.q").alias("q"), F.col("_h.r").alias("r"), "m", "cat").agg(F.count("*").alias("n"))
+    return at.groupBy(F.col("_h.q").alias("q"), F.col("_h.r").alias("r"), "m", "cat").agg(_rows(facts).alias("n"))
 
 
 def points_cube(facts: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """n for each place (float coordinates), month and category."""
+    """n for each place (float coordinates), month and category, with hk, the Hilbert key of the place: the order to write in."""
     at = facts.where("lt = 0").withColumns({"lat": F.col("lat").cast("float"), "lon": F.col("lon").cast("float")})
-    return at.groupBy("lat", "lon", *keep, "m", "cat").agg(F.count("*").alias("n"))
+    n = at.groupBy("lat", "lon", *keep, "m", "cat").agg(_rows(facts).alias("n"))
+    return n.withColumn("hk", hilbert_key(F.col("lat").cast("double"), F.col("lon").cast("double")))
+
+
+def in_view(points: DataFrame, view: tuple[float, float, float, float]) -> DataFrame:
+    """Rows of the cube of places in a view (south, north, west, east): key ranges that reach the scan, then the view itself."""
+    south, north, west, east = view
+    return points.where(in_ranges(F.col("hk"), hilbert_ranges(view))).where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+
+
+def circle_view(lat: float, lon: float, radius: float, grid: Grid = CITY) -> tuple[float, float, float, float]:
+    """The view that a circle fits into."""
+    return lat - radius / grid.ky, lat + radius / grid.ky, lon - radius / grid.kx, lon + radius / grid.kx
 
 
 def counts(cube_: DataFrame, by: list[str], months: list[int] | None = None, types: list[int] | None = None, where: Column | None = None) -> DataFrame:
@@ -116,10 +138,9 @@ def conserved(tables: dict[str, tuple[DataFrame, int]]) -> list[str]:
 
 
 def in_circle(points: DataFrame, lat: float, lon: float, radius: float, grid: Grid = CITY) -> DataFrame:
-    """Rows within a radius of a place: a box that reaches the scan, then the exact distance."""
-    dy, dx = radius / grid.ky, radius / grid.kx
-    box = F.col("lat").between(lat - dy, lat + dy) & F.col("lon").between(lon - dx, lon + dx)
-    return points.where(box).where(distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), grid) <= radius)
+    """Rows of the cube of places within a radius of a place: its view, which reaches the scan, then the exact distance."""
+    near = in_view(points, circle_view(lat, lon, radius, grid))
+    return near.where(distance_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), grid) <= radius)
 
 
 def blocks_of(points: DataFrame, bridge: DataFrame, where: Column | None = None) -> DataFrame:
@@ -138,7 +159,7 @@ def place_totals(points: DataFrame) -> DataFrame:
 def clustered_points(facts: DataFrame) -> DataFrame:
     """The cube of places with hk, the smallest Hilbert key of the doubles that became one float place: the order to write in."""
     at = facts.where("lt = 0").withColumn("hk", hilbert_key(F.col("lat"), F.col("lon")))
-    return at.groupBy(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), "m", "cat").agg(F.count("*").alias("n"), F.min("hk").alias("hk"))
+    return at.groupBy(F.col("lat").cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"), "m", "cat").agg(_rows(facts).alias("n"), F.min("hk").alias("hk"))
 
 
 def street_index(counts: DataFrame, lengths: DataFrame, key: str, least_m: float = 300.0) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.grid import hilbert_ranges
 from tessera.operators import cubes
 from tessera.sources import store
 
@@ -55,8 +56,8 @@ def locs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    o, at = table(spark, d, "orders"), locs(spark, d)
+def facts(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
+    o, at = table(spark, d, "orders") if orders is None else orders, locs(spark, d)
     shown = F.col("o_orderstatus") == "O"
     return o.join(at, F.col("o_custkey") == F.col("loc_id")).select(
         F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("report_date"), ((F.year("o_orderdate") - YEAR0) * 12 + F.month("o_orderdate") - 1).alias("m"),
@@ -98,18 +99,26 @@ def bridge(spark: SparkSession, d: str) -> DataFrame:
     return rows.distinct()
 
 
-_CUBES = store.Cubes()
-#: Cubes that questions read: how each is made of the facts, and the order that it is written in.
+def _with_block(f: DataFrame) -> DataFrame:
+    return f.withColumns({"street": F.col("pct"), "block": F.col("loc_id") - F.col("loc_id") % 100})
+
+
+#: Cubes that questions read: how each is rolled up from the finest, and the order that it is written in.
 _KINDS = {
     "hex": (cubes.hex_cube, ["q", "r", "m"]),
-    "points": (lambda f: cubes.points_cube(f, ["pct"]), ["lat", "lon", "m"]),
+    "points": (lambda f: cubes.points_cube(f, ["pct"]), ["hk", "m", "cat"]),
     "areas": (lambda f: cubes.cube(f, ["pct", "boro", "lt"]), ["pct", "m"]),
-    "blocks": (lambda f: cubes.cube(f.withColumns({"street": F.col("pct"), "block": F.col("loc_id") - F.col("loc_id") % 100}), ["street", "block"]), ["street", "block", "m"]),
+    "blocks": (lambda f: cubes.cube(_with_block(f), ["street", "block"]), ["street", "block", "m"]),
     "places": (lambda f: cubes.cube(f, ["loc_id"]), ["loc_id", "m"]),
 }
+_CUBES = store.Cubes(lambda spark, d, orders: cubes.fine(facts(spark, d, orders), ["loc_id", "pct", "boro", "lt", "lat", "lon"]), _KINDS)
+
+
+def stored(spark: SparkSession, d: str, kind: str, within: list[tuple[int, int]] | None = None) -> DataFrame:
+    """A cube of the facts, kept up as orders come and go: months and keys of a question reach its scan."""
+    return _CUBES.get(spark, kind, d, f"{d}/orders.parquet", [f"{d}/customer.parquet", f"{d}/nation.parquet"], within)
 
 
-def stored(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """A cube of the facts, written once an application: months and keys of a question then reach its scan."""
-    make, order = _KINDS[kind]
-    return _CUBES.get(spark, f"{kind} {d}", lambda: make(facts(spark, d)), order, [f"{d}/{t}.parquet" for t in ("orders", "customer", "nation")])
+def points_in(spark: SparkSession, d: str, view: tuple[float, float, float, float]) -> DataFrame:
+    """The cube of places in a view (south, north, west, east): files and row groups by Hilbert key."""
+    return cubes.in_view(stored(spark, d, "points", hilbert_ranges(view)), view)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import compare, grid
 from tessera.functions.period import Period, Span, baseline_of, comparison_of, days_of, fair_column, in_dates, in_months, months_of, resolve_group
 from tessera.operators import audit, clean, cubes, report, spatial
-from tessera.plans.fixtures import BRIDGE, LATTICE, MONTHS, WITH, bridge, facts, lattice, lattice_nodes, locs, stored, table
+from tessera.plans.fixtures import BRIDGE, LATTICE, MONTHS, WITH, bridge, facts, lattice, lattice_nodes, locs, points_in, stored, table
 from tessera.plans.registry import query
 
 SPAN = Span(1995, 2001, 1997)
@@ -99,8 +99,7 @@ def argmax_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{WITH}, p AS (SELECT CAST(lat AS FLOAT) AS lat, CAST(lon AS FLOAT) AS lon, cat, count(*) AS n FROM facts WHERE lt = 0 AND {NOW_SQL} AND lat BETWEEN 40.55 AND 40.75 AND lon BETWEEN -74.2 AND -73.9 GROUP BY 1, 2, 3), "
        "r AS (SELECT *, sum(n) OVER (PARTITION BY lat, lon) AS total, row_number() OVER (PARTITION BY lat, lon ORDER BY n DESC, cat) AS rn FROM p) SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, total::BIGINT AS n, cat AS main FROM r WHERE rn = 1")
 def locations_in_view(spark: SparkSession, d: str) -> DataFrame:
-    box = F.col("lat").between(40.55, 40.75) & F.col("lon").between(-74.2, -73.9)
-    by = cubes.counts(stored(spark, d, "points").where(box), ["lat", "lon", "cat"], NOW)
+    by = cubes.counts(points_in(spark, d, (40.55, 40.75, -74.2, -73.9)), ["lat", "lon", "cat"], NOW)
     out = by.groupBy("lat", "lon").agg(F.sum("n").alias("n"), F.max_by("cat", F.struct("n", -F.col("cat"))).alias("main"))
     return out.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "n", "main").orderBy(F.desc("n"), "lat", "lon").limit(250_000)
 
@@ -351,9 +350,13 @@ def hilbert_key(spark: SparkSession, d: str) -> DataFrame:
 _CIRCLE = f"{WITH}, near AS (SELECT * FROM facts WHERE lt = 0 AND sqrt(pow((lon + 74.0) * (111320.0 * cos(radians(40.73))), 2) + pow((lat - 40.7) * 110950.0, 2)) <= 5000)"
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return cubes.in_circle(points_in(spark, d, cubes.circle_view(40.7, -74.0, 5000.0)), 40.7, -74.0, 5000.0)
+
+
 @query(f"{_CIRCLE} SELECT m, cat, count(*) AS n FROM near GROUP BY 1, 2")
 def circle_series(spark: SparkSession, d: str) -> DataFrame:
-    return cubes.counts(cubes.in_circle(stored(spark, d, "points"), 40.7, -74.0, 5000.0), ["m", "cat"])
+    return cubes.counts(_near(spark, d), ["m", "cat"])
 
 
 _SPOT = f"{WITH}, {BRIDGE}, s AS (SELECT lat, lon FROM facts WHERE lt = 0 ORDER BY id LIMIT 1)"
@@ -420,13 +423,13 @@ def place_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_CIRCLE} SELECT cat, count(*) FILTER (WHERE {NOW_SQL}) AS now, count(*) FILTER (WHERE {BEFORE_SQL}) AS before FROM near WHERE {NOW_SQL} OR {BEFORE_SQL} GROUP BY 1")
 def circle_change(spark: SparkSession, d: str) -> DataFrame:
-    near = cubes.in_circle(stored(spark, d, "points"), 40.7, -74.0, 5000.0)
+    near = _near(spark, d)
     return cubes.now_and_before(near, ["cat"], NOW, BEFORE).na.fill(0, ["now", "before"])
 
 
 @query(f"{_CIRCLE}, {BRIDGE} SELECT street, block, count(*) AS n FROM near f JOIN bridge b ON CAST(f.lat AS FLOAT) = b.lat AND CAST(f.lon AS FLOAT) = b.lon WHERE block >= 0 AND {NOW_SQL} GROUP BY 1, 2")
 def circle_blocks(spark: SparkSession, d: str) -> DataFrame:
-    near = cubes.in_circle(stored(spark, d, "points"), 40.7, -74.0, 5000.0)
+    near = _near(spark, d)
     return cubes.blocks_of(near, bridge(spark, d), in_months(F.col("m"), NOW))
 
 

@@ -306,7 +306,7 @@ _REGIONS = "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"
 def answers_kept(spark: SparkSession, d: str) -> DataFrame:
     """An answer that is computed once for a snapshot of its table."""
     files.read_table(spark, f"{d}/nation.parquet", "nation")
-    answers = store.Answers(spark, f"{paths.shared_dir(spark)}/tessera/answers", paths.snapshot(table(spark, d, "nation")))
+    answers = store.Answers(spark, f"{paths.own_dir(spark)}/answers", paths.snapshot(spark, f"{d}/nation.parquet"))
     return answers.get(_REGIONS)
 
 

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,24 +54,50 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as listings have it."""
+    fs, where = _hadoop(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def rename(spark: SparkSession, path: str, target: str) -> None:
     fs, where = _hadoop(spark, path)
     if not fs.rename(where, _hadoop(spark, target)[1]):
         raise OSError(f"{path} can't be renamed to {target}")
 
 
-def changed(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Size and time of change of a file, or of a folder as such: one look, however many files a table has."""
+_STATUS = re.compile(r"path=(.+?); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+);")
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Size and time of change of every data file under a path, however deep: one look a folder. Files and folders whose names
+    begin with _ or . are none, as in Spark's own listing (whose memory in the driver is of the same order)."""
+    out: dict[str, tuple[int, int]] = {}
+    fs, where = _hadoop(spark, path)
+    show = spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString
+    left = [where]
+    while left:
+        at = left.pop()
+        for name, folder, size, time in _STATUS.findall(show(fs.listStatus(at))):
+            if name.rsplit("/", 1)[-1][:1] in "_.":
+                continue
+            if folder == "true":
+                left.append(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name))
+            else:
+                out[name] = int(size), int(time)
+    return out
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, those changed last at the end; none if there is no such folder."""
+    if not exists(spark, path):
+        return []
     fs, where = _hadoop(spark, path)
-    status = fs.getFileStatus(where)
-    return status.getLen(), status.getModificationTime()
+    found = _STATUS.findall(spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(where)))
+    return [name for _, name in sorted((int(time), name) for name, folder, _, time in found if folder == "true")]
 
 
-def snapshot(df: DataFrame) -> str:
-    """A hash of the files that a table comes from: their names, sizes and times of change."""
-    spark, parts = df.sparkSession, []
-    for f in sorted(df.inputFiles()):
-        fs, where = _hadoop(spark, f)
-        status = fs.getFileStatus(where)
-        parts.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+def snapshot(spark: SparkSession, *tables: str) -> str:
+    """A hash of the files that tables consist of: their names, sizes and times of change."""
+    parts = [f"{f} {size} {time}" for t in tables for f, (size, time) in sorted(listing(spark, t).items())]
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()

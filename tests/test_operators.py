@@ -244,12 +244,14 @@ def test_answers_follow_their_snapshot(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
     spark.read.parquet(path).createOrReplaceTempView("kept")
-    ask = lambda: store.Answers(spark, str(tmp_path / "answers"), paths.snapshot(spark.read.parquet(path))).get("SELECT count(*) AS n FROM kept").first().n
+    ask = lambda: store.Answers(spark, str(tmp_path / "answers"), paths.snapshot(spark, path)).get("SELECT count(*) AS n FROM kept").first().n
     assert ask() == 3
     spark.range(5).createOrReplaceTempView("kept")
     assert ask() == 3  # the table's files are as they were
     spark.range(7).write.mode("append").parquet(path)
     assert ask() == 5
+    spark.range(8).write.mode("append").parquet(path)
+    assert ask() == 5 and len(paths.folders(spark, str(tmp_path / "answers"))) == 2  # the oldest is gone
 
 
 def test_a_table_is_replaced_after_verification(spark, tmp_path):
@@ -280,21 +282,3 @@ def test_what_an_application_wrote_is_deleted_at_once(spark, tmp_path, monkeypat
     assert any(tmp_path.rglob("*.parquet"))
     paths.clear(spark)
     assert not any(tmp_path.rglob("*.parquet"))
-
-
-def test_cubes_are_built_once_and_follow_their_tables(spark, tmp_path):
-    held, built, path = store.Cubes(), [], str(tmp_path / "t")
-
-    def cube():
-        def make():
-            built.append(1)
-            return spark.read.parquet(path).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n"))
-
-        return {r.k: r.n for r in held.get(spark, "by k", make, ["k"], [path]).collect()}
-
-    spark.range(9).write.parquet(path)
-    assert cube() == cube() == {0: 3, 1: 3, 2: 3} and len(built) == 1
-    spark.range(3).write.mode("append").parquet(path)
-    assert cube() == {0: 4, 1: 4, 2: 4} and len(built) == 2
-    paths.delete(spark, next(iter(held._paths.values()))[1])
-    assert cube() == {0: 4, 1: 4, 2: 4} and len(built) == 3
