@@ -1,13 +1,14 @@
 """Best-fit packing by exact complements.
 
 Documents become token pieces of at most ``size`` tokens. The plan works on the histogram of piece lengths, which has ``size``
-entries at most whatever the input: the longest length left looks up the gap it leaves among single lengths, pair sums and
-triple sums, and consumes such combinations as often as the counts allow; what finds no exact complement is packed best-fit.
-Several orders of that search and best-fit alone are tried, and the fewest sequences win. The plan is a table of slots (a few thousand rows, bounded by ``size``); pieces find their
-slot by their rank among pieces of their length. Ranks come from counts per (length, salt), so no length is ever gathered in a
+entries at most whatever the input: lengths look up the gap that they leave among single lengths, pair sums and triple sums, and
+consume such combinations, the most available first, as often as the counts allow; what finds no exact complement is packed
+best-fit, and so are the last combinations if that takes fewer sequences. The plan is a table of slots (a few thousand rows,
+bounded by ``size``); pieces find their slot by their rank among pieces of their length. Ranks come from counts per (length, salt), so no length is ever gathered in a
 task, however many pieces share it.
 
-Defined results: a null text counts as empty, its document is the end id alone. Ids may be null or repeat: each row is packed
+Defined results: a null text counts as empty, its document is the end id alone. Texts may be as long as a worker can hold with
+their ids; one of n tokens becomes n / size pieces, rounded up. Ids may be null or repeat: each row is packed
 on its own. Only the id and text columns are read, so other columns can't clash. An empty table gives an empty table.
 """
 
@@ -28,6 +29,8 @@ from . import encoding, runtime
 #: Pieces of one length and salt at least, about; more where the square root of their number is larger, so that neither the
 #: ranks inside a salt nor the sums over the salts of a length take a long sort.
 GROUP = 1_000
+#: Starts of the list of exact combinations that the plan looks at.
+TRIED = 64
 
 
 def cut(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -62,69 +65,79 @@ def cut(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-class Complements:
-    """Which lengths left add up to a gap: singles, pair sums, triple sums. Exhausted lengths never come back.
-
-    uneven: of the pairs (triples) with one sum, those with the longest part come first; else the most balanced."""
-
-    def __init__(self, left: np.ndarray, reach: int, uneven: bool) -> None:
-        self.left, self.reach, self.uneven = left, reach, uneven
-        present = np.flatnonzero(left)
-        self.pairs: dict[int, list[int]] = {}
-        for a in present.tolist() if reach > 1 else ():  # of a pair, the smaller; what comes first is held last
-            for b in present[(present >= a) & (present + a < len(left))].tolist():
-                self.pairs.setdefault(a + b, []).append(a)
-        if uneven:
-            for held in self.pairs.values():
-                held.reverse()
-
-    def available(self, parts: tuple[int, ...]) -> bool:
-        return all(self.left[p] >= parts.count(p) for p in set(parts))
-
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        held = self.pairs.get(gap, [])
-        while held and not (self.left[held[-1]] and self.left[gap - held[-1]]):  # dead entries are dropped for good
-            held.pop()
-        return next(((a, gap - a) for a in reversed(held) if self.available((a, gap - a))), None)
-
-    def find(self, gap: int) -> tuple[int, ...] | None:
-        if self.left[gap]:
-            return (gap,)
-        if self.reach > 1 and (found := self.pair(gap)):
-            return found
-        if self.reach > 2:
-            for a in range(gap - 2, 0, -1) if self.uneven else range(gap // 3, 0, -1):
-                if self.left[a] and (found := self.pair(gap - a)) and self.available((a, *found)):
-                    return a, *found
-        return None
+Plan = list[tuple[tuple[int, ...], int]]
 
 
-Plan = list[tuple[tuple[int, ...], int]]
+class Sums:
+    """Which lengths left add up to a gap: singles, pair sums, triple sums; of several the one that can be used most often.
+
+    The index holds, for each pair sum, the pair that could be used most often when it was last looked at. Counts only
+    fall, so what it says is an upper bound, and is looked at anew before it is used."""
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        self.times, self.small = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        for total in range(2, len(left)):
+            self._look(total)
+
+    def _look(self, total: int) -> None:
+        small = np.arange(1, total // 2 + 1)
+        times = np.minimum(self.left[small], self.left[total - small])
+        if total % 2 == 0:
+            times[-1] = self.left[total // 2] // 2
+        k = int(times.argmax())
+        self.times[total], self.small[total] = times[k], small[k]
+
+    def _pair(self, total: int) -> tuple[int, int]:
+        return total - int(self.small[total]), int(self.small[total])
+
+    def uses(self, parts: tuple[int, ...]) -> int:
+        return min(int(self.left[p]) // parts.count(p) for p in set(parts))
+
+    def find(self, gap: int, reach: int) -> tuple[int, ...] | None:
+        """Parts, one for a reach of 1 and so on, that add up to the gap."""
+        if reach == 1:
+            return (gap,) if self.left[gap] else None
+        if reach == 2:
+            if gap < 2:
+                return None
+            self._look(gap)
+            return self._pair(gap) if self.times[gap] else None
+        first = np.arange(1, gap - 1)
+        best = np.minimum(self.left[first], self.times[gap - first])
+        while len(best) and best[k := int(best.argmax())]:
+            one, rest = int(first[k]), gap - int(first[k])
+            self._look(rest)
+            now = min(int(self.left[one]), int(self.times[rest]))
+            if now < best[k]:
+                best[k] = now
+            elif self.uses(parts := (one, *self._pair(rest))):
+                return parts
+            else:  # one length in two places
+                best[k] = 0
+        return None
 
 
-def by_complements(lengths: np.ndarray, reach: int = 3, uneven: bool = False) -> Plan:
-    """From the longest length left on: what fills its gap exactly, in sums of up to ``reach`` parts; where nothing does, the
-    longest part that fits goes in and the rest of the gap looks anew. Each combination is used as often as counts allow."""
-    left, size, out = lengths.copy(), len(lengths) - 1, []
-    index = Complements(left, reach, uneven)
-    for n in range(size, 0, -1):
-        while left[n]:
-            parts, gap = [], size
-            more: tuple[int, ...] | None = (n,)
-            while more:
-                parts += more
-                gap -= sum(more)
-                for p in more:
-                    left[p] -= 1
-                more = index.find(gap) if gap else None
-                if gap and not more and len(fits := np.flatnonzero(left[: gap + 1])):
-                    more = (int(fits[-1]),)
-            for p in parts:
-                left[p] += 1
-            times = min(int(left[p]) // parts.count(p) for p in set(parts))
-            for p in set(parts):
-                left[p] -= times * parts.count(p)
-            out.append((tuple(parts), times))
+def by_complements(lengths: np.ndarray) -> Plan:
+    """Combinations that fill a sequence exactly: from the longest length down those with a single complement, then with a pair,
+    then with a triple, each used as often as counts allow."""
+    index, size, out = Sums(lengths.copy()), len(lengths) - 1, []
+    left = index.left
+    out += [((size,), int(left[size]))] * bool(left[size])
+    left[size] = 0
+    for reach in (1, 2, 3):
+        for n in range(size - 1, 0, -1):
+            while left[n]:
+                left[n] -= 1
+                found = index.find(size - n, reach)
+                left[n] += 1
+                if not found:
+                    break
+                parts = (n, *found)
+                times = index.uses(parts)
+                for p in set(parts):
+                    left[p] -= times * parts.count(p)
+                out.append((parts, times))
     return out
 
 
@@ -155,19 +168,25 @@ def by_best_fit(lengths: np.ndarray) -> Plan:
 
 
 def plan(lengths: dict[int, int], size: int) -> Plan:
-    """Combinations of lengths and how many sequences hold each: the fewest sequences of those that complements of up to three,
-    two and one parts give in either order, and best-fit alone. Each takes a fraction of a second, whatever the input."""
+    """Combinations of lengths and how many sequences hold each: exact combinations, then best-fit for what they leave.
+
+    The last exact combinations take short pieces that best-fit needs to fill other gaps; in small inputs that costs more than
+    they gain. So of the list of exact combinations, as consumed, the longest start (of ``TRIED`` evenly spaced ones) is kept
+    after which best-fit needs the fewest sequences; the others are given back."""
     left = np.zeros(size + 1, np.int64)
     for n, count in lengths.items():
         left[n] = count
-    least = max(-(-int(left @ np.arange(size + 1)) // size), int(left[size // 2 + 1 :].sum()))
+    exact = by_complements(left)
     best: Plan | None = None
-    tries = [lambda r=r, u=u: by_complements(left, r, u) for r in (3, 2, 1) for u in (False, True)]
-    for attempt in (*tries, lambda: by_best_fit(left)):
-        found = attempt()
+    for k in sorted({round(len(exact) * i / TRIED) for i in range(TRIED + 1)}, reverse=True):
+        rest = left.copy()
+        for parts, times in exact[:k]:
+            for p in parts:
+                rest[p] -= times
+        found = exact[:k] + by_best_fit(rest)
         if best is None or sequences(found) < sequences(best):
             best = found
-        if sequences(best) == least:
+        if sequences(best) == -(-int(left @ np.arange(size + 1)) // size):
             break
     return best
 

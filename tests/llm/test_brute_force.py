@@ -58,7 +58,17 @@ def test_no_more_sequences_than_best_fit_decreasing(case):
 def test_exact_complements_beat_best_fit():
     lengths = {6: 4, 5: 4, 3: 4, 2: 8, 4: 4}  # 6 + 4, 5 + 3 + 2
     assert packing.sequences(packing.plan(lengths, 10)) == 9 < 10
-    assert {tuple(sorted(p)) for p, _ in packing.by_complements(np.array([0, 0, 2, 1, 0, 1, 0, 0, 0, 0, 0]), 3)} == {(2, 3, 5), (2,)}
+    assert {tuple(sorted(p)) for p, _ in packing.by_complements(np.array([0, 0, 2, 1, 0, 1, 0, 0, 0, 0, 0]))} == {(2, 3, 5)}
+
+
+def test_sums_of_pairs_and_triples_pay_where_lengths_are_many():
+    rng = np.random.default_rng(7)
+    lengths = dict(Counter(rng.integers(200, 600, 20_000).tolist()))
+    plan = packing.plan(lengths, 1024)
+    bound = -(-sum(n * k for n, k in lengths.items()) // 1024)
+    assert used(plan) == lengths and packing.sequences(plan) < bound * 1.003 < best_fit_decreasing(lengths, 1024)
+    exact = Counter(len(p) for p, _ in plan if sum(p) == 1024)
+    assert all(exact[k] for k in (2, 3, 4))
 
 
 def test_documents_of_a_scale_pack_near_the_bound(spark):
