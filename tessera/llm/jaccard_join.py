@@ -6,8 +6,8 @@ group. Two sets that are similar enough share a hash of their prefixes, so group
 pairs of groups are filtered by size and by position, then expanded to members, filtered by a lower bound of their
 difference and verified on the whole sets.
 
-The order puts frequent hashes last. All hashes of all texts are counted by their upper 30 bits, in a shuffle of two bytes a
-hash; the most frequent (at most ``max_heavy``, whatever the input) are broadcast. Any such order is exact; it decides how many
+The order puts frequent hashes last. All hashes of all texts are counted by their upper 30 bits (one more for each doubling of
+the input beyond a TB, so that buckets don't fill with unrelated hashes), in a shuffle of two bytes a hash; the most frequent (at most ``max_heavy``, whatever the input) are broadcast. Any such order is exact; it decides how many
 candidates there are, not which links are found.
 
 Groups of copies aren't expanded into all pairs. First every bucket links its members to one hub, the entry with the fewest
@@ -37,7 +37,6 @@ from . import runtime
 from .bpe import segment_sums
 from .components import components
 
-_TOP = np.uint64(34)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Entries of a frequent hash that share a salt, about.
@@ -95,22 +94,35 @@ def least_difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def bucket_bits(shares: int) -> int:
+    """Upper bits of a hash that name its bucket, by the input in shares of 16 MB: 30, and more beyond a TB."""
+    return 30 + min(8, max(0, (shares >> 16).bit_length()))
+
+
+def add_counts(total: np.ndarray, places: np.ndarray) -> None:
+    """One more for each place; counts have 64 bits, so that the most frequent hash of any input stays the most frequent."""
+    np.add.at(total, places, np.uint64(1))
+
+
 def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """bucket (the upper 30 bits of hashes), count: those that at least ``least`` documents have.
+    """bucket (the upper bits of hashes), count: those that at least ``least`` documents have.
 
     The first bits of a bucket are its range (256 ranges at least, more where there are over 1,024 partitions, so that a
-    task's stream stays bounded), the last 16 an array; between them, counts say how many of the array are whose."""
-    bits = min(14, max(8, docs.rdd.getNumPartitions().bit_length() - 2))
-    ranges, between, span = 1 << bits, 1 << (14 - bits), 30 - bits
+    task's stream stays bounded, and at most 4 million buckets in one), the last 16 an array; between them, counts say how many
+    of the array are whose."""
+    all_bits = bucket_bits(runtime.shares(docs))
+    top_of = np.uint64(64 - all_bits)
+    bits = min(18, all_bits - 16, max(8, all_bits - 22, docs.rdd.getNumPartitions().bit_length() - 2))
+    ranges, between, span = 1 << bits, 1 << (all_bits - 16 - bits), all_bits - bits
 
     def deal(batches):
         held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            top = np.sort((np.concatenate(held) >> _TOP).astype(np.uint32))
-            counts = np.bincount(top >> np.uint32(16), minlength=1 << 14).astype(np.uint32).reshape(ranges, between)
-            low, ends = (top & np.uint32(0xFFFF)).astype(np.uint16), np.cumsum(counts.sum(1))
+            top = np.sort(np.concatenate(held) >> top_of)
+            counts = np.bincount((top >> np.uint64(16)).astype(np.int64), minlength=ranges * between).astype(np.uint32).reshape(ranges, between)
+            low, ends = (top & np.uint64(0xFFFF)).astype(np.uint16), np.cumsum(counts.sum(1))
             return pa.RecordBatch.from_pydict({"range": pa.array(np.arange(ranges, dtype=np.int32)), "counts": [c.tobytes() for c in counts], "low": [low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
         for batch in runtime.slices(batches, "text"):
@@ -124,7 +136,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
             yield flush()
 
     def count(batches):
-        at, total = None, np.zeros(1 << span, np.uint32)
+        at, total = None, np.zeros(1 << span, np.uint64)
 
         def flush():
             found = np.flatnonzero(total >= least)
@@ -137,7 +149,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
                         yield flush()
                         total[:] = 0
                     at = r
-                np.add.at(total, np.repeat(np.arange(between) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16), 1)
+                add_counts(total, np.repeat(np.arange(between) << 16, np.frombuffer(counts, np.uint32)) + np.frombuffer(low, np.uint16))
         if at is not None:
             yield flush()
 
@@ -145,10 +157,11 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
     return dealt.repartition(ranges // 4, "range").sortWithinPartitions("range").mapInArrow(count, "bucket long, count long")
 
 
-def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent buckets, sorted, with their counts: those over ``least``, or over as much more as leaves ``most``."""
+def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many bits buckets have, the most frequent buckets, sorted, and their counts: those over ``least``, or over as much more
+    as leaves ``most``."""
     counted = runtime.materialize(_count_hashes(docs, width, least), "heavy", docs)
-    steps = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("count") * 4).alias("s")).count().collect()}  # a few dozen rows
+    steps = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("count") * 4).alias("s")).count().collect()}  # a few hundred rows
     kept = from_ = 0
     for s in sorted(steps, reverse=True):
         if kept + steps[s] > most:
@@ -157,9 +170,9 @@ def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarr
         kept += steps[s]
     rows = counted.where(F.floor(F.log2("count") * 4) >= from_).toArrow()  # at most ``most`` rows
     runtime.discard(counted)
-    bucket, count = rows.column("bucket").to_numpy().astype(np.uint32), rows.column("count").to_numpy()
+    bucket, count = rows.column("bucket").to_numpy().astype(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(bucket)
-    return bucket[order], count[order]
+    return bucket_bits(runtime.shares(docs)), bucket[order], count[order]
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, heavy, salted: int) -> DataFrame:
@@ -167,16 +180,16 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, heavy, salted: int) -
     kind = dict(docs.dtypes)["id"]
 
     def run(batches):
-        bucket, count = heavy.value
+        bits, bucket, count = heavy.value
         some = np.zeros(1 << 24, bool)  # whether any heavy bucket starts with these 24 bits
-        some[bucket >> np.uint32(6)] = True
+        some[bucket >> np.uint64(bits - 24)] = True
         for batch in runtime.slices(batches, "text"):
             found = [shingles(t, width) for t in batch.column(1).to_pylist()]
             ns = np.array([len(s) for s in found])
             flat = np.concatenate(found)
             weight = np.zeros(len(flat), np.int64)
-            top = (flat >> _TOP).astype(np.uint32)
-            near = np.flatnonzero(some[top >> np.uint32(6)])
+            top = flat >> np.uint64(64 - bits)
+            near = np.flatnonzero(some[flat >> np.uint64(40)])
             if len(near):
                 at = np.minimum(np.searchsorted(bucket, top[near]), len(bucket) - 1)
                 weight[near] = np.where(bucket[at] == top[near], count[at], 0)

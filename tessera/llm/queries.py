@@ -57,10 +57,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents are written to 256 shards and read back; their columns but for the text are returned."""
-    docs, path = _docs(spark, sf_dir), runtime.fresh_path(spark, "shards")
+    docs, path = runtime.read(spark, f"{sf_dir}/documents.parquet", row="_row"), runtime.fresh_path(spark, "shards")
     placed = sharding.place(docs, ["doc_id"], [f"shard-{k:04d}" for k in range(256)])
-    sharding.write_shards(placed, path, 1 + runtime.shares(docs) // 256)  # files of a bounded size
-    return sharding.read_shards(spark, path, placed.schema).drop("text")
+    sharding.write_shards(placed, path, 1 + runtime.shares(docs) // 256, row="_row")  # files of a bounded size
+    return sharding.read_shards(spark, path, placed.drop("_row").schema).drop("text")
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

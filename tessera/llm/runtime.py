@@ -22,11 +22,14 @@ NARROW, WIDE = 2, 8
 SHARE = 16 << 20
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, row: str | None = None) -> DataFrame:
     """A Parquet table. Where its files have fewer row groups than there are cores, the setting spark.tessera.split deals the
-    rows over so many partitions; without it nothing is shuffled."""
+    rows over so many partitions; without it nothing is shuffled. row: a column for a hash of a row's file and place in it,
+    which tells equal rows apart and is the same however often a task runs."""
     parts = spark.conf.get("spark.tessera.split", None)
     table = spark.read.parquet(path)
+    if row:
+        table = table.withColumn(row, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
     return table.repartition(int(parts)) if parts else table
 
 

@@ -6,8 +6,9 @@ shard by the table, which is broadcast: its size is the prime, fixed by a parame
 when a shard comes or goes most keys stay where they were.
 
 Defined results: a null key is a key like any other (all nulls share a slot unless spread). Rows of one key share a shard;
-with ``spread`` over 1, a key's rows go to up to so many shards by a hash of ``spread_by``, for keys that hold too many rows
-for one. One row comes out for each row that goes in, with all its columns; those named as the new ones get a ``_`` behind
+with ``spread`` over 1, a key's rows go to up to so many shards, for keys that hold too many rows for one: by a hash of
+``spread_by``, or by a number that each row is given where no column is named. Equal rows are rows each, in spreading and in
+the files of a shard. One row comes out for each row that goes in, with all its columns; those named as the new ones get a ``_`` behind
 their names. Texts of any length go along unread. An empty table gives an empty table.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import runtime
+
 #: The table is broadcast, 8 bytes a slot.
 MOST_SLOTS = 2_000_000
 OWN = ("slot", "shard_id", "shard")
@@ -51,11 +54,14 @@ def slot_of(keys: list[Column], slots: int) -> Column:
 
 
 def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65_537, spread: int = 1, spread_by: str | None = None) -> DataFrame:
-    """df with slot (int), shard_id (int) and shard (string)."""
+    """df with slot (int), shard_id (int) and shard (string). Spread without ``spread_by``, df is stored with row numbers first."""
     table = lookup_table(shards, slots)
+    if spread > 1 and spread_by is None:
+        rows, row = runtime.numbered(df)
+        return place(rows, key_cols, shards, slots, spread, row).drop(row)
     keys = [df[c] for c in key_cols]
     if spread > 1:
-        keys.append(F.pmod(F.xxhash64(df[spread_by or key_cols[0]]), F.lit(spread)))
+        keys.append(F.pmod(F.xxhash64(df[spread_by]), F.lit(spread)))
     held = df.sparkSession.createDataFrame(pd.DataFrame({"_s": np.arange(slots, dtype=np.int32), "_k": table, "_name": np.array(shards, object)[table]}), "_s int, _k int, _name string")
     names: list[str] = []
     for c in df.columns:
@@ -68,11 +74,15 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
     return placed.join(F.broadcast(held), placed["slot"] == slot).select(*names, "slot", shard_id.alias("shard_id"), shard.alias("shard"))
 
 
-def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder a shard, so many files each. Rows are dealt over a shard's files by a hash of all their columns, so a task
-    that runs again deals them alike; equal rows share a file."""
-    dealt = placed.withColumn("_file", F.pmod(F.xxhash64(*placed.columns), F.lit(files_per_shard)))
-    dealt.repartition("shard_id", "_file").drop("_file").write.partitionBy("shard_id").parquet(path)
+def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1, row: str | None = None) -> None:
+    """One folder a shard, so many files each. row: a column that tells rows apart, equal ones too, and is the same when a task
+    runs again; rows are dealt over a shard's files by it, and it isn't written. Without it, if there are several files,
+    the rows are stored with numbers first."""
+    if files_per_shard > 1 and row is None:
+        placed, row = runtime.numbered(placed)
+    file = F.pmod(F.xxhash64(placed[row]), F.lit(files_per_shard)) if row else F.lit(0)
+    dealt = placed.withColumn("_file", file).repartition("shard_id", "_file")
+    dealt.drop("_file", *([row] if row else [])).write.partitionBy("shard_id").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

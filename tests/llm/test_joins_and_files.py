@@ -156,6 +156,41 @@ def test_placement(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 501
 
 
+def test_equal_rows_are_spread_and_dealt(spark, tmp_path):
+    docs = spark.range(20_000, numPartitions=4).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
+    names = [f"s{k}" for k in range(16)]
+    placed = sharding.place(docs, ["doc_id"], names, 101)
+    assert placed.select("shard_id").distinct().count() == 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("64", "false"), strict=True):  # so that small files aren't merged
+        spark.conf.set(k, v)
+    sharding.write_shards(placed, str(tmp_path / "out"), 8)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    sizes = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(sizes) >= 6 and max(sizes) < 8_000 and sum(sizes) == 20_000 and set(spark.read.parquet(str(tmp_path / "out")).columns) == {"doc_id", "text", "slot", "shard", "shard_id"}
+    spread = sharding.place(docs, ["doc_id"], names, 101, spread=8)
+    counts = [r["count"] for r in spread.groupBy("shard_id").count().collect()]
+    assert spread.columns == placed.columns and sum(counts) == 20_000 and len(counts) > 3
+
+
+def test_counts_beyond_32_bits_and_more_buckets_for_more_input():
+    total = np.array([2**32 - 2, 0], np.uint64)
+    jaccard_join.add_counts(total, np.array([0] * 5 + [1]))
+    assert total.tolist() == [2**32 + 3, 1]
+    tb = 1 << 16
+    assert [jaccard_join.bucket_bits(x) for x in (0, tb - 1, tb, 2 * tb, 100 * tb, 10**9)] == [30, 30, 31, 32, 37, 38]
+
+
+def test_links_are_the_same_with_more_buckets(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k // 4 * 7 + j) % 50}" for j in range(30)) + f" x{k % 4}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(map(tuple, jaccard_join.similar(docs, 3, 7, 10, least_heavy=3, salted=8).collect()))
+    before = found()
+    monkeypatch.setattr(jaccard_join, "bucket_bits", lambda shares: 33)
+    assert found() == before and len({r[2] for r in before}) < 60
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     body = "<html>" + "é" * 500 + "</html>"
