@@ -131,3 +131,13 @@ def resolve_group(types: list[int], groups: dict[str, list[int]]) -> str | None:
     if len(chosen) == 1:
         return f"type:{types[0]}"
     return next((f"group:{g}" for g, ts in groups.items() if set(ts) == chosen), None)
+
+
+def resolved(types: Column, groups: dict[str, list[int]]) -> Column:
+    """``resolve_group`` for a column of arrays."""
+    chosen = F.array_sort(F.array_distinct(types))
+    same = lambda ts: chosen == F.array(*[F.lit(t) for t in sorted(set(ts))])
+    out = F.when(same([t for g in groups.values() for t in g]), "all").when(F.size(chosen) == 1, F.concat(F.lit("type:"), chosen[0].cast("string")))
+    for name, ts in groups.items():
+        out = out.when(same(ts), f"group:{name}")
+    return out

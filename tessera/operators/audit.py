@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import quantiles
+
 
 def share_of_total(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
     """key, n and pct of all rows. The window runs over the counts."""
@@ -18,25 +20,28 @@ def flag_percent(pred: Column, digits: int = 2) -> Column:
 
 
 def profile_columns(df: DataFrame, placeholders: tuple[str, ...] = ("(null)", "UNKNOWN", "")) -> DataFrame:
-    """column, null_pct, placeholder_pct and n_distinct of every column, in one scan."""
-    aggs = []
+    """column, null_pct, placeholder_pct and n_distinct of every column. For a stored table: each column is read by itself.
+
+    The values of a column are counted first, map-side and then by value, and all figures follow from these counts. So
+    no row is copied for each column, and what is shuffled is a column's distinct values, not its rows."""
+    out = None
     for c in df.columns:
-        text = df[c].cast("string")
-        aggs += [
-            flag_percent(df[c].isNull(), 3).alias(f"{c}|a"),
-            F.coalesce(flag_percent(F.trim(text).isin(*placeholders), 3), F.lit(0.0)).alias(f"{c}|b"),
-            F.count_distinct(text).alias(f"{c}|c"),
-        ]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}|a`").alias("null_pct"), F.col(f"`{c}|b`").alias("placeholder_pct"), F.col(f"`{c}|c`").alias("n_distinct")) for c in df.columns])
-    return one.select(F.inline(rows))
+        counts = df.groupBy(df[c].cast("string").alias("v")).agg(F.count("*").alias("k"))
+        known = F.sum(F.when(F.col("v").isNotNull(), F.col("k")))
+        share = lambda n, of: F.round(F.try_divide(100.0 * n, of), 3)
+        one = counts.agg(
+            F.lit(c).alias("column"), share(F.sum(F.when(F.col("v").isNull(), F.col("k")).otherwise(0)), F.sum("k")).alias("null_pct"),
+            F.coalesce(share(F.sum(F.when(F.trim("v").isin(*placeholders), F.col("k")).otherwise(0)), known), F.lit(0.0)).alias("placeholder_pct"), F.count("v").alias("n_distinct"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def lag_quantiles(df: DataFrame, start: Column, end: Column, probs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Interpolated quantiles of whole days from start to end (midnights crossed)."""
-    days = df.select(F.datediff(end, start).alias("d"))
-    q = days.agg(F.percentile("d", F.array(*[F.lit(p) for p in probs])).alias("q"), F.count("d").alias("n"))
-    return q.select("n", *[F.round(F.col("q")[i], 4).alias(f"p{round(p * 100)}") for i, p in enumerate(probs)])
+    """Interpolated quantiles of whole days from start to end (midnights crossed): one row."""
+    found = quantiles(df, [], F.datediff(end, start), probs)
+    one = found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.round(F.max(F.when(F.col("p") == p, F.col("v"))), 4).alias(f"p{round(p * 100)}") for p in probs])
+    return one
 
 
 def stack_sizes(df: DataFrame, keys: list[Column], steps: tuple[int, ...] = (2, 16, 100)) -> DataFrame:
@@ -78,8 +83,14 @@ def labels_per_code(df: DataFrame, code: str, label: str, least: int = 2) -> Dat
 
 
 def distinct_places(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Distinct pairs (nulls count as a value), latitudes and longitudes."""
-    return df.agg(F.count_distinct(F.struct(lat, lon)).alias("points"), F.count_distinct(lat).alias("lats"), F.count_distinct(lon).alias("lons"))
+    """Distinct pairs (nulls count as a value), latitudes and longitudes. Pairs are made distinct first, and the coordinates
+    counted from those."""
+    pairs = df.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    one = count(pairs, "points")
+    for c, name in (("lat", "lats"), ("lon", "lons")):
+        one = one.crossJoin(F.broadcast(count(pairs.select(c).where(f"{c} IS NOT NULL").distinct(), name)))  # one row
+    return one
 
 
 def run_summary(df: DataFrame, by: dict[str, Column]) -> DataFrame:

@@ -8,6 +8,8 @@ holds the values of a group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tessera.sources import paths
 
 BINS = 1024
 #: A range of so many rows or fewer is read off; ranges of fewer than a task's rows need no further round.
-FEW = 50_000
+FEW = 200_000
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -25,10 +27,6 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _numbered(keys: list) -> dict[str, Column]:
-    return {f"_k{i}": k for i, k in enumerate(keys)}
-
-
 def _matched(names: list[str], other: str) -> Column:
     """Groups are equal where nulls count as a group of their own."""
     out = F.lit(True)
@@ -97,3 +95,14 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: tuple[float,
     both = asked.join(low, _matched(names, "_a") & (F.col("below") == F.col("_arank"))).join(high, _matched(names, "_b") & (F.col("above") == F.col("_brank")))
     a, b = F.col("_av").cast("double"), F.col("_bv").cast("double")
     return both.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "p", "n", (a + (b - a) * (F.col("at") - F.col("below"))).alias("v"))
+
+
+def values_at(df: DataFrame, value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: for each name the value at a rank (from 0) that follows from the number of values; null if there are none."""
+    rows = df.select(value.alias("v")).where("v IS NOT NULL")
+    ends = _stored(rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0"))
+    each = F.array(*[F.struct(F.lit(k).alias("name"), rank(F.col("n")).cast("bigint").alias("rank")) for k, rank in ranks.items()])
+    asked = ends.select("lo", "hi", "n", F.inline(each))
+    wanted = asked.select("rank", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")).distinct()
+    found = asked.select("name", "rank").join(select_ranks(rows, wanted, []), "rank")
+    return found.agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import values_at
+
 
 def dense_series(counts: DataFrame, first: int, last: int, keys: list[str] = ()) -> DataFrame:
     """counts (keys..., m, n) with a row for every month, 0 where there is none."""
@@ -96,12 +98,9 @@ def share_below(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
 
 
 def medians(df: DataFrame, value: str) -> DataFrame:
-    """The upper middle value, and the interpolated median."""
-    rows = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy().orderBy(value))  # a row a distinct value
-    cut = rows.withColumns({"upto": upto, "of": F.sum("k").over(Window.partitionBy())})
-    upper = F.min(F.when(F.col("upto") >= F.floor(F.col("of") / 2) + 1, F.col(value)))
-    return cut.agg(upper.alias("upper_median"), F.percentile(value, F.lit(0.5), F.col("k")).alias("median"))
+    """The upper middle value, and the interpolated median: one row."""
+    at = values_at(df, F.col(value), {"lower": lambda n: F.floor((n - 1) / 2), "upper_median": lambda n: F.floor(n / 2)})
+    return at.select("upper_median", ((F.col("lower").cast("double") + F.col("upper_median")) / 2).alias("median"))
 
 
 def busiest_days(facts: DataFrame, day: str, top: int = 5) -> DataFrame:

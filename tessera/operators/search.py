@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.grid import point_along
+from tessera.functions.grid import let, point_along
 from tessera.functions.names import HYPHEN_BASE, block_of, match_words, street_key, strip_accents
 
 # How boroughs are written at the end of a search, and their order in lists.
@@ -52,21 +52,81 @@ def route(raw: str) -> Route:
     return Route("text", text, borough, precinct=int(bare[1]) if bare else 0)  # "75th": a street, and the precinct
 
 
-def match_streets(streets: DataFrame, typed: str, borough: int = 0, limit: int | None = None) -> DataFrame:
-    """streets (id, key, aliases: array of keys, boro) that match, best first: alias, exact, extra, len beside them.
+def routes(typed: Column) -> Column:
+    """``route`` for a column of searches: struct(rule, text, borough, parts, precinct)."""
+    whole = F.regexp_replace(F.regexp_replace(F.trim(typed), ",", " "), r"\s+", " ")
 
-    A name's own key comes before its aliases', then more exact words, fewer further words, shorter keys, boroughs and ids."""
-    one = streets.sparkSession.range(1).select(F.split(street_key(F.lit(typed)), " ").alias("_typed"))
-    rows = streets.where(F.col("boro") == borough) if borough else streets
-    rows = rows.crossJoin(F.broadcast(one))  # one row
-    own = match_words(F.col("_typed"), F.split("key", " "))
-    others = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: match_words(F.col("_typed"), F.split(a, " "))), lambda s: s.isNotNull())
+    def named(text: Column) -> Column:
+        """The text without the first borough, in their order, that ends it behind something else."""
+        found = [(F.regexp_instr(text, F.lit(f"(?i){pattern}")), b) for pattern, b in BOROUGHS]
+        hits = [F.when(at > 1, F.struct(F.rtrim(F.substring(text, F.lit(1), at - 1)).alias("text"), F.lit(b).alias("borough"))) for at, b in found]
+        return F.coalesce(*hits, F.struct(text.alias("text"), F.lit(0).alias("borough")))
+
+    def answered(at: Column) -> Column:
+        text, none = at["text"], F.array().cast("array<string>")
+        parts = F.filter(F.transform(F.split(text, f"(?i){CORNER}"), lambda x: F.trim(x)), lambda x: x != "")
+        number = F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){x}", 1), F.lit("")) for x in PRECINCT])
+        bare, ending = (F.nullif(F.regexp_extract(text, f"(?i){BARE_NUMBER}", k), F.lit("")) for k in (1, 2))
+        precinct = F.coalesce(number, F.when(ending.isNull(), bare))
+        row = lambda rule, parts, n: F.struct(F.lit(rule).alias("rule"), text.alias("text"), at["borough"].alias("borough"), parts.alias("parts"), F.coalesce(n.cast("int"), F.lit(0)).alias("precinct"))
+        address = F.array(*[F.regexp_extract(text, f"(?i){ADDRESS}", k) for k in (1, 2)])
+        out = F.when((F.size(parts) == 2) & ~parts[0].rlike("^[0-9]+$"), row("corner", parts, F.lit(None))).when(precinct.isNotNull(), row("precinct", F.array(precinct), precinct))
+        return out.when(address[0] != "", row("address", address, F.lit(None))).otherwise(row("text", none, bare))
+
+    return let(whole, lambda t: let(named(t), answered))
+
+
+def _scored(rows: DataFrame, typed: str, keep: list[str]) -> DataFrame:
+    """keep..., alias, exact, extra, len of rows (key, aliases) that match the array of typed words."""
+    own = match_words(F.col(typed), F.split("key", " "))
+    others = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: match_words(F.col(typed), F.split(a, " "))), lambda s: s.isNotNull())
     most = F.array_max(F.transform(others, lambda s: s["exact"]))
     best = F.get(F.filter(others, lambda s: s["exact"] == most), F.lit(0))  # of equal aliases the first
     scored = rows.withColumn("_own", own).withColumn("_s", F.coalesce("_own", best)).where("_s IS NOT NULL")
-    out = scored.select(*streets.columns, F.col("_own").isNull().cast("int").alias("alias"), "_s.exact", "_s.extra", "_s.len")
-    order = ["alias", F.desc("exact"), "extra", "len", "boro", "id"]
-    return out.orderBy(*order).limit(limit) if limit else out
+    return scored.select(*keep, F.col("_own").isNull().cast("int").alias("alias"), "_s.exact", "_s.extra", "_s.len")
+
+
+def match_streets(streets: DataFrame, typed: str, borough: int = 0, limit: int | None = None) -> DataFrame:
+    """streets (id, key, aliases: array of keys, boro) that match, best first: alias, exact, extra, len beside them."""
+    one = streets.sparkSession.range(1).select(F.split(street_key(F.lit(typed)), " ").alias("_typed"))
+    rows = streets.where(F.col("boro") == borough) if borough else streets
+    out = _scored(rows.crossJoin(F.broadcast(one)), "_typed", streets.columns)  # one row
+    out = out.orderBy(*_best())
+    return out.limit(limit) if limit else out
+
+
+def _best() -> list:
+    """A name's own key comes before its aliases', then more exact words, fewer further words, shorter keys, boroughs and ids."""
+    return ["alias", F.desc("exact"), "extra", "len", "boro", "id"]
+
+
+#: Code points of a word that the index has prefixes of; longer typed words meet the words that share so many.
+PREFIX = 8
+
+
+def prefix_index(streets: DataFrame) -> DataFrame:
+    """prefix, id: the streets that have a word, in their own key or an alias, which starts so. To be stored in order of prefix."""
+    keys = F.concat(F.array("key"), F.coalesce("aliases", F.array().cast("array<string>")))
+    words = streets.select("id", F.explode(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.split(k, " "))))).alias("_w")).where("_w <> ''")
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.length("_w"))), lambda n: F.substring("_w", F.lit(1), n))
+    return words.select("id", F.explode(starts).alias("prefix")).distinct().select("prefix", "id")
+
+
+def match_many(searches: DataFrame, streets: DataFrame, index: DataFrame, search: str = "search", typed: str = "typed") -> DataFrame:
+    """searches (search, typed), each with the streets that match: search, the streets' columns, alias, exact, extra, len and rank
+    (from 1, best first).
+
+    Each search meets the streets through the rarest of its words in the index (``prefix_index``), by an equi-join; the matcher
+    looks at those alone. Every typed word must start a word of the street, so no match is lost."""
+    words = searches.select(search, F.split(street_key(F.col(typed)), " ").alias("_typed"))
+    probes = words.select(search, F.explode(F.array_distinct(F.transform("_typed", lambda w: F.left(w, F.lit(PREFIX))))).alias("prefix")).where("prefix <> ''")
+    wanted = probes.select("prefix").distinct()
+    common = index.join(wanted, "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("_n"))
+    rare = probes.join(common, "prefix", "left").groupBy(search).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "prefix")).alias("_p"))
+    rare = rare.where("_p.n > 0").select(search, "_p.prefix")
+    met = rare.join(index, "prefix").join(words, search).join(streets, "id")
+    scored = _scored(met, "_typed", [search, *streets.columns])
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(search).orderBy(*_best())))
 
 
 def find_corners(corners: DataFrame, first: DataFrame, second: DataFrame, limit: int = 6) -> DataFrame:
@@ -83,21 +143,32 @@ def side_fraction(lo: Column, hi: Column, n: Column) -> Column:
     return F.when(fits, F.when(lo == hi, 0.5).otherwise(F.try_divide((n - lo).cast("double"), hi - lo)))
 
 
-def _hundreds(lo: str, hi: str) -> Column:
-    """The hundreds that a side's numbers reach over, none for a side without numbers."""
-    low, high = F.least(lo, hi), F.greatest(lo, hi)
-    return F.when(low > 0, F.sequence(F.floor(low / 100), F.floor(high / 100))).otherwise(F.array().cast("array<bigint>"))
+#: Levels of numbers: blocks of 100, 1,000, ... numbers, up to one for all.
+LEVELS = tuple(10**k for k in range(2, 11))
+
+
+def _blocks(lo: str, hi: str) -> Column:
+    """The blocks (level, block) that a side's numbers reach over, on the finest level where those are 11 at most: a range of any
+    width has few. None for a side without numbers."""
+    low, high = F.least(lo, hi).cast("bigint"), F.greatest(lo, hi).cast("bigint")
+    out = F.array().cast("array<struct<level: bigint, block: bigint>>")
+    for size in reversed(LEVELS):
+        blocks = F.transform(F.sequence(F.floor(low / size), F.floor(high / size)), lambda b: F.struct(F.lit(size).cast("bigint").alias("level"), b.alias("block")))  # noqa: B023
+        out = F.when((low > 0) & (high - low <= 10 * size), blocks).otherwise(out)
+    return out
 
 
 def locate_addresses(wanted: DataFrame, segments: DataFrame) -> DataFrame:
     """wanted (street, number) on segments (seg, street, lf, lt, rf, rt): street, number, seg and t of the first that fits.
 
-    The left side is tried before the right. Streets meet by street and hundred of the number, so a long street is no hot
-    key; ranges and parity are tested in the join."""
+    The left side is tried before the right. Numbers meet segments by street and block of numbers, so a long street is no hot
+    key; a segment whose numbers reach far is found by larger blocks. Numbers look in the levels that the segments use."""
     n = F.col("number")
     t = F.coalesce(side_fraction(F.col("lf"), F.col("lt"), n), side_fraction(F.col("rf"), F.col("rt"), n))
-    by_hundred = segments.withColumn("_h", F.explode(F.array_distinct(F.concat(_hundreds("lf", "lt"), _hundreds("rf", "rt")))))
-    found = wanted.withColumn("_h", F.floor(n / 100)).join(by_hundred, ["street", "_h"]).withColumn("t", t).where("t IS NOT NULL")
+    by_block = segments.withColumn("_b", F.explode(F.array_distinct(F.concat(_blocks("lf", "lt"), _blocks("rf", "rt")))))
+    levels = F.array(*[F.lit(x).cast("bigint") for x in LEVELS])
+    asked = wanted.withColumn("_b", F.explode(F.transform(levels, lambda size: F.struct(size.alias("level"), F.floor(n / size).alias("block")))))
+    found = asked.join(by_block, ["street", "_b"]).withColumn("t", t).where("t IS NOT NULL")
     return found.groupBy("street", "number").agg(F.min(F.struct("seg", "t")).alias("s")).select("street", "number", "s.seg", "s.t")
 
 

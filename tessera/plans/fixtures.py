@@ -74,6 +74,34 @@ def polys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(n.alias("code"), F.array(ring).alias("rings"))
 
 
+#: Places in the order of customers, four to a place; a customer's line leads from its place to the next one.
+SPOTS = """spots AS (SELECT c_custkey AS seg, c_nationkey AS street, c_custkey // 4 AS k FROM customer),
+named AS (SELECT DISTINCT k, street FROM spots),
+met AS (SELECT a.street AS a, b.street AS b, a.k FROM named a JOIN named b ON a.k = b.k AND a.street < b.street)"""
+LAT_OF, LON_OF = "(40.5 + ({k}) % 512 / 1024.0)", "(-74.25 + ({k}) // 512 % 512 / 1024.0)"
+X_OF, Y_OF = (f"CAST(round_even({c} * 100000, 0) AS INT)" for c in (LON_OF, LAT_OF))
+
+
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    """seg, street, k and the ends of a customer's line: lat0, lon0, lat1, lon1."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("seg"), F.col("c_nationkey").alias("street"), F.expr("c_custkey DIV 4").alias("k"))
+    place = lambda k: (40.5 + k % 512 / 1024.0, -74.25 + F.floor(k / 512) % 512 / 1024.0)
+    (lat0, lon0), (lat1, lon1) = place(F.col("k")), place(F.col("k") + 1)
+    return rows.withColumns({"lat0": lat0, "lon0": lon0, "lat1": lat1, "lon1": lon1})
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' lines as segments of a network: seg, street, points, from_level, to_level."""
+    at = lambda k: F.struct(F.col(f"lat{k}").alias("lat"), F.col(f"lon{k}").alias("lon"))
+    level = (F.col("seg") % 2).cast("int")
+    return spots(spark, d).select("seg", "street", F.array(at(0), at(1)).alias("points"), level.alias("from_level"), level.alias("to_level"))
+
+
+def corners(spark: SparkSession, d: str) -> DataFrame:
+    """Places at which customers of several nations are: lat, lon, streets."""
+    return spots(spark, d).groupBy(F.col("lat0").alias("lat"), F.col("lon0").alias("lon")).agg(F.sort_array(F.collect_set("street")).alias("streets")).where("size(streets) > 1")
+
+
 def lattice(spark: SparkSession) -> DataFrame:
     """Streets on a lattice: 16 from west to east (0 to 15), 16 from south to north (16 to 31); one segment each."""
     k = F.col("k").cast("double") / 32

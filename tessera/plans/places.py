@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid, names
 from tessera.operators import circles, clean, reconcile, report, search, spatial
-from tessera.plans.fixtures import LATTICE, WITH, facts, lattice, lattice_nodes, locs, polys, table
+from tessera.plans.fixtures import LAT_OF, LATTICE, LON_OF, SPOTS, WITH, X_OF, Y_OF, corners, facts, lattice, lattice_nodes, lines, locs, polys, spots, table
 from tessera.plans.registry import query
 from tessera.sources import files, paths
 
@@ -152,25 +152,16 @@ def corner_assign(spark: SparkSession, d: str) -> DataFrame:
     return _snapped(spark, d).join(met, "loc_id", "left_semi").agg(F.count_distinct("loc_id").alias("at_corner"), F.count("*").alias("assignments"))
 
 
-@query(f"SELECT CAST(i AS INT) AS a, CAST(j + {LATTICE} AS INT) AS b, 40.5 + i / 32.0 AS lat, -74.25 + j / 32.0 AS lon FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)")
+@query(f"WITH {SPOTS} SELECT a, b, {LAT_OF.format(k='k')} AS lat, {LON_OF.format(k='k')} AS lon FROM met")
 def corner_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.corner_pairs(lattice_nodes(spark))
+    return spatial.corner_pairs(corners(spark, d))
 
 
-def _pieces(spark: SparkSession) -> DataFrame:
-    """The lattice in blocks: segments that end where streets cross."""
-    step = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
-    k = spark.range(LATTICE).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(LATTICE - 2))))
-    at = lambda c: F.col(c).cast("double") / 32
-    across = k.select(F.col("i").alias("street"), (F.col("i") * 100 + F.col("j")).alias("seg"), F.array(step(40.5 + at("i"), -74.25 + at("j")), step(40.5 + at("i"), -74.25 + (at("j") + 1 / 32))).alias("points"))
-    along = k.select((F.col("i") + LATTICE).alias("street"), (F.col("i") * 100 + F.col("j") + 10_000).alias("seg"), F.array(step(40.5 + at("j"), -74.25 + at("i")), step(40.5 + (at("j") + 1 / 32), -74.25 + at("i"))).alias("points"))
-    return across.unionByName(along).withColumns({"from_level": F.lit(0), "to_level": F.lit(0)})
-
-
-@query(f"SELECT count(*) AS nodes, CAST(sum(2) AS BIGINT) AS meetings, min(40.5 + i / 32.0) AS south, max(-74.25 + j / 32.0) AS east FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)")
+@query(f"""WITH {SPOTS}, ends AS (SELECT k, seg % 2 AS level, street FROM spots UNION ALL SELECT k + 1, seg % 2, street FROM spots)
+SELECT {LAT_OF.format(k='k')} AS lat, {LON_OF.format(k='k')} AS lon, CAST(level AS INT) AS level, string_agg(DISTINCT CAST(street AS VARCHAR), ',' ORDER BY CAST(street AS VARCHAR)) AS streets FROM ends GROUP BY k, level HAVING count(DISTINCT street) >= 2""")
 def corner_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = spatial.network_nodes(_pieces(spark))
-    return nodes.agg(F.count("*").alias("nodes"), F.sum(F.size("streets")).alias("meetings"), F.min("lat").alias("south"), F.max("lon").alias("east"))
+    """Ends of customers' lines at which lines of several nations meet on one level."""
+    return spatial.network_nodes(lines(spark, d)).withColumn("streets", F.array_join(F.array_sort(F.col("streets").cast("array<string>")), ","))
 
 
 # A third of the segments lie at 45 degrees to the others.
@@ -266,20 +257,26 @@ def spot_title(spark: SparkSession, d: str) -> DataFrame:
     return by.select("loc_id", report.title(F.col("streets"), F.col("loc_id") % 9 * 100, F.col("one").cast("string")).alias("title"))
 
 
-@query(f"WITH a AS (SELECT k AS id, k AS rank FROM (SELECT unnest(range(4)) AS k)), b AS (SELECT k + {LATTICE} AS id, 3 - k AS rank FROM (SELECT unnest(range(4)) AS k)) SELECT CAST(a.id AS INT) AS a, CAST(b.id AS INT) AS b, CAST(a.rank * 100 + b.rank AS INT) AS rank FROM a, b ORDER BY rank LIMIT 6")
+def _corner_xy(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.corner_pairs(corners(spark, d)).select("a", "b", grid.quantize(F.col("lon")).alias("x"), grid.quantize(F.col("lat")).alias("y"))
+
+
+@query(f"""WITH {SPOTS}, t AS (SELECT a, b, k FROM met UNION ALL SELECT b, a, k FROM met), n AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation),
+r AS (SELECT {X_OF.format(k='k')} AS x, {Y_OF.format(k='k')} AS y, a, b, a * 100 + b AS rank FROM t JOIN n f ON t.a = f.id AND f.r = 1 JOIN n s ON t.b = s.id AND s.r = 2)
+SELECT x, y, rank, a, b FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY rank, a, b) AS rn FROM r) WHERE rn = 1 ORDER BY rank, x, y LIMIT 6""")
 def corner_search(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spatial.corner_pairs(lattice_nodes(spark)).select("a", "b", grid.quantize(F.col("lon")).alias("x"), grid.quantize(F.col("lat")).alias("y"))
-    k = spark.range(4).select(F.col("id").cast("int").alias("k"))
-    first, second = k.select(F.col("k").alias("id"), F.col("k").alias("rank")), k.select((F.col("k") + LATTICE).alias("id"), (3 - F.col("k")).alias("rank"))
-    return search.find_corners(pairs, first, second).select("a", "b", "rank")
+    """The best corners of a nation of one region with one of another, as a search for two streets gives them."""
+    of = lambda region: table(spark, d, "nation").where(F.col("n_regionkey") == region).select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("rank"))
+    return search.find_corners(_corner_xy(spark, d), of(1), of(2))
 
 
-@query("WITH n AS (SELECT c_nationkey AS boro, c_mktsegment AS kind, c_custkey AS id FROM customer) SELECT id, round(-74.25 + (id % 100 / 100.0) * 0.3, 6) AS x, round(40.5 + (id % 100 / 100.0) * 0.4, 6) AS y FROM n")
+@query(f"""WITH {SPOTS}, e AS (SELECT seg, {X_OF.format(k='k')} AS x0, {Y_OF.format(k='k')} AS y0, {X_OF.format(k='k + 1')} AS x1, {Y_OF.format(k='k + 1')} AS y1 FROM spots)
+SELECT seg AS id, round((x0 + (x1 - x0) * (seg % 100 / 100.0)) / 100000.0, 9) AS x, round((y0 + (y1 - y0) * (seg % 100 / 100.0)) / 100000.0, 9) AS y FROM e""")
 def point_along_line(spark: SparkSession, d: str) -> DataFrame:
-    flat = F.array(F.lit(-7425000), F.lit(4050000), F.lit(-7410000), F.lit(4070000), F.lit(-7395000), F.lit(4090000))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), grid.decode_xy(flat).alias("points"))
-    at = rows.withColumn("p", grid.point_along(F.col("points"), F.col("id") % 100 / 100.0))
-    return at.select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    """A point on each customer's own line, which is kept in units of 1e-5 degree."""
+    flat = F.array(*[grid.quantize(F.col(c)) for c in ("lon0", "lat0", "lon1", "lat1")])
+    at = spots(spark, d).withColumn("p", grid.point_along(grid.decode_xy(flat), F.col("seg") % 100 / 100.0))
+    return at.select(F.col("seg").alias("id"), F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
 
 
 @query(f"WITH {_SEGMENTS} SELECT street, seg FROM s WHERE (lf + lt) // 2 // 100 * 100 = 300")
@@ -287,10 +284,11 @@ def block_segments(spark: SparkSession, d: str) -> DataFrame:
     return search.block_segments(_segments(spark, d), F.lit(300)).select("street", "seg")
 
 
-@query(f"WITH c AS (SELECT i AS a, j + {LATTICE} AS b, CAST(round_even((-74.25 + j / 32.0) * 100000, 0) AS INT) AS x, CAST(round_even((40.5 + i / 32.0) * 100000, 0) AS INT) AS y FROM (SELECT unnest(range({LATTICE})) AS i), (SELECT unnest(range({LATTICE})) AS j)) SELECT CAST(a AS INT) AS street, CAST(x + 4 AS INT) AS x, CAST(y - 4 AS INT) AS y, CAST(b AS INT) AS other FROM c WHERE a = 5")
+@query(f"""WITH {SPOTS}, e AS (SELECT DISTINCT a AS street, k FROM met), o AS (SELECT a AS street, b AS other, k FROM met UNION SELECT b, a, k FROM met)
+SELECT e.street, {X_OF.format(k='e.k')} + 4 AS x, {Y_OF.format(k='e.k')} - 4 AS y, other FROM e JOIN o ON e.street = o.street AND e.k = o.k""")
 def cross_streets(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spatial.corner_pairs(lattice_nodes(spark)).select("a", "b", grid.quantize(F.col("lon")).alias("x"), grid.quantize(F.col("lat")).alias("y"))
-    ends = pairs.where("a = 5").select(F.col("a").alias("street"), (F.col("x") + 4).alias("x"), (F.col("y") - 4).alias("y"))
+    pairs = _corner_xy(spark, d)
+    ends = pairs.select(F.col("a").alias("street"), (F.col("x") + 4).alias("x"), (F.col("y") - 4).alias("y")).distinct()
     return search.cross_streets(ends, pairs)
 
 
@@ -309,14 +307,32 @@ def searchable(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(clean.searchable(F.col("rw"), F.col("name"), F.col("boro"))).select("p_partkey", "name")
 
 
-_SEARCHES = ("350 5th ave, brooklyn", "5th ave & 42nd st", "75th precinct", "75", "75th", "broadway", "37-12 80th st queens")
+_SEARCHES = """q AS (SELECT p_partkey, p_partkey % 6 AS k, p_partkey % 100 AS h, p_name AS name, p_brand AS brand, string_split(p_name, ' ') AS w FROM part)"""
 
 
-@query("""SELECT * FROM (VALUES ('350 5th ave, brooklyn', 'address', 3, 0, '350|5th ave'), ('5th ave & 42nd st', 'corner', 0, 0, '5th ave|42nd st'), ('75th precinct', 'precinct', 0, 75, '75'), ('75', 'precinct', 0, 75, '75'),
-  ('75th', 'text', 0, 75, ''), ('broadway', 'text', 0, 0, ''), ('37-12 80th st queens', 'address', 4, 0, '37-12|80th st')) AS t(typed, rule, borough, precinct, parts)""")
+@query(f"""WITH {_SEARCHES} SELECT p_partkey, CASE k WHEN 0 THEN 'address' WHEN 1 THEN 'corner' WHEN 2 THEN 'precinct' ELSE 'text' END AS rule, CAST(CASE k WHEN 0 THEN 3 WHEN 4 THEN 4 ELSE 0 END AS INT) AS borough,
+  CASE k WHEN 0 THEN h || ' ' || name || ' st' WHEN 1 THEN name || ' & ' || brand WHEN 2 THEN 'Precinct ' || h WHEN 3 THEN h || 'th' ELSE name END AS text,
+  CASE k WHEN 0 THEN h || '|' || name || ' st' WHEN 1 THEN name || '|' || brand WHEN 2 THEN h || '' ELSE '' END AS parts, CAST(CASE WHEN k IN (2, 3) THEN h ELSE 0 END AS INT) AS precinct FROM q""")
 def search_routes(spark: SparkSession, d: str) -> DataFrame:
-    routes = [(t, search.route(t)) for t in _SEARCHES]
-    return spark.createDataFrame([(t, r.rule, r.borough, r.precinct, "|".join(r.parts)) for t, r in routes], "typed string, rule string, borough int, precinct int, parts string")
+    """Which rule answers each of many searches, written with the names of parts."""
+    k, h, name = F.col("p_partkey") % 6, (F.col("p_partkey") % 100).cast("string"), F.col("p_name")
+    typed = F.when(k == 0, F.concat(h, F.lit(" "), name, F.lit(" st, brooklyn"))).when(k == 1, F.concat(name, F.lit("  & "), F.col("p_brand"))).when(k == 2, F.concat(F.lit("Precinct "), h))
+    typed = typed.when(k == 3, F.concat(h, F.lit("th"))).when(k == 4, F.concat(name, F.lit(", Queens"))).otherwise(F.concat(F.lit("  "), name, F.lit(" ")))
+    found = table(spark, d, "part").select("p_partkey", search.routes(typed).alias("r"))
+    return found.select("p_partkey", "r.rule", "r.borough", "r.text", F.array_join("r.parts", "|").alias("parts"), "r.precinct")
+
+
+@query("""WITH s AS (SELECT DISTINCT p_name[:length(p_name) - 2] AS typed, string_split(p_name, ' ') AS t FROM part), k AS (SELECT p_partkey AS id, upper(p_name) AS key, string_split(upper(p_name), ' ') AS w, p_size AS boro FROM part),
+m AS (SELECT typed, id, key, boro, 1 AS exact, 0 AS extra, length(key) AS len FROM s JOIN k ON len(w) = 2 AND ((w[1] = upper(t[1]) AND starts_with(w[2], upper(t[2][:length(t[2]) - 2]))) OR (w[2] = upper(t[1]) AND starts_with(w[1], upper(t[2][:length(t[2]) - 2])))) WHERE len(t) = 2 AND length(t[2]) > 2)
+SELECT typed, id, CAST(exact AS INT) AS exact, CAST(extra AS INT) AS extra, CAST(row_number() OVER (PARTITION BY typed ORDER BY exact DESC, extra, len, boro, id) AS INT) AS rank FROM m""")
+def search_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Many searches at once, all but the last two letters of names: each meets the names through the index of prefixes."""
+    part = table(spark, d, "part")
+    names_ = part.select(F.col("p_partkey").alias("id"), names.street_key(F.col("p_name")).alias("key"), F.array().cast("array<string>").alias("aliases"), F.col("p_size").alias("boro"))
+    searches = part.select(F.substring("p_name", F.lit(1), F.length("p_name") - 2).alias("typed")).distinct().withColumn("search", F.col("typed"))
+    path = paths.fresh_path(spark, "prefixes")
+    files.write_cube(search.prefix_index(names_), path, ["prefix", "id"])
+    return search.match_many(searches, names_, spark.read.parquet(path)).select(F.col("search").alias("typed"), "id", "exact", "extra", "rank")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS code, lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS sort_key, 1 AS parts, 4 AS corners, CAST(-74.25 + n_nationkey % 5 * 0.09375 AS DOUBLE) AS west, CAST(40.5 + floor(n_nationkey / 5.0) * 0.09375 AS DOUBLE) AS south FROM nation")
@@ -329,10 +345,19 @@ def shapes_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS street, 2 AS points, -74.25::DOUBLE AS x, 40.5 + k / 32.0 AS y FROM (SELECT unnest(range({LATTICE})) AS k) UNION ALL SELECT CAST(k + {LATTICE} AS VARCHAR), 2, -74.25 + k / 32.0, 40.5 FROM (SELECT unnest(range({LATTICE})) AS k)")
+@query(f"WITH {SPOTS} SELECT CAST(seg AS VARCHAR) AS seg, 2 AS points, {LON_OF.format(k='k')} AS x, {LAT_OF.format(k='k')} AS y FROM spots")
 def segments_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Streets written as lines of GeoJSON and read back."""
+    """Customers' lines written as GeoJSON, a feature a line, and read back."""
     path = paths.fresh_path(spark, "segments")
-    line = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
-    files.write_text_table(lattice(spark).select(F.struct(F.col("street").cast("string").alias("street")).alias("properties"), line.alias("geometry")), path, "json")
-    return files.read_segments(spark, path).select(F.element_at("properties", "street").alias("street"), F.size("points").alias("points"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+    files.write_segments(lines(spark, d).withColumn("seg", F.col("seg").cast("string")), path, ["seg"])
+    return files.read_segments(spark, path).select(F.element_at("properties", "seg").alias("seg"), F.size("points").alias("points"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_type[:2] AS prefix, length(p_type) AS code FROM part UNION SELECT DISTINCT p_type[:4], 100 + length(p_type) FROM part WHERE p_partkey % 2 = 0),
+p AS (SELECT prefix, min(code) AS code FROM t GROUP BY 1), l AS (SELECT p_partkey, p_type, arg_max(code, length(prefix)) AS code FROM part LEFT JOIN p ON starts_with(p_type, prefix) GROUP BY 1, 2) SELECT p_partkey, p_type, CAST(code AS INT) AS code FROM l""")
+def prefix_join(spark: SparkSession, d: str) -> DataFrame:
+    """The code of the longest prefix of each type, from a dictionary that is a table."""
+    part = table(spark, d, "part")
+    short = part.select(F.left("p_type", F.lit(2)).alias("prefix"), F.length("p_type").alias("code"))
+    long = part.where("p_partkey % 2 = 0").select(F.left("p_type", F.lit(4)).alias("prefix"), (100 + F.length("p_type")).alias("code"))
+    return reconcile.by_prefixes(part.select("p_partkey", "p_type"), "p_type", short.unionByName(long).distinct())

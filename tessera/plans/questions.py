@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid
-from tessera.functions.period import Period, Span, baseline_of, comparison_of, days_of, fair_column, in_dates, in_months, months_of, resolve_group
+from tessera.functions.period import Period, Span, baseline_of, comparison_of, days_of, fair_column, in_dates, in_months, months_of, resolved
 from tessera.operators import audit, clean, cubes, report, spatial
-from tessera.plans.fixtures import BRIDGE, LATTICE, MONTHS, WITH, bridge, facts, lattice, lattice_nodes, locs, points_in, stored, table
+from tessera.operators.quantiles import values_at
+from tessera.plans.fixtures import BRIDGE, MONTHS, SPOTS, WITH, X_OF, Y_OF, bridge, corners, facts, lines, locs, points_in, stored, table
 from tessera.plans.registry import query
 
 SPAN = Span(1995, 2001, 1997)
@@ -306,11 +307,9 @@ _PICK = ", ".join(f"v[CAST(least(c - 1, floor({p} * c)) + 1 AS BIGINT)] AS b{i}"
 
 
 def _raw_breaks(n: DataFrame) -> DataFrame:
-    """Values at the class shares, one row. Ranks come from counts of equal values, so no list is gathered."""
-    values = n.where("n > 0").groupBy("n").agg(F.count("*").alias("k"))
-    upto = values.withColumns({"upto": F.sum("k").over(Window.partitionBy().orderBy("n")), "of": F.sum("k").over(Window.partitionBy())})
-    at = lambda p: F.least(F.col("of") - 1, F.floor(p * F.col("of")))
-    return upto.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("n"))).alias(f"b{i}") for i, p in enumerate(compare.HEX_SHARES)])
+    """Values at the class shares, one row."""
+    at = lambda p: lambda k: F.least(k - 1, F.floor(p * k))
+    return values_at(n.where("n > 0"), F.col("n"), {f"b{i}": at(p) for i, p in enumerate(compare.HEX_SHARES)})
 
 
 @query(f"{_BREAKS} SELECT {_PICK} FROM v")
@@ -364,7 +363,8 @@ _SPOT = f"{WITH}, {BRIDGE}, s AS (SELECT lat, lon FROM facts WHERE lt = 0 ORDER
 
 def _at_spot(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     """The rows of the place that someone picked, as ranges of float coordinates."""
-    at = facts(spark, d).where("lt = 0").orderBy("id").select("lat", "lon").first()
+    first = table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderkey").select(F.col("o_custkey").alias("loc_id")).limit(1)  # three narrow columns
+    at = locs(spark, d).join(F.broadcast(first), "loc_id").select("lat", "lon").first()
     return rows.where(clean.same_place(F.col("lat"), F.col("lon"), at.lat, at.lon)) if at else rows.limit(0)
 
 
@@ -455,17 +455,17 @@ def drawn_per_category(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "areas").groupBy("cat").agg(F.sum(F.when(F.col("lt") == 0, F.col("n")).otherwise(0)).cast("bigint").alias("drawn"))
 
 
-@query(f"SELECT CAST(5 AS INT) AS street, CAST(k AS INT) AS k, CAST(round_even((-74.25 + k * 0.5) * 100000, 0) AS INT) AS x, CAST(round_even((40.5 + 5 / 32.0) * 100000, 0) AS INT) AS y FROM (SELECT unnest(range(2)) AS k)")
+@query(f"WITH {SPOTS} SELECT seg, CAST(e AS INT) AS k, {X_OF.format(k='k + e')} AS x, {Y_OF.format(k='k + e')} AS y FROM spots, (SELECT unnest([0, 1]) AS e)")
 def street_geometry(spark: SparkSession, d: str) -> DataFrame:
-    """The shape of a street by its id, point by point."""
-    points = lattice(spark).where("street = 5").select("street", F.posexplode("points").alias("k", "p"))
-    return points.select("street", "k", grid.quantize(F.col("p.lon")).alias("x"), grid.quantize(F.col("p.lat")).alias("y"))
+    """The shape of each line, point by point, in units of 1e-5 degree."""
+    points = lines(spark, d).select("seg", F.posexplode("points").alias("k", "p"))
+    return points.select("seg", "k", grid.quantize(F.col("p.lon")).alias("x"), grid.quantize(F.col("p.lat")).alias("y"))
 
 
-@query(f"SELECT CAST(j + {LATTICE} AS INT) AS other, CAST(round_even((-74.25 + j / 32.0) * 100000, 0) AS INT) AS x, CAST(round_even((40.5 + 5 / 32.0) * 100000, 0) AS INT) AS y FROM (SELECT unnest(range({LATTICE})) AS j)")
+@query(f"WITH {SPOTS} SELECT CASE WHEN a = 5 THEN b ELSE a END AS other, {X_OF.format(k='k')} AS x, {Y_OF.format(k='k')} AS y FROM met WHERE a = 5 OR b = 5")
 def street_corners(spark: SparkSession, d: str) -> DataFrame:
     """The corners of a street by its id, each with the other street."""
-    pairs = spatial.corner_pairs(lattice_nodes(spark)).where("a = 5 OR b = 5")
+    pairs = spatial.corner_pairs(corners(spark, d)).where("a = 5 OR b = 5")
     return pairs.select(F.when(F.col("a") == 5, F.col("b")).otherwise(F.col("a")).alias("other"), grid.quantize(F.col("lon")).alias("x"), grid.quantize(F.col("lat")).alias("y"))
 
 
@@ -501,10 +501,11 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return report.group_split(cubes.counts(stored(spark, d, "areas"), ["cat"], NOW, where=F.col("pct") == 7), "cat", GROUPS)
 
 
-@query("SELECT * FROM (VALUES ('0,1,2,3,4', 'all'), ('3', 'type:3'), ('1,0', 'group:person'), ('0,2', NULL)) AS t(types, resolved)")
+@query(f"{WITH}, t AS (SELECT loc_id, list_sort(list(DISTINCT cat)) AS t FROM facts GROUP BY 1) SELECT loc_id, array_to_string(t, ',') AS types, CASE WHEN t = [0, 1, 2, 3, 4] THEN 'all' WHEN len(t) = 1 THEN 'type:' || t[1] WHEN t = [0, 1] THEN 'group:person' WHEN t = [3, 4] THEN 'group:other' END AS resolved FROM t")
 def resolved_types(spark: SparkSession, d: str) -> DataFrame:
-    asked = [[0, 1, 2, 3, 4], [3], [1, 0], [0, 2]]
-    return spark.createDataFrame([(",".join(map(str, t)), resolve_group(t, GROUPS)) for t in asked], "types string, resolved string")
+    """What the types that each place has are called together."""
+    types = stored(spark, d, "places").groupBy("loc_id").agg(F.array_sort(F.collect_set("cat")).alias("t"))
+    return types.select("loc_id", F.array_join(F.col("t").cast("array<string>"), ",").alias("types"), resolved(F.col("t"), GROUPS).alias("resolved"))
 
 
 @query(f"{_BREAKS}, b AS (SELECT [{', '.join(f'v[CAST(least(c - 1, floor({p} * c)) + 1 AS BIGINT)]' for p in compare.HEX_SHARES)}] AS b FROM v) SELECT CAST(i AS INT) AS class, CASE WHEN i = 5 THEN (b[5] + 1) || '+' WHEN (CASE WHEN i = 0 THEN 1 ELSE b[i] + 1 END) = b[i + 1] THEN b[i + 1] || '' ELSE (CASE WHEN i = 0 THEN 1 ELSE b[i] + 1 END) || '-' || b[i + 1] END AS label FROM b, (SELECT unnest(range(6)) AS i)")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import compare
 from tessera.operators import audit, clean, cubes, reconcile, report
 from tessera.operators.quantiles import quantiles
-from tessera.plans import served
 from tessera.plans.fixtures import WITH, facts, locs, table
 from tessera.plans.registry import query
 from tessera.sources import files, paths, store
@@ -261,19 +258,6 @@ def raw_union(spark: SparkSession, d: str) -> DataFrame:
     return files.read_raw(spark, f"{d}/nation.parquet", f"{d}/region.parquet")
 
 
-@query("SELECT CAST(n_regionkey AS INT) AS year, n_name FROM nation")
-def paged_source(spark: SparkSession, d: str) -> DataFrame:
-    """Records in pages from a service, a partition for each year, held against the number that the service gives."""
-    rows: dict[int, list[dict]] = {}
-    for r in table(spark, d, "nation").select("n_regionkey", "n_name").collect():  # the 25 rows that are served
-        rows.setdefault(r[0], []).append({"name": r[1]})
-    url = served.serve(spark, rows)
-    files.register(spark)
-    options = {"url": f"{url}?year={{year}}&offset={{offset}}&limit={{limit}}", "count_url": f"{url}?year={{year}}&count=1", "limit": "2", "years": ",".join(map(str, rows))}
-    pages = spark.read.format("paged").options(**options).load()
-    return pages.select("year", F.get_json_object("record", "$.name").alias("n_name"))
-
-
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS n_regionkey FROM nation")
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
     """A dictionary written as CSV and read back with types, blanks as null."""
@@ -312,9 +296,10 @@ def answers_kept(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_REGIONS)
 def answer_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The same through JSON objects, as a thin service gives them."""
+    """The same through JSON objects, as a thin service hands them on."""
     files.read_table(spark, f"{d}/nation.parquet", "nation")
-    return spark.createDataFrame([(x["n_regionkey"], x["n"]) for x in map(json.loads, files.answer(spark, _REGIONS))], "n_regionkey long, n long")
+    objects = files.as_json(spark.sql(_REGIONS))
+    return objects.select(F.from_json("value", "n_regionkey int, n long").alias("x")).select("x.*")
 
 
 @query("SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS id FROM customer GROUP BY 1")
@@ -346,14 +331,27 @@ def published_sheet(spark: SparkSession, d: str) -> DataFrame:
     n = facts(spark, d).groupBy("boro", "cat", F.expr("m DIV 12 + 1995").alias("year")).agg(F.count("*").alias("n"))
     wide = n.groupBy("boro", "cat").pivot("year", list(range(1995, 2002))).agg(F.first("n"))
     first = F.row_number().over(Window.partitionBy("boro").orderBy("cat")) == 1  # a row for each type
-    sheet = wide.select("boro", "cat", F.when(first, F.col("boro").cast("string")).otherwise("").alias("PCT"), labels.alias("OFFENSE"), *[F.col(str(y)).cast("string").alias(str(y)) for y in range(1995, 2002)])
-    path = paths.fresh_path(spark, "sheet")
-    files.write_text_table(sheet.coalesce(1).sortWithinPartitions("boro", "cat").drop("boro", "cat"), path)
-    rows = reconcile.sheet_totals(files.read_sheet(spark, path), "PCT", _OFFENSES, range(1995, 2002), unit=True)
-    return spark.createDataFrame(rows, "unit string, code string, year int, n double")
+    cells = [F.when(first, F.col("boro").cast("string")).otherwise(""), labels, *[F.coalesce(F.col(str(y)).cast("string"), F.lit("")) for y in range(1995, 2002)]]
+    head = wide.select("boro").distinct().select("boro", F.lit(-1).alias("cat"), F.lit("PCT,OFFENSE," + ",".join(map(str, range(1995, 2002)))).alias("value"))
+    sheets = head.unionByName(wide.select("boro", "cat", F.concat_ws(",", *cells).alias("value")))  # a sheet for each borough
+    path = paths.fresh_path(spark, "sheets")
+    sheets.repartition("boro").sortWithinPartitions("boro", "cat").drop("cat").write.partitionBy("boro").text(path)
+    return files.read_sheets(spark, path, "PCT", _OFFENSES, range(1995, 2002), unit=True)
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(round(p * 100, 0) AS INT) AS p, count(*) AS n, round(quantile_cont(l_extendedprice, p), 4) AS v FROM lineitem, (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]) AS p) GROUP BY l_returnflag, l_linestatus, p".replace("quantile_cont(l_extendedprice, p)", "list_extract(quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]), list_position([0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0], p))"))
 def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
     found = quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), (0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0))
     return found.select("l_returnflag", "l_linestatus", F.rint(F.col("p") * 100).cast("int").alias("p"), "n", F.round("v", 4).alias("v"))
+
+
+_CHANGED = "c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 5 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_shipdate FROM lineitem WHERE NOT (l_orderkey % 1009 = 7 AND l_linenumber = 1))"
+
+
+@query(f"WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem), {_CHANGED} SELECT 'left' AS side, *, count(*) AS times FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c) GROUP BY ALL UNION ALL SELECT 'right', *, count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a) GROUP BY ALL")
+def rows_changed(spark: SparkSession, d: str) -> DataFrame:
+    """What a table lost and got in a rewrite, found by its digests."""
+    k = F.col("l_orderkey")
+    a = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    c = a.where(~((k % 1009 == 7) & (F.col("l_linenumber") == 1))).withColumn("l_quantity", F.when(k % 997 == 5, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return reconcile.differing_rows(a, c)

@@ -8,12 +8,13 @@ import time
 import urllib.error
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.operators.reconcile import same_rows
+from tessera.operators.reconcile import same_rows, sheet_totals
 from tessera.sources import paths
 from tessera.sources.ship import ship
 
@@ -62,6 +63,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("properties", F.transform("geometry.coordinates", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
 
 
+def write_segments(df: DataFrame, path: str, properties: list[str]) -> None:
+    """Segments (points: array<struct<lat, lon>>) as line-delimited GeoJSON, as many files as df has partitions."""
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    df.select(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), line.alias("geometry")).write.json(path)
+
+
 def write_cube(df: DataFrame, path: str, order: list[str], files: int | None = None, rows_per_group: int = 16_384) -> None:
     """Parquet in a total order, with small row groups so that range predicates skip most of the file."""
     spread = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
@@ -74,9 +81,11 @@ def write_text_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", "true").csv(path) if kind == "csv" else writer.json(path)
 
 
-def write_geojson(df: DataFrame, path: str, key: str, rings: str = "rings", keep: list[str] = ()) -> None:
+def write_geojson(df: DataFrame, path: str, key: str, rings: str = "rings", keep: list[str] = (), most: int = 10_000) -> None:
     """Polygons (a row each, rings of x and y) as one GeoJSON feature collection, in order of their key. For the few hundred
-    areas of a map: the text is one row."""
+    areas of a map: the text is one row, so more than ``most`` are refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} areas: write them as segments or tables")
     numbers = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
     properties = F.struct(F.col(key).cast("string").alias(key), *[F.col(c) for c in keep])
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), numbers.alias("coordinates")).alias("geometry")))
@@ -109,6 +118,11 @@ def rewrite_verified(spark: SparkSession, path: str, target: str, change: Callab
     return True
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """value: the rows as JSON objects."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def answer(spark: SparkSession, sql: str) -> Iterator[str]:
     """The rows of a query as JSON objects, for a thin service in front; a partition at a time, so a large answer streams by."""
     return spark.sql(sql).toJSON().toLocalIterator()
@@ -202,3 +216,17 @@ def read_sheet(spark: SparkSession, path: str) -> list[list[str]]:
     """The rows of a small sheet that was saved as CSV, ragged as they are: published tables of a few hundred rows."""
     text = spark.read.text(path, wholetext=True).first()
     return list(csv.reader(io.StringIO(text[0]))) if text else []
+
+
+def read_sheets(spark: SparkSession, path: str, corner: str, prefixes: dict[str, int], years: range, unit: bool = False) -> DataFrame:
+    """unit, code, year, n of all published sheets (CSV files of a few hundred rows each) under a path: a file is read by one task,
+    whatever their number."""
+    ship(spark)
+
+    def parse(batches):
+        for batch in batches:
+            rows = [x for text in batch["value"] for x in sheet_totals(list(csv.reader(io.StringIO(text))), corner, prefixes, years, unit)]
+            yield pd.DataFrame(rows, columns=["unit", "code", "year", "n"])
+
+    sheets = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return sheets.mapInPandas(parse, "unit string, code string, year int, n double")
