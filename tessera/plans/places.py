@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import compare, grid, names
-from tessera.operators import circles, clean, reconcile, report, search, spatial
+from tessera.operators import circles, clean, dissolve, reconcile, report, search, spatial
 from tessera.plans.fixtures import LAT_OF, LATTICE, LON_OF, SPOTS, WITH, X_OF, Y_OF, corners, facts, lattice, lattice_nodes, lines, locs, polys, spots, table
 from tessera.plans.registry import query
 from tessera.sources import files, paths
@@ -361,3 +361,16 @@ def prefix_join(spark: SparkSession, d: str) -> DataFrame:
     short = part.select(F.left("p_type", F.lit(2)).alias("prefix"), F.length("p_type").alias("code"))
     long = part.where("p_partkey % 2 = 0").select(F.left("p_type", F.lit(4)).alias("prefix"), (100 + F.length("p_type")).alias("code"))
     return reconcile.by_prefixes(part.select("p_partkey", "p_type"), "p_type", short.unionByName(long).distinct())
+
+
+@query(f"""{WITH}, c AS (SELECT n_regionkey AS region, x0, x1, y0, y1 FROM polys JOIN nation ON code = n_nationkey),
+e AS (SELECT region, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS b_y FROM c UNION ALL SELECT region, x0, y1, x1, y1 FROM c UNION ALL SELECT region, x0, y0, x0, y1 FROM c UNION ALL SELECT region, x1, y0, x1, y1 FROM c),
+o AS (SELECT region, ax, ay, bx, b_y FROM e GROUP BY ALL HAVING count(*) % 2 = 1), p AS (SELECT region, count(*) AS corners, sum(bx - ax + b_y - ay) AS len FROM o GROUP BY 1), a AS (SELECT region, sum((x1 - x0) * (y1 - y0)) AS area FROM c GROUP BY 1)
+SELECT region, corners, round(len, 9) AS length, round(area, 9) AS area FROM p JOIN a USING (region)""")
+def regions_dissolved(spark: SparkSession, d: str) -> DataFrame:
+    """The areas of nations merged into regions: corners, length of the outline and area of the rings that result."""
+    areas = polys(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("region")), "code")
+    merged = dissolve.dissolve(areas, "code", F.col("region"), CELL)
+    size = F.aggregate("rings", F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+    length = F.aggregate(F.transform("rings", lambda r: grid.polyline_length(F.concat(r, F.slice(r, 1, 1)))), F.lit(0.0), lambda a, v: a + v)
+    return merged.select(F.col("grp").alias("region"), size.alias("corners"), F.round(length, 9).alias("length"), F.round(dissolve.signed_area(F.col("rings")), 9).alias("area"))
