@@ -6,8 +6,8 @@ each text and map task, however many copies a text has. The verdicts go back to
 digest (384 bits); Spark splits the large partitions of that join, and no group is ever gathered in a task.
 
 Defined results: a null text counts as empty; so all nulls, empty texts and texts of white space alone are one group. Of equal
-texts the row with the most code points in its original text stays, then the smallest id (null ids come first), and rows that
-tie in both are one id, of which each row reports kept. One row comes out for each row that goes in. Only the id and text
+texts the row with the most code points in its original text stays, then the smallest id (null ids come last), and rows that
+tie in both are one id, of which each row reports kept. Texts may be as long as a row can be: they go through the shuffle whole. One row comes out for each row that goes in. Only the id and text
 columns are read, so other columns can't clash. An empty table gives an empty table.
 """
 
@@ -31,7 +31,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hashed = rows.select("_id", "_n", "_text", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_h"))
     groups = (
         hashed.groupBy("_h", "_text")
-        .agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").alias("id"))).alias("_keep"))
+        .agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("_keep"))
         .select(F.col("_h"), F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_sha"), "group_size", F.col("_keep.id").alias("keep_id"))
     )
     narrow = hashed.select("_id", F.col("_h").alias("_h2"), F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_sha2"))
@@ -50,7 +50,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Whole rows go through the aggregation, so texts are hashed and shuffled once and nothing is joined."""
     size, id_ = F.length(F.coalesce(docs[text_col].cast("string"), F.lit(""))), docs[id_col]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.struct((-size).alias("n"), id_.alias("id")).alias("_order"), normalised(docs[text_col]).alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.struct((-size).alias("n"), id_.isNull().alias("none"), id_.alias("id")).alias("_order"), normalised(docs[text_col]).alias("_text"))
     hashed = rows.withColumn("_h", F.unhex(F.md5(F.col("_text").cast("binary"))))
     kept = hashed.groupBy("_h", "_text").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
     return runtime.compact(kept, docs)

@@ -105,3 +105,13 @@ def test_sparse_sites_shrink(spark):
     none = quality_classifier.score(docs, labels.limit(0))
     assert {r.p_doc for r in none.collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), labels).count() == 0
+
+
+def test_classifier_takes_tables_with_columns_of_its_own_names(spark):
+    rows = [(k, f"Some plain words of text number {k}. " * (k % 5 + 1), "a" if k % 2 else "b", "en", 9, True, 0.5) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, score int, kept boolean, p_doc double")
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(0, 40, 3)], "doc_id long, quality int, score string")
+    got = quality_classifier.score(docs, labels)
+    assert got.columns == ["doc_id", "p_doc", "host_mean", "path_mean", "score", "kept"]
+    plain = quality_classifier.score(docs.drop("score", "kept", "p_doc"), labels.drop("score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 40
