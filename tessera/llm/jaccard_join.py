@@ -366,7 +366,6 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     entries of a frequent hash in one salt. They change the work, not the result."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.settle(spark)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     heavy = spark.sparkContext.broadcast(_heavy(texts.select("text"), width, least_heavy, max_heavy))
     sets = runtime.materialize(_sets(texts, width, num, den, heavy, salted), "sets")

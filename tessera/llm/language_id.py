@@ -215,7 +215,6 @@ def train(rows: DataFrame, path: str, text: Column, lang: Column, id_: Column, m
     """Fit on rows with a language, at most about max_rows of each. path: a sentencepiece model, readable on all machines."""
     spark = rows.sparkSession
     runtime.ship(spark)
-    runtime.settle(spark)
     known = rows.where(lang.isNotNull() & id_.isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang.alias("k")).count().collect()}  # a row for each language
     languages = tuple(sorted(sizes))

@@ -249,6 +249,5 @@ def pack(pieces: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id"
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Cut and pack: ``id_col``, piece, start, length, ids_crc32 (ids), sequence_id and offset of every piece."""
-    runtime.settle(docs.sparkSession)
     pieces = runtime.materialize(cut(docs, path, pattern, end_id, size, id_col, text_col, with_ids), "pieces")
     return pack(pieces, size, (id_col, "piece"))

@@ -64,13 +64,6 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, t._tessera_path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Have the executors collect garbage and return free heap to the system. A JVM keeps the heap that an earlier stage needed,
-    and the Python workers of the next one need their room beside it. A short task for each core; nothing depends on it."""
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
-
-
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """df with a number for each row, and that column's name. It is a table, so a task that runs again finds the same numbers."""
     name = "_row"
