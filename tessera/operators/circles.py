@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.grid import CITY, Grid, local_xy
 from tessera.operators.quantiles import quantiles
+from tessera.sources.paths import stored
 
 #: Meters by which a cell must clear the edge of a circle to count as whole: more than rounding, so that both ways agree.
 CLEAR = 1e-6
@@ -68,6 +69,6 @@ def vectors(centers: DataFrame, places: DataFrame, radius: float, center_id: str
 def percentiles(vectors_: DataFrame, years: list[int], digits: int = 3) -> DataFrame:
     """type, year (its number, or avg), p (0 to 100) and v: where a circle stands among all, for each type and each year."""
     columns = F.array(*[F.struct(F.lit(str(y)).alias("year"), F.col("counts")[k].cast("double").alias("x")) for k, y in enumerate(years)], F.struct(F.lit("avg").alias("year"), F.col("mean").alias("x")))
-    flat = vectors_.select("type", F.inline(columns))
+    flat = stored(vectors_, "vectors").select("type", F.inline(columns))  # read more than once
     found = quantiles(flat, ["type", "year"], F.col("x"), tuple(k / 100 for k in range(101)))
     return found.select("type", "year", F.rint(F.col("p") * 100).cast("int").alias("p"), F.round("v", digits).alias("v"))

@@ -16,16 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import polygons
-from tessera.sources import paths
+from tessera.sources.paths import stored
 from tessera.sources.ship import ship
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = paths.fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _turned(polys: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     """key, ax, ay, bx, by: all edges, with the area on their left."""
     edges = polygons.edge_rows(polys, [key], rings).where("NOT (_ax = _bx AND _ay = _by)")
@@ -56,26 +50,26 @@ def chained(edges: DataFrame) -> DataFrame:
     """grp, ring, pos (from 0), x, y: the corners of the rings that edges (grp, ax, ay, bx, by) make, in their order.
 
     Where several rings touch in a corner each goes on with the edge next to its area."""
-    numbered = _stored(edges.withColumn("id", F.monotonically_increasing_id()), "edges")
+    numbered = stored(edges.withColumn("id", F.monotonically_increasing_id()), "edges")
     out = numbered.select("grp", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
     angle = lambda x, y: F.atan2(F.col(y) - F.col("by"), F.col(x) - F.col("bx"))
     turn = F.pmod(angle("ax", "ay") - angle("cx", "cy"), F.lit(2 * np.pi))
     turn = F.when(turn == 0, 2 * np.pi).otherwise(turn)
     follows = numbered.join(out, ["grp", "bx", "by"]).groupBy("id").agg(F.min_by("next", F.struct(turn.alias("t"), "next")).alias("next"))
     # the smallest edge of each ring
-    now = _stored(follows.select("id", "next", F.least("id", "next").alias("low")), "low")
+    now = stored(follows.select("id", "next", F.least("id", "next").alias("low")), "low")
     while True:
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("low_"))
         moved = now.join(ahead, "next").select("id", F.col("far").alias("next"), F.least("low", "low_").alias("low"), (F.col("low_") != F.col("low")).alias("open"))
-        now = _stored(moved, "low")
+        now = stored(moved, "low")
         if not now.where("open").limit(1).count():
             break
     # how far each edge is from the end of its ring, which the smallest edge begins
     ring = now.select("id", "low")
-    now = _stored(follows.join(ring, "id").select("id", "low", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left")), "left")
+    now = stored(follows.join(ring, "id").select("id", "low", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left")), "left")
     while now.where("next IS NOT NULL").limit(1).count():
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
-        now = _stored(now.join(ahead, "next", "left").select("id", "low", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "left")
+        now = stored(now.join(ahead, "next", "left").select("id", "low", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "left")
     size = now.groupBy("low").agg(F.max("left").alias("size"))
     placed = now.join(size, "low").select("id", F.col("low").alias("ring"), (F.col("size") - F.col("left")).alias("pos"))
     return placed.join(numbered, "id").select("grp", "ring", "pos", F.col("ax").alias("x"), F.col("ay").alias("y"))

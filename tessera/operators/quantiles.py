@@ -13,20 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources import paths
+from tessera.sources.paths import stored
 
 BINS = 1024
 #: A range of so many rows or fewer is read off; ranges of fewer than a task's rows need no further round.
 FEW = 200_000
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table, which the rounds read more than once."""
-    path = paths.fresh_path(df.sparkSession, "quantiles")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _matched(names: list[str], other: str) -> Column:
     """Groups are equal where nulls count as a group of their own."""
     out = F.lit(True)
@@ -43,7 +36,7 @@ def select_ranks(rows: DataFrame, wanted: DataFrame, names: list[str], bins: int
     """rows: names, v. wanted: names, rank, lo, hi (all values lie between), before (rows of the group below lo), inside (rows
     from lo to hi), still whole groups. names, rank and v of every wanted rank (from 0)."""
     range_ = [*names, "lo", "hi"]
-    found, left = [], _stored(wanted)
+    found, left = [], stored(wanted, "quantiles")
     while True:
         found.append(left.where("lo = hi").select(*names, "rank", F.col("lo").alias("v")))
         left = left.where("lo < hi")
@@ -59,7 +52,7 @@ def select_ranks(rows: DataFrame, wanted: DataFrame, names: list[str], bins: int
         parts = _renamed(counted.withColumn("low", F.col("before") + upto - F.col("n")).drop("before", "part"), [*names, "lo", "hi"], "_in")
         rank = F.col("rank").between(F.col("low"), F.col("low") + F.col("n") - 1)
         narrowed = left.join(parts, _matched([*names, "lo", "hi"], "_in") & rank)
-        now = _stored(narrowed.select(*names, "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("low").alias("before"), F.col("n").alias("inside")))
+        now = stored(narrowed.select(*names, "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("low").alias("before"), F.col("n").alias("inside")), "quantiles")
         if now.agg(F.sum("inside")).first()[0] == sizes[1]:  # values that differ by less than a double can tell
             break
         left = now
@@ -85,12 +78,12 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: tuple[float,
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], value.alias("v")).where("v IS NOT NULL")
     if dict(rows.dtypes)["v"] in ("double", "float"):
         rows = rows.where(~F.isnan("v"))
-    ends = _stored(rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0"))
+    ends = stored(rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0"), "quantiles")
     asked = ends.select("*", F.explode(F.array(*[F.lit(float(p)) for p in dict.fromkeys(probs)])).alias("p")).withColumn("at", F.col("p") * (F.col("n") - 1))
     asked = asked.withColumns({"below": F.floor("at"), "above": F.ceil("at")})
     ranks = asked.select(*names, "lo", "hi", "n", F.explode(F.array("below", "above")).alias("rank")).distinct()
     wanted = ranks.select(*names, "rank", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"))
-    at = _stored(select_ranks(rows, wanted, names, bins, few))
+    at = stored(select_ranks(rows, wanted, names, bins, few), "quantiles")
     low, high = (_renamed(at, [*names, "rank", "v"], s) for s in ("_a", "_b"))
     both = asked.join(low, _matched(names, "_a") & (F.col("below") == F.col("_arank"))).join(high, _matched(names, "_b") & (F.col("above") == F.col("_brank")))
     a, b = F.col("_av").cast("double"), F.col("_bv").cast("double")
@@ -100,7 +93,7 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: tuple[float,
 def values_at(df: DataFrame, value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row: for each name the value at a rank (from 0) that follows from the number of values; null if there are none."""
     rows = df.select(value.alias("v")).where("v IS NOT NULL")
-    ends = _stored(rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0"))
+    ends = stored(rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0"), "quantiles")
     each = F.array(*[F.struct(F.lit(k).alias("name"), rank(F.col("n")).cast("bigint").alias("rank")) for k, rank in ranks.items()])
     asked = ends.select("lo", "hi", "n", F.inline(each))
     wanted = asked.select("rank", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.grid import CITY, Grid, local_xy, segment_distance
 from tessera.operators import polygons
+from tessera.sources.paths import stored
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -112,7 +113,8 @@ def snap_to_network(points: DataFrame, segments: DataFrame, nodes: DataFrame, po
     Within ``corner`` meters of nodes where two streets or more meet, all of those streets that also have a segment in reach;
     elsewhere the street of the nearest segment. Segments with a negative street absorb points but give no row.
     nodes: lat, lon, streets (array)."""
-    found = network_candidates(points, segments, reach, point_id, grid)
+    points = points.select(point_id, "lat", "lon")
+    found = stored(network_candidates(points, segments, reach, point_id, grid), "candidates")  # read twice below
     per_street = found.where("street >= 0").groupBy(point_id, "street").agg(F.min(F.struct("d", "seg")).alias("b")).select(point_id, "street", F.col("b.seg").alias("seg"))
     nearest = found.groupBy(point_id).agg(F.min(F.struct("d", "seg", "street")).alias("b")).select(point_id, F.col("b.street").alias("street"), F.col("b.seg").alias("seg"))
     meets = within_radius(points, nodes, corner, point_id, ["streets"], grid).select(point_id, F.explode("streets").alias("street")).distinct()

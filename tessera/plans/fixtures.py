@@ -142,9 +142,18 @@ _KINDS = {
 _CUBES = store.Cubes(lambda spark, d, orders: cubes.fine(facts(spark, d, orders), ["loc_id", "pct", "boro", "lt", "lat", "lon"]), _KINDS)
 
 
+def _tables(d: str) -> tuple[str, str, list[str]]:
+    return d, f"{d}/orders.parquet", [f"{d}/customer.parquet", f"{d}/nation.parquet"]
+
+
 def stored(spark: SparkSession, d: str, kind: str, within: list[tuple[int, int]] | None = None) -> DataFrame:
     """A cube of the facts, kept up as orders come and go: months and keys of a question reach its scan."""
-    return _CUBES.get(spark, kind, d, f"{d}/orders.parquet", [f"{d}/customer.parquet", f"{d}/nation.parquet"], within)
+    return _CUBES.get(spark, kind, *_tables(d), within)
+
+
+def all_stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    _CUBES.build(spark, list(_KINDS), *_tables(d))
+    return {kind: stored(spark, d, kind) for kind in _KINDS}
 
 
 def points_in(spark: SparkSession, d: str, view: tuple[float, float, float, float]) -> DataFrame:

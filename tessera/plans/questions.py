@@ -9,7 +9,7 @@ from tessera.functions import compare, grid
 from tessera.functions.period import Period, Span, baseline_of, comparison_of, days_of, fair_column, in_dates, in_months, months_of, resolved
 from tessera.operators import audit, clean, cubes, report, spatial
 from tessera.operators.quantiles import values_at
-from tessera.plans.fixtures import BRIDGE, MONTHS, SPOTS, WITH, X_OF, Y_OF, bridge, corners, facts, lines, locs, points_in, stored, table
+from tessera.plans.fixtures import BRIDGE, MONTHS, SPOTS, WITH, X_OF, Y_OF, all_stored, bridge, corners, facts, lines, locs, points_in, stored, table
 from tessera.plans.registry import query
 
 SPAN = Span(1995, 2001, 1997)
@@ -110,6 +110,12 @@ def entity_series(spark: SparkSession, d: str) -> DataFrame:
     return cubes.counts(stored(spark, d, "areas"), ["m", "cat"], where=F.col("pct") == 7)
 
 
+@query(f"{WITH} SELECT pct AS street, m, cat, count(*) AS n FROM facts GROUP BY 1, 2, 3")
+def street_series(spark: SparkSession, d: str) -> DataFrame:
+    """Months and types of every street, of which a reader picks one."""
+    return cubes.counts(stored(spark, d, "blocks"), ["street", "m", "cat"])
+
+
 _SERIES = f"{WITH}, s AS (SELECT r.m AS m, coalesce(f.n, 0) AS n FROM (SELECT unnest(range({MONTHS})) AS m) r LEFT JOIN (SELECT m, count(*) AS n FROM facts WHERE pct = 7 GROUP BY 1) f ON r.m = f.m)"
 
 
@@ -396,6 +402,11 @@ def areas_of_borough(spark: SparkSession, d: str) -> DataFrame:
     return cubes.now_and_before(stored(spark, d, "areas").where("lt = 0 AND boro = 3"), ["pct"], NOW, BEFORE, TYPES).na.fill(0, ["now", "before"])
 
 
+@query(f"{_SPOT} SELECT m, f.cat, count(*) AS n FROM facts f, s WHERE f.lat = s.lat AND f.lon = s.lon GROUP BY 1, 2")
+def spot_series(spark: SparkSession, d: str) -> DataFrame:
+    return cubes.counts(_at_spot(spark, d, stored(spark, d, "points")), ["m", "cat"])
+
+
 # What a picked place, circle or area shows beside its totals.
 
 @query(f"{_SPOT} SELECT DISTINCT street, block FROM bridge b, s WHERE b.lat = CAST(s.lat AS FLOAT) AND b.lon = CAST(s.lon AS FLOAT)")
@@ -551,4 +562,4 @@ def in_window(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{HEX} SELECT * FROM (SELECT 'hex' AS cube, count(*) AS n FROM hex UNION ALL SELECT 'points', count(*) FROM hex UNION ALL SELECT 'areas', count(*) FROM facts UNION ALL SELECT 'blocks', count(*) FROM facts UNION ALL SELECT 'places', count(*) FROM facts)")
 def accounting(spark: SparkSession, d: str) -> DataFrame:
     """What every cube adds up to: the facts, or those that have a place."""
-    return cubes.totals({kind: stored(spark, d, kind) for kind in ("hex", "points", "areas", "blocks", "places")})
+    return cubes.totals(all_stored(spark, d))

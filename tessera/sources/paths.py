@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +54,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and what reads it twice doesn't make it twice."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as listings have it."""
     fs, where = _hadoop(spark, path)

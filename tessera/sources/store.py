@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,13 +56,8 @@ class Cubes:
     def get(self, spark: SparkSession, kind: str, at: str, source: str, tables: list[str] = (), within: list[tuple[int, int]] | None = None) -> DataFrame:
         """at: what fine is given beside the rows of the source, the folder of its tables. within: ranges of the first key of the
         cube's order, which is whole numbers: only files that reach into them are opened, in these only such row groups read."""
-        state = self._followed(spark, at, source, list(tables))
+        state = self.build(spark, [kind], at, source, tables)
         roll, order = self.kinds[kind]
-        for part in state.parts:
-            if kind not in part.kinds:
-                path = paths.fresh_path(spark, f"cube-{kind}")
-                files.write_cube(roll(spark.read.parquet(part.fine)), path, order)
-                part.kinds[kind] = path
         if not state.parts:
             return roll(self.fine(spark, at, spark.read.parquet(source))).limit(0)
         if within is None:
@@ -71,6 +67,26 @@ class Cubes:
             cube = spark.read.parquet(*read).where(in_ranges(F.col(order[0]), within)) if read else spark.read.parquet(state.parts[0].kinds[kind]).limit(0)
         return cube if len(state.parts) == 1 else cube.groupBy(*[c for c in cube.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
+    def build(self, spark: SparkSession, kinds: list[str], at: str, source: str, tables: list[str] = ()) -> _State:
+        """Have the cubes of some kinds ready. Each is a job of its own, and jobs that have nothing to do with each other run at
+        the same time."""
+        state = self._followed(spark, at, source, list(tables))
+        missing = [(part, kind) for part in state.parts for kind in kinds if kind not in part.kinds]
+
+        def roll_up(part: _Part, kind: str) -> None:
+            roll, order = self.kinds[kind]
+            path = paths.fresh_path(spark, f"cube-{kind}")
+            files.write_cube(roll(spark.read.parquet(part.fine)), path, order)
+            part.kinds[kind] = path
+
+        if len(missing) > 1:
+            with ThreadPoolExecutor(min(len(missing), 8)) as pool:
+                list(pool.map(lambda x: roll_up(*x), missing))
+        else:
+            for part, kind in missing:
+                roll_up(part, kind)
+        return state
+
     def _ranges(self, spark: SparkSession, part: _Part, kind: str) -> list[tuple[str, int, int]]:
         """The files of a cube with their smallest and largest key: looked up once, kept as long as the cube is."""
         if kind not in part.ranges:
