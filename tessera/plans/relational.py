@@ -355,3 +355,18 @@ def rows_changed(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
     c = a.where(~((k % 1009 == 7) & (F.col("l_linenumber") == 1))).withColumn("l_quantity", F.when(k % 997 == 5, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     return reconcile.differing_rows(a, c)
+
+
+@query(f"{WITH} SELECT '| ' || pct || ' | ' || format('{{:,}}', count(*) * 1000) || ' | ' || min(premise) || ' |' AS value FROM facts GROUP BY pct")
+def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of precincts as lines of a report in Markdown."""
+    totals = facts(spark, d).groupBy("pct").agg((F.count("*") * 1000).alias("n"), F.min("premise").alias("premise"))
+    return files.markdown_lines(totals)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
+def text_table(spark: SparkSession, d: str) -> DataFrame:
+    """A long table written as CSV, a file for each partition, and read back."""
+    path = paths.fresh_path(spark, "text")
+    files.write_text_table(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path, one_file=False)
+    return files.read_dictionary(spark, path)

@@ -75,9 +75,9 @@ def write_cube(df: DataFrame, path: str, order: list[str], files: int | None = N
     spread.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", rows_per_group).parquet(path)
 
 
-def write_text_table(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small table as CSV with a header, or as JSON lines."""
-    writer = df.coalesce(1).write.mode("overwrite")
+def write_text_table(df: DataFrame, path: str, kind: str = "csv", one_file: bool = True) -> None:
+    """A table as CSV with a header, or as JSON lines: a dictionary in one file, or a file for each partition."""
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite")
     writer.option("header", "true").csv(path) if kind == "csv" else writer.json(path)
 
 
@@ -94,11 +94,22 @@ def write_geojson(df: DataFrame, path: str, key: str, rings: str = "rings", keep
     rows.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """value: the table's rows as lines of Markdown (whole numbers with thousands marked, nulls empty), in whatever order df has."""
+    cells = []
+    for c, kind in df.dtypes:
+        text = F.format_number(df[c], 0) if kind in ("tinyint", "smallint", "int", "bigint") else df[c].cast("string")
+        cells.append(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def markdown_head(df: DataFrame) -> list[str]:
+    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """The first rows of a small table, as they are ordered, in Markdown."""
-    show = lambda v: "" if v is None else f"{v:,}" if isinstance(v, int) else str(v).replace("|", "\\|")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in df.limit(most).collect())]) + "\n"
+    return "\n".join([*markdown_head(df), *(r[0] for r in markdown_lines(df.limit(most)).collect())]) + "\n"
 
 
 def rewrite_verified(spark: SparkSession, path: str, target: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, replace: bool = False) -> bool:

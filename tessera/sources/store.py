@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.grid import in_ranges
 from tessera.sources import files, paths
@@ -52,6 +53,7 @@ class Cubes:
     def __init__(self, fine: Callable[[SparkSession, str, DataFrame], DataFrame], kinds: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]]) -> None:
         self.fine, self.kinds = fine, kinds
         self._states: dict[tuple[str, str], _State] = {}
+        self._schemas: dict[str, StructType] = {}  # so that no file is opened to find out
 
     def get(self, spark: SparkSession, kind: str, at: str, source: str, tables: list[str] = (), within: list[tuple[int, int]] | None = None) -> DataFrame:
         """at: what fine is given beside the rows of the source, the folder of its tables. within: ranges of the first key of the
@@ -60,11 +62,12 @@ class Cubes:
         roll, order = self.kinds[kind]
         if not state.parts:
             return roll(self.fine(spark, at, spark.read.parquet(source))).limit(0)
+        stored = spark.read.schema(self._schemas[kind])
         if within is None:
-            cube = spark.read.parquet(*[p.kinds[kind] for p in state.parts])
+            cube = stored.parquet(*[p.kinds[kind] for p in state.parts])
         else:
             read = [f for p in state.parts for f, low, high in self._ranges(spark, p, kind) if any(low <= b and a <= high for a, b in within)]
-            cube = spark.read.parquet(*read).where(in_ranges(F.col(order[0]), within)) if read else spark.read.parquet(state.parts[0].kinds[kind]).limit(0)
+            cube = stored.parquet(*read).where(in_ranges(F.col(order[0]), within)) if read else stored.parquet(state.parts[0].kinds[kind]).limit(0)
         return cube if len(state.parts) == 1 else cube.groupBy(*[c for c in cube.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
     def build(self, spark: SparkSession, kinds: list[str], at: str, source: str, tables: list[str] = ()) -> _State:
@@ -75,9 +78,9 @@ class Cubes:
 
         def roll_up(part: _Part, kind: str) -> None:
             roll, order = self.kinds[kind]
-            path = paths.fresh_path(spark, f"cube-{kind}")
-            files.write_cube(roll(spark.read.parquet(part.fine)), path, order)
-            part.kinds[kind] = path
+            path, cube = paths.fresh_path(spark, f"cube-{kind}"), roll(spark.read.parquet(part.fine))
+            files.write_cube(cube, path, order)
+            part.kinds[kind], self._schemas[kind] = path, cube.schema
 
         if len(missing) > 1:
             with ThreadPoolExecutor(min(len(missing), 8)) as pool:
