@@ -14,7 +14,8 @@ leaves no half archive behind. They lie in the folder that driver and executors
 
 Defined results: a null payload counts as empty. Ids are kept as text and come back in their type; null ids come back as null,
 empty ones as empty, and rows that tie in the largest id are all responses. A payload may be as long as a worker can hold. A null or malformed URL has a key of its own, made from its text.
-Repeated rows are records each. Only the named columns are read. An empty table gives an empty table.
+Repeated rows are records each. All captures of one URL and id lie in one archive, so rows of one URL without ids, or with one id,
+are written and looked up by one task, in a stream. Only the named columns are read. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -115,3 +117,48 @@ def test_classifier_takes_tables_with_columns_of_its_own_names(spark):
     assert got.columns == ["doc_id", "p_doc", "host_mean", "path_mean", "score", "kept"]
     plain = quality_classifier.score(docs.drop("score", "kept", "p_doc"), labels.drop("score"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 40
+
+
+def _identified_by_hand(docs, vocab, rounds=3, smooth=0.05):
+    """Plain sums over all cuts of every word, in the same rounds: doc_id -> language and its share."""
+    place, languages = {p: i for i, p in enumerate(vocab.texts)}, sorted({lang for i, _, lang in docs if lang and zlib.crc32(str(i).encode()) % 5})
+    none = len(place)  # letters that no piece has
+    words_of = lambda t: language_id.WORDS.findall((t or "").lower())
+    ways = {}
+    for _, t, _ in docs:
+        for w in words_of(t):
+            letters = "▁" + w
+            found = [c for c in cuts(letters) if all(p in place or len(p) == 1 for p in c)]
+            ways[w] = [[place.get(p, none) for p in c] for c in found]
+    known = [Counter() for _ in languages]
+    for i, t, lang in docs:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            known[languages.index(lang)].update(words_of(t))
+    table = [[1 / (none + 1)] * (none + 1) for _ in languages]
+    for _ in range(rounds):
+        for k, words in enumerate(known):
+            counts = [0.0] * (none + 1)
+            for w, n in words.items():
+                chances = [math.prod(table[k][p] for p in c) for c in ways[w]]
+                for c, v in zip(ways[w], chances, strict=True):
+                    for p in c:
+                        counts[p] += n * v / sum(chances)
+            total = sum(counts) + smooth * (none + 1)
+            table[k] = [max((c + smooth) / total, language_id.FLOOR) for c in counts]
+    out = {}
+    for i, t, _ in docs:
+        logs = [sum(math.log(sum(math.prod(table[k][p] for p in c) for c in ways[w])) for w in words_of(t)) for k in range(len(languages))]
+        best = max(range(len(languages)), key=lambda k: logs[k])
+        out[i] = (languages[best], 1 / sum(math.exp(x - logs[best]) for x in logs)) if words_of(t) else ("und", 0.0)
+    return out
+
+
+def test_the_whole_query_by_hand(spark, vocab):
+    rng = np.random.default_rng(3)
+    pools = {"de": ["haus", "und", "straße", "nicht", "über", "katze"], "en": ["house", "and", "the", "not", "cat", "under"]}
+    docs = [(i, " ".join(rng.choice(pools[lang], 6)), lang) for i, lang in enumerate(["de", "en"] * 12)]
+    docs += [(90, None, "de"), (91, "12 34 !", "en"), (92, "日本 cat", None), (93, "The HAUS", None), (94, "", None)]
+    got = language_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), PATH).collect()
+    want = _identified_by_hand(docs, vocab)
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, (lang, _) in want.items()}
+    assert all(r.score == pytest.approx(want[r.doc_id][1], abs=2e-6) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
