@@ -218,7 +218,14 @@ def block_segments(segments: DataFrame, block: Column) -> DataFrame:
 
 
 def cross_streets(ends: DataFrame, corners: DataFrame, reach: int = 6) -> DataFrame:
-    """Streets that meet a block's ends: ends (street, x, y) near corners (a, b, x, y) of that street, in units of 1e-5 degree."""
+    """Streets that meet a block's ends: ends (street, x, y) near corners (a, b, x, y) of that street, in units of 1e-5 degree.
+
+    Both meet by street and cell: a corner is in one, an end is given to all that its reach touches, four at most. So a street of
+    any number of corners is no hot key. Neither side is broadcast: pairs and cells make each far larger than Spark's estimate."""
     either = corners.select(F.col("a").alias("street"), F.col("b").alias("other"), F.col("x").alias("cx"), F.col("y").alias("cy")).unionByName(corners.select(F.col("b").alias("street"), F.col("a").alias("other"), F.col("x").alias("cx"), F.col("y").alias("cy")))
+    cell = lambda c: F.floor(c / max(4 * reach, 1))
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c).cast("bigint") - reach), cell(F.col(c).cast("bigint") + reach)))
+    around = ends.select("street", "x", "y", touched("x").alias("_i")).withColumn("_j", touched("y"))
+    at = either.withColumns({"_i": cell(F.col("cx")), "_j": cell(F.col("cy"))})
     dx, dy = F.col("x").cast("bigint") - F.col("cx"), F.col("y").cast("bigint") - F.col("cy")
-    return ends.join(either, "street").where(dx * dx + dy * dy <= reach * reach).select("street", "x", "y", "other").distinct()
+    return around.hint("merge").join(at, ["street", "_i", "_j"]).where(dx * dx + dy * dy <= reach * reach).select("street", "x", "y", "other").distinct()
