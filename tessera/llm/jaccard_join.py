@@ -160,7 +160,7 @@ def _count_hashes(docs: DataFrame, width: int, least: int) -> DataFrame:
 def _heavy(docs: DataFrame, width: int, least: int, most: int) -> tuple[int, np.ndarray, np.ndarray]:
     """How many bits buckets have, the most frequent buckets, sorted, and their counts: those over ``least``, or over as much more
     as leaves ``most``."""
-    counted = runtime.materialize(_count_hashes(docs, width, least), "heavy", docs)
+    counted = runtime.materialize(_count_hashes(docs, width, least), "heavy", docs, runtime.NARROW)
     steps = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("count") * 4).alias("s")).count().collect()}  # a few hundred rows
     kept = from_ = 0
     for s in sorted(steps, reverse=True):
@@ -321,7 +321,7 @@ def _whole_sets(texts: DataFrame, members: DataFrame, pairs: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), lists], ["fp", "hashes"])
 
     found = wanted.mapInArrow(whole, "fp binary, hashes array<bigint>").join(held(there.select("fp")), "fp", "left_semi")
-    out = runtime.materialize(found.dropDuplicates(["fp"]), "whole", texts)
+    out = runtime.materialize(found.dropDuplicates(["fp"]), "whole", texts, runtime.NARROW)
     runtime.discard(there)
     return out
 
@@ -374,7 +374,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col
     by_member = members.select("fp", "gid", "n")
     groups = runtime.materialize(members.groupBy("gid", "n").agg(F.min("fp").alias("head"), F.count("*").alias("size")), "groups", members, runtime.NARROW)
     prefixes = sets.where("n > 0").groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    shared = runtime.materialize(_shared(_entries(prefixes)), "shared", sets)
+    shared = runtime.materialize(_shared(_entries(prefixes)), "shared", sets, runtime.NARROW)
     heads = groups.select("gid", "n", "head")
 
     def verify(pairs: DataFrame) -> DataFrame | None:
